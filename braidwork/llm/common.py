@@ -105,7 +105,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
     lengths = np.diff(offsets(batch.column(column)))
     start, total = 0, 0
     for i, n in enumerate(lengths):
-        if total and total + n > most:
+        if i > start and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(n)
@@ -113,6 +113,25 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
         yield batch.slice(start)
 
 
+def gathered_batches(batches, column: str = "text", most: int = 16_000_000):
+    """Batches joined, and split where need be, so that each holds about `most` bytes of the column."""
+    held, total = [], 0
+    for batch in batches:
+        for part in slices(batch, column, most):
+            n = int(np.diff(offsets(part.column(column))[[0, -1]])[0])
+            if held and total + n > most:
+                yield joined(held)
+                held, total = [], 0
+            held.append(part)
+            total += n
+    if held:
+        yield joined(held)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if len(batches) > 1 else batches[0]
+
+
 def offsets(column: pa.Array) -> np.ndarray:
     """Value offsets of a string or binary array, as Arrow holds them."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -161,7 +161,7 @@ def pack_documents(docs: DataFrame, end_id: int = 2, bearing: str | None = None,
     def sequences(batches):
         from pyspark import TaskContext
 
-        from braidwork.llm.common import slices
+        from braidwork.llm.common import gathered_batches
 
         tokenizer, part, done = word_tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
@@ -183,16 +183,15 @@ def pack_documents(docs: DataFrame, end_id: int = 2, bearing: str | None = None,
             ids = pa.concat_arrays(doc_ids).take(pa.array(out.pop("doc"), pa.int64()))
             return pa.RecordBatch.from_pydict({"doc_id": ids} | {k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-        for batch in batches:
-            for own in slices(batch, "text"):
-                for ids in tokenizer.encode(own["text"].to_pylist()):
-                    bodies.append(ids + end)
-                    total += len(ids) // 4 + 1
-                bears += own["bearing"].to_pylist()
-                doc_ids.append(own["doc_id"])
-                if total >= block_tokens:
-                    yield flush()
-                    doc_ids, bodies, bears, total = [], [], [], 0
+        for batch in gathered_batches(batches):
+            flat, at = tokenizer.encode(batch["text"])
+            bodies += [flat[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:], strict=True)]
+            bears += batch["bearing"].to_pylist()
+            doc_ids.append(batch["doc_id"])
+            total += int(at[-1]) + batch.num_rows
+            if total >= block_tokens:
+                yield flush()
+                doc_ids, bodies, bears, total = [], [], [], 0
         if bodies:
             yield flush()
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork import runtime
-from braidwork.llm.common import blocks_for, kept, table, texts, volume
+from braidwork.llm.common import blocks_for, kept, offsets, table, texts, volume
 
 VOCABULARY = "word_bpe_49k.json"
 BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 21
@@ -38,39 +38,79 @@ HEAD, FOOT, ENTRY = struct.Struct("<4sBIQI"), struct.Struct("<QI4s"), struct.Str
 
 
 class WordTokenizer:
-    """Encodes with the tokenizers library and remembers the ids of words.
+    """Encodes with the tokenizers library, each distinct word of a slice once.
 
     The vocabulary's pre-tokenizer never joins text across a space or line
     break, and its normaliser maps each to one space, so a text's ids are those
-    of its parts between them, one after the other. Parts met before are looked
-    up; new ones go to the library in one batch. The memory is bounded.
+    of its parts between them, one after the other. Arrow finds a slice's
+    distinct parts. A part of letters below U+0250 and then of ASCII marks is two
+    pre-tokens, its lower-case word and the marks. Words go to the library many
+    in one text, whose ids are cut after each id that ends a word; marks and all
+    other parts go to it one by one. Nothing is kept from slice to slice.
     """
 
-    LIMIT = 250_000
-    LONGEST = 64
+    SHAPE = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[!-/:-@\\[-`{-~]*$"
+    MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def encode(self, bodies: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [b.replace("\n", " ").split(" ") for b in bodies]
-        known = self.known
-        if len(known) > self.LIMIT:
-            known.clear()
-            known[""] = b""
-        new = [w for w in set().union(*split) if w not in known] if split else []
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
-        for w in new:
-            if len(w) > self.LONGEST:  # a whole text without spaces isn't met again
-                del known[w]
-        return out
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.normalizer = None  # the words are lower case and composed already
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _one(self, parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and lengths of parts, each encoded by itself."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [np.array([i for x in ids for i in x], "<u4")], [np.array([len(x) for x in ids], np.int64)]
+
+    def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        lines = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+        flats = [np.array(e.ids, "<u4") for e in self.words.encode_batch_fast(lines, add_special_tokens=False)]
+        lengths = [np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0) for ids in flats]
+        if sum(map(len, lengths)) != len(words):
+            return self._one(words)
+        return flats, lengths
+
+    def encode(self, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one after the other, and the offset of each text's first and of the end."""
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pc.replace_substring(bodies.cast(pa.large_string()), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        parts = coded.dictionary
+        shaped = pc.match_substring_regex(parts, self.SHAPE)
+        is_shaped = shaped.to_numpy(zero_copy_only=False)
+        some = parts.filter(shaped)
+        word = pc.utf8_rtrim(some, self.MARKS)
+        marks = pc.replace_substring_regex(some, "^[^!-/:-@\\[-`{-~]+", "")
+        word, marks = pc.utf8_lower(word).dictionary_encode(), marks.dictionary_encode()
+        rest = parts.filter(pc.invert(shaped))
+        pools = [self._words(word.dictionary.to_pylist()), self._one(marks.dictionary.to_pylist()), self._one(rest.to_pylist())]
+        pool = np.concatenate([x for p in pools for x in p[0]] or [np.empty(0, "<u4")])
+        size = np.concatenate([x for p in pools for x in p[1]] + [np.zeros(1, np.int64)])
+        n_words, n_marks = len(word.dictionary), len(marks.dictionary)
+        pieces = np.full((len(parts), 2), len(size) - 1)
+        pieces[is_shaped, 0] = word.indices.to_numpy()
+        pieces[is_shaped, 1] = n_words + marks.indices.to_numpy()
+        pieces[~is_shaped, 0] = n_words + n_marks + np.arange(len(rest))
+        flat, ends = gathered(pool, size, pieces.reshape(-1))
+        size = np.diff(ends[1::2], prepend=0)
+        flat, ends = gathered(flat, size, coded.indices.to_numpy())
+        return flat, np.concatenate([[0], ends])[offsets(lists) - offsets(lists)[0]]
+
+
+def gathered(pool: np.ndarray, size: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The named pieces of a pool, one after the other, and where each ends. Piece i has size[i] items."""
+    first = np.cumsum(size) - size
+    own = size[pieces]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.repeat((first[pieces] - (ends - own)).astype(np.int32), own)
+    at += np.arange(total, dtype=np.int32)
+    return pool[at], ends
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -149,7 +189,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, vocabulary: str |
     def shards(batches):
         from pyspark import TaskContext
 
-        from braidwork.llm.common import slices
+        from braidwork.llm.common import gathered_batches
 
         tokenizer, part, number = word_tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         doc_ids, lengths, bodies, total = [], [], [], 0
@@ -159,18 +199,17 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, vocabulary: str |
             content = pack(np.frombuffer(b"".join(bodies), "<u4"), bits=bits)
             return pa.RecordBatch.from_pydict({"shard": pa.array([(part << 24) + number], pa.int64()), "n_ids": pa.array([total], pa.int64()), "doc_ids": pa.array([pa.concat_arrays(doc_ids).to_pylist()], pa.list_(doc_ids[0].type)), "lengths": pa.array([lengths], pa.list_(pa.int64())), "content": pa.array([content], pa.binary())})
 
-        for batch in batches:
-            for own in slices(batch, "text"):
-                found = tokenizer.encode(own["text"].to_pylist())
-                for i, ids in enumerate(found):
-                    ids += end
-                    bodies.append(ids)
-                    lengths.append(len(ids) // 4)
-                    doc_ids.append(own["doc_id"].slice(i, 1))
-                    total += len(ids) // 4
-                    if total >= shard_ids:
-                        yield flush()
-                        doc_ids, lengths, bodies, total, number = [], [], [], 0, number + 1
+        for batch in gathered_batches(batches):
+            own_ids = batch["doc_id"]
+            flat, at = tokenizer.encode(batch["text"])
+            for i in range(batch.num_rows):
+                bodies += [flat[at[i] : at[i + 1]].tobytes(), end]
+                lengths.append(int(at[i + 1] - at[i]) + 1)
+                doc_ids.append(own_ids.slice(i, 1))
+                total += lengths[-1]
+                if total >= shard_ids:
+                    yield flush()
+                    doc_ids, lengths, bodies, total, number = [], [], [], 0, number + 1
         if bodies:
             yield flush()
 
