@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from braidwork.llm import ngram_lm, packing, token_ids
+from braidwork.llm import flac, ngram_lm, packing, quality, token_ids
 
 
 def queries() -> dict:
-    found = (ngram_lm.op1_lm_scoring, packing.op5_vector_packing, token_ids.op7_bit_planes)
+    found = (ngram_lm.op1_lm_scoring, flac.op3_flac, packing.op5_vector_packing, quality.op6_quality, token_ids.op7_bit_planes)
     return {f.__name__: f for f in found}
 
 
