@@ -36,7 +36,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidwork import runtime
@@ -48,7 +48,8 @@ MOST = 2500
 #: Bytes of one sort. Names then have 21 bits, and three fit a 64-bit key.
 SORT_BYTES = 1_900_000
 CHUNK = 1 << 22
-BROADCAST_ROWS = 200_000
+#: Segments, and documents with spans, that are broadcast rather than joined by shuffle.
+BROADCAST_SEGMENTS, BROADCAST_ROWS = 20_000, 200_000
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -246,7 +247,7 @@ def _sorted_ranges(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """k, k2 and spans (first, end) of the documents' bytes that are covered by repeated strings; spans may overlap."""
+    """k, k2 and spans: the maximal runs (first, end) of the documents' bytes that repeated strings cover."""
     rows = runtime.written(_segment_rows(docs, length, gram), "segments")
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     rows = runtime.written(rows.join(often, "key"), "shared")
@@ -259,7 +260,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     # the bytes of each distinct segment, from one document that holds it
     lists = wanted.groupBy("k", "k2").agg(F.collect_list(F.struct("key", "d1", "d2", "starts", "place", "n", "kinds", "first")).alias("list"))
     texts_ = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.hash("doc_id", "text").alias("k2"), F.col("text")).filter(F.octet_length("text") >= length)
-    held = texts_.join(F.broadcast(lists) if wanted.count() <= broadcast_rows else lists, ["k", "k2"]).select("k", "k2", "text", "list")
+    held = texts_.join(F.broadcast(lists) if wanted.count() <= min(BROADCAST_SEGMENTS, broadcast_rows) else lists, ["k", "k2"]).select("k", "k2", "text", "list")
 
     def fetch(batches):
         for whole in batches:
@@ -294,7 +295,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     span = lambda first, low, high: F.struct((first + low).cast("long").alias("first"), (first + high + length - 1).cast("long").alias("end"))
     once = once.select("at.k", "at.k2", span(F.col("at.first"), F.col("low"), F.col("high")).alias("span"))
     many = rows.join(unique.filter("n > 1").select("key", "d1", "d2", "starts"), ["key", "d1", "d2", "starts"]).select("k", "k2", span(F.col("first"), F.lit(0), F.col("starts")).alias("span"))
-    return once.unionByName(many).groupBy("k", "k2").agg(F.collect_set("span").alias("spans"))
+    spans = once.unionByName(many).groupBy("k", "k2").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    return spans.select("k", "k2", _merged(F.col("spans")).alias("spans"))
+
+
+def _merged(spans: Column) -> Column:
+    """Maximal runs of sorted spans: a document has few, so they are small to send."""
+    none = F.array().cast("array<struct<first:bigint,end:bigint>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        wider = F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (x["first"] <= last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(spans, none, step)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
