@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.llm.common import U64, WordHashes, kept, mix, table, texts, utf8
 
@@ -185,6 +186,23 @@ def score(docs: DataFrame, model, *more: str) -> DataFrame:
     return rows.mapInArrow(apply, schema)
 
 
+def keep(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose texts score `least` or more."""
+    pair, bias, slope, offset = model
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(pair))
+    schema = T.StructType([T.StructField("row", docs.schema)])
+
+    def choose(batches):
+        for batch in batches:
+            r, v = shared.value
+            z = np.array([margin(features(t), r, v, bias) for t in utf8(batch["text"])])
+            good = 1 / (1 + np.exp(-np.clip(slope * z + offset, -60, 60))) >= least
+            yield pa.RecordBatch.from_arrays([batch["row"].filter(pa.array(good, pa.bool_()))], names=["row"])
+
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
+    return rows.mapInArrow(choose, schema).select("row.*")
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     """Learns from labels whose crc32(doc_id) mod 3 is not 1; scores all documents."""
     docs = table(spark, sf_dir, "documents")
