@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from braidwork.plans import oracles
+from braidwork.plans import queries as plans
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["hybrid_retrieve"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return plans.all_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_oracles()
