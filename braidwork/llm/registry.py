@@ -6,7 +6,18 @@ from braidwork.llm import chosen_path, decontaminate, flac, ngram_lm, packing, p
 
 
 def queries() -> dict:
-    found = (ngram_lm.op1_lm_scoring, pii.op2_pii, flac.op3_flac, template.op4_template, packing.op5_vector_packing, pii, quality.op6_quality, template, token_ids.op7_bit_planes, decontaminate.op8_decontamination, chosen_path.op9_chosen_path, suffix_dedup.op10_suffix_dedup)
+    found = (
+        ngram_lm.op1_lm_scoring,
+        pii.op2_pii,
+        flac.op3_flac,
+        template.op4_template,
+        packing.op5_vector_packing,
+        quality.op6_quality,
+        token_ids.op7_bit_planes,
+        decontaminate.op8_decontamination,
+        chosen_path.op9_chosen_path,
+        suffix_dedup.op10_suffix_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
