@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork import runtime
-from braidwork.llm.common import U64, WordHashes, kept, mix, planes, table, unplanes, utf8
+from braidwork.llm.common import U64, WordHashes, kept, mix, planes, table, trim, unplanes, utf8
 
 WORDS, SIMILARITY = 5, 0.8
 COORDINATES, RUNS, DEPTH = 64, 6, 4
@@ -101,6 +101,7 @@ def records(docs: DataFrame) -> DataFrame:
                 sids.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 sketches.append(min_hashes(tokens).tobytes() if len(tokens) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "k": batch["k"], "k2": batch["k2"], "sid": pa.array(sids, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
+        trim()
 
     return rows.mapInArrow(sketch, f"doc_id {kind}, k long, k2 int, sid binary, sketch binary")
 
@@ -273,6 +274,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, de
                 first = np.ascontiguousarray(rows[:, : COORDINATES // 4])
                 group = group.append_column("first", pa.array([r.tobytes() for r in first], pa.binary())).filter(pa.array(stay))
                 yield from group.select(["key", "sid", "copies", "first"]).combine_chunks().to_batches()
+        trim()
 
     left = runtime.written(spread.mapInArrow(survive, "key long, sid binary, copies long, first binary"), "partners")
 
@@ -309,6 +311,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, de
             has = np.flatnonzero(linked.any(axis=1))
             root = roots(linked)
             yield pa.RecordBatch.from_pydict({"a": pa.array([own[i][0] for i in has], pa.binary()), "b": pa.array([own[root[i]][0] for i in has], pa.binary()), "links": pa.array((counted * copies[None, :]).sum(axis=1)[has], pa.int64())})
+        trim()
 
     found = runtime.written(full.mapInArrow(brute, "a binary, b binary, links long"), "links")
     whole = components(found.select("a", "b"))

@@ -83,6 +83,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trim() -> None:
+    """Give freed memory back: workers live on between tasks, beside the executor's heap."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def planes(values: np.ndarray) -> bytes:
     """The bytes of an integer array, plane by plane, so that zstandard finds the empty ones."""
     import zstandard
@@ -113,7 +124,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
         yield batch.slice(start)
 
 
-def gathered_batches(batches, column: str = "text", most: int = 16_000_000):
+def gathered_batches(batches, column: str = "text", most: int = 8_000_000):
     """Batches joined, and split where need be, so that each holds about `most` bytes of the column."""
     held, total = [], 0
     for batch in batches:
@@ -126,6 +137,7 @@ def gathered_batches(batches, column: str = "text", most: int = 16_000_000):
             total += n
     if held:
         yield joined(held)
+    trim()
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

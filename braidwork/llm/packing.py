@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import table
+from braidwork.llm.common import table, trim
 from braidwork.llm.token_ids import vocabulary_path, word_tokenizer
 
 SEQUENCE, SEGMENTS, LOSS = 4096, 256, 4096
 #: Room of fewer tokens than this is left rather than filled with a cut piece.
 LEAST_CUT = 8
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 
 
 def loss_of(start: int, length: int, total: int, bearing: int) -> int:
@@ -194,6 +194,8 @@ def pack_documents(docs: DataFrame, end_id: int = 2, bearing: str | None = None,
                 doc_ids, bodies, bears, total = [], [], [], 0
         if bodies:
             yield flush()
+        bodies.clear()
+        trim()
 
     return rows.mapInArrow(sequences, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long, loss_tokens long, sequence_tokens long, padded_to long")
 

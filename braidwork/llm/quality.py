@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.llm.common import U64, WordHashes, kept, mix, table, texts, utf8
+from braidwork.llm.common import U64, WordHashes, kept, mix, table, texts, trim, utf8
 
 BITS = 18
 MAX_TRAIN = 10_000
@@ -198,6 +198,7 @@ def keep(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
             z = np.array([margin(features(t), r, v, bias) for t in utf8(batch["text"])])
             good = 1 / (1 + np.exp(-np.clip(slope * z + offset, -60, 60))) >= least
             yield pa.RecordBatch.from_arrays([batch["row"].filter(pa.array(good, pa.bool_()))], names=["row"])
+        trim()
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
     return rows.mapInArrow(choose, schema).select("row.*")

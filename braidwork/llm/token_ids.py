@@ -68,7 +68,9 @@ class WordTokenizer:
 
     def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         lines = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
-        flats = [np.array(e.ids, "<u4") for e in self.words.encode_batch_fast(lines, add_special_tokens=False)]
+        flats = []
+        for k in range(0, len(lines), 100):  # the library's encodings are large; ids are kept of them
+            flats += [np.array(e.ids, "<u4") for e in self.words.encode_batch_fast(lines[k : k + 100], add_special_tokens=False)]
         lengths = [np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0) for ids in flats]
         if sum(map(len, lengths)) != len(words):
             return self._one(words)
