@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from braidwork.functions.text import norm_similarity, normalize_entity_name, normalize_name, strip, words
+from braidwork.functions.text import cosine, norm_similarity, normalize_entity_name, normalize_name, strip, words
 from braidwork.runtime import cut
 
 
@@ -73,8 +73,29 @@ def leaders(all_nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return followers.unionByName(lead.select("ord", F.col("ord").alias("leader")))
 
 
-def clusters(entities: DataFrame, threshold: float = 0.8) -> DataFrame:
+def entity_pairs(entities: DataFrame, threshold: float = 0.8, name_weight: float = 0.7) -> DataFrame:
+    """block, a, b, similarity of all pairs of entities whose weighted name and embedding similarity is >= threshold.
+
+    A cosine is 1 at most, so the name must reach (threshold - 0.3) / 0.7; that
+    bound's pairs, and those of equal normal names, are the candidates.
+    """
+    least = (threshold - (1 - name_weight)) / name_weight
+    if least <= 0:
+        raise ValueError("threshold must be above the embedding's weight")
+    rows = entities.select(F.upper("type").alias("block"), normalize_name(F.col("name")).alias("norm"), "ord", "embedding")
+    one = lambda x: rows.select("block", F.col("norm").alias("norm_" + x), F.col("ord").alias(x), F.col("embedding").alias("v" + x))
+    pairs = similar_pairs(entities, min(1.0, least)).select("block", "norm_a", "norm_b", F.col("similarity").alias("name"))
+    both = pairs.unionByName(pairs.select("block", F.col("norm_b").alias("norm_a"), F.col("norm_a").alias("norm_b"), "name"))
+    same = nodes(entities).select("block", F.col("norm").alias("norm_a"), F.col("norm").alias("norm_b"), F.lit(1.0).alias("name"))
+    found = both.unionByName(same).join(one("a"), ["block", "norm_a"]).join(one("b"), ["block", "norm_b"]).filter("a < b")
+    total = name_weight * F.col("name") + (1 - name_weight) * cosine(F.col("va"), F.col("vb"))
+    return found.select("block", "a", "b", total.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
+
+
+def clusters(entities: DataFrame, threshold: float = 0.8, embeddings: bool = False) -> DataFrame:
     """ord, leader of every entity: the leader is the ord of its cluster's first entity."""
+    if embeddings:
+        return leaders(entities.select("ord"), entity_pairs(entities, threshold))
     led = leaders(nodes(entities).select("ord"), similar_pairs(entities, threshold))
     key = entities.select("ord", F.upper("type").alias("block"), normalize_name(F.col("name")).alias("norm"))
     first = nodes(entities).withColumnRenamed("ord", "node")
@@ -86,9 +107,9 @@ def _ordered(value: str, key: str = "ord"):
     return F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
 
 
-def merge_entities(entities: DataFrame, threshold: float = 0.8) -> DataFrame:
+def merge_entities(entities: DataFrame, threshold: float = 0.8, embeddings: bool = False) -> DataFrame:
     """name, type, description, source_chunks, confidence, properties, ord: one row a cluster, in order of (block_ord, ord)."""
-    rows = entities.join(clusters(entities, threshold), "ord")
+    rows = entities.join(clusters(entities, threshold, embeddings), "ord")
     first = F.min(F.struct((-F.length(strip(F.col("name")))).alias("n"), "ord", "name"))
     merged = rows.groupBy("leader").agg(
         F.count(F.lit(1)).alias("size"), first["name"].alias("name"), F.min_by("type", "ord").alias("type"),

@@ -69,7 +69,7 @@ def all_oracles() -> dict[str, str]:
     out["clean_text"] = f"SELECT id, {_clean('content')} AS cleaned FROM ({docs})"
     out["token_estimate"] = f"SELECT id, length(content) // 4 AS tokens FROM ({docs})"
     head = PROMPT_HEAD.replace("{types}", ", ".join(ENTITY_TYPES)).replace("{most}", "20")
-    out["extraction_prompt"] = f"SELECT id, concat({_lit(head)}, content, {_lit(PROMPT_TAIL)}) AS prompt FROM ({docs}) WHERE ord < 100"
+    out["extraction_prompt"] = f"SELECT id, concat({_lit(head)}, content, {_lit(PROMPT_TAIL)}) AS prompt FROM ({docs})"
     out["normalize_name"] = f"SELECT ord, {_norm('''concat(' ', name, '!, Co.')''')} AS a, {_norm('name')} AS b FROM ({me})"
     out["normalize_entity_name"] = f"SELECT ord, {_entity_norm('''concat(' The  ', source_entity)''')} AS a, {_entity_norm('source_entity')} AS b FROM ({mr})"
     out["name_similarity"] = f"WITH n AS (SELECT ord, {_norm('name')} AS norm FROM ({me})) SELECT n.ord, round({_similarity('n.norm', 'o.norm')}, 6) AS similarity FROM n JOIN n o ON o.ord = n.ord + 1"
@@ -96,8 +96,9 @@ p AS (SELECT chunk_id, ord, pos, list_transform(string_split(CASE WHEN length(re
     node = f"e AS ({me}), k AS (SELECT *, upper(type) AS block, {_norm('name')} AS norm FROM e), n AS (SELECT block, norm, min(ord) AS ord FROM k GROUP BY ALL)"
     pair = f"p AS (SELECT a.block, a.ord AS a, b.ord AS b, {_similarity('a.norm', 'b.norm')} AS sim FROM n a JOIN n b ON a.block = b.block AND a.ord < b.ord)"
     out["name_similarity_join"] = f"WITH {node}, {pair} SELECT a, b, round(sim, 6) AS similarity FROM p WHERE sim >= 0.6"
-    out["entity_pair_similarity"] = f"""WITH e AS (SELECT *, {_norm('name')} AS norm FROM ({ve}) WHERE ord < 100)
-SELECT a.ord, b.ord AS ord_b, round(0.7 * ({_similarity('a.norm', 'b.norm')}) + 0.3 * {_cosine('a.embedding', 'b.embedding')}, 6) AS similarity FROM e a JOIN e b ON a.type = b.type AND a.ord < b.ord"""
+    total = f"0.7 * ({_similarity('a.norm', 'b.norm')}) + 0.3 * {_cosine('a.embedding', 'b.embedding')}"
+    vec_pair = f"e AS (SELECT *, {_norm('name')} AS norm FROM ({ve})), p AS (SELECT a.type AS block, a.ord AS a, b.ord AS b, {total} AS sim FROM e a JOIN e b ON a.type = b.type AND a.ord < b.ord)"
+    out["entity_pair_similarity"] = f"WITH {vec_pair} SELECT a, b, round(sim, 6) AS similarity FROM p WHERE sim >= 0.6"
     greedy = f"""WITH RECURSIVE {node}, {pair},
 near AS (SELECT b AS ord, list(a) AS l FROM p WHERE sim >= 0.8 GROUP BY b),
 o AS (SELECT n.block, n.ord, coalesce(l, []) AS l, row_number() OVER (PARTITION BY n.block ORDER BY n.ord) AS i FROM n LEFT JOIN near USING (ord)),
@@ -108,6 +109,7 @@ f AS (SELECT block, arg_max(leads, i) AS leads FROM g GROUP BY block),
 lead AS (SELECT o.block, o.ord, CASE WHEN list_contains(leads, o.ord) THEN o.ord ELSE list_min(list_intersect(o.l, leads)) END AS leader FROM o JOIN f USING (block)),
 c AS (SELECT k.*, lead.leader FROM k JOIN n ON k.block = n.block AND k.norm = n.norm JOIN lead ON lead.ord = n.ord)"""
     out["greedy_clusters"] = greedy + " SELECT ord, leader FROM c"
+    out["greedy_clusters_embedding"] = f"WITH RECURSIVE {vec_pair}, n AS (SELECT type AS block, ord FROM e)," + greedy[greedy.index("\nnear AS") : greedy.index(",\nc AS")].replace("sim >= 0.8", "sim >= 0.6") + " SELECT ord, leader FROM lead"
     first_list = f"array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter(list({_strip('description')} ORDER BY ord), lambda x: x <> ''), lambda x: [x])), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, x) END), ' | ')"
     out["merge_entities"] = greedy + f""" SELECT leader AS ord, arg_min(name, (-length({_strip('name')}), ord)) AS name, arg_min(type, ord) AS type,
 CASE WHEN count(*) = 1 THEN min(description) ELSE {first_list} END AS description, string_agg(DISTINCT chunk, ',' ORDER BY chunk) AS chunks, round(avg(confidence), 6) AS confidence FROM c GROUP BY leader"""
@@ -160,7 +162,7 @@ reach(a, b) AS (SELECT ord, ord FROM s UNION SELECT reach.a, l.b FROM reach JOIN
     out["rank_combine"] = f"""WITH h AS (SELECT * FROM (VALUES ('vec_0', 0.9::DOUBLE, 0), ('vec_1', 0.6, 1), ('vec_2', 0.4, 2)) t(name, sim, i)), w AS (SELECT * FROM (VALUES (0, 'vec_1'), (1, 'vec_9'), (2, 'vec_0'), (20, 'vec_30')) t(j, name)),
 b AS (SELECT name, CASE WHEN i IS NULL THEN greatest(0.1, 0.8 - 0.05 * j) ELSE sim * (1 - 0.1 * i) + 0.5 + CASE WHEN j IS NULL THEN 0 ELSE 0.3 END END AS s, CASE WHEN i IS NULL THEN 'traversal' WHEN j IS NULL THEN 'embedding' ELSE 'both' END AS source FROM h FULL JOIN w USING (name))
 SELECT b.name, round(s::DOUBLE + {boost.replace('name', 'v.name')}, 6) AS score, source FROM b JOIN ({ve}) v ON v.name = b.name"""
-    out["induced_relationships"] = f"WITH s AS (SELECT name FROM ({ve}) WHERE ord % 3 = 0) SELECT source_entity, target_entity, relationship_type, ord FROM ({vr}) WHERE source_entity IN (SELECT name FROM s) AND target_entity IN (SELECT name FROM s)"
+    out["induced_relationships"] = f"WITH s AS (SELECT name FROM ({ve}) WHERE type IN ('L3', 'L5', 'L8')) SELECT source_entity, target_entity, relationship_type, ord FROM ({vr}) WHERE source_entity IN (SELECT name FROM s) AND target_entity IN (SELECT name FROM s)"
     out["related_chunks"] = f"""WITH c AS ({chunks}), o AS (SELECT id, ord, 0 AS k FROM c WHERE id IN (SELECT chunk FROM ({ve}) WHERE ord IN (41, 82, 7)) ORDER BY ord LIMIT 5),
 n AS (SELECT id, ord, 1 AS k FROM c ORDER BY similarity DESC, ord LIMIT (SELECT greatest(0, 5 - count(*)) FROM o)) SELECT id FROM (SELECT * FROM o UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM o) ORDER BY k, ord LIMIT 5)"""
     out["query_expansion"] = f"""WITH h AS (SELECT * FROM ({ents}) WHERE similarity >= 0 ORDER BY similarity DESC, ord LIMIT 3)
@@ -175,7 +177,7 @@ SELECT DISTINCT term FROM (SELECT unnest(string_split(name, ' ')) AS term FROM h
     hop = "SELECT f.start, CASE WHEN s.name IS NOT NULL THEN r.target_entity ELSE r.source_entity END AS name FROM r CROSS JOIN (SELECT DISTINCT start FROM {0}) f LEFT JOIN {0} s ON s.start = f.start AND s.name = r.source_entity LEFT JOIN {0} t ON t.start = f.start AND t.name = r.target_entity WHERE s.name IS NOT NULL OR t.name IS NOT NULL"
     hops = f"h1 AS ({hop.format('h0')}), h2 AS ({hop.format('h1d')})".replace(", h2", ", h1d AS (SELECT DISTINCT * FROM h1), h2")
     out["related_entities"] = f"WITH r AS ({gr}), h0 AS (SELECT * FROM (VALUES ('ASIA', 'ASIA'), ('ATLANTIS', 'ATLANTIS')) t(start, name)), {hops} SELECT DISTINCT start, name FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)"
-    out["keyword_context"] = f"""WITH r AS ({vr}), h0 AS (SELECT name AS start, name FROM ({ve}) WHERE ord < 30 AND contains('is vec_1 or vec_2 near?', lower(name)) ORDER BY ord LIMIT 5), {hops},
+    out["keyword_context"] = f"""WITH r AS ({vr}), h0 AS (SELECT name AS start, name FROM ({ve}) WHERE contains('is vec_1 or vec_2 near?', lower(name)) ORDER BY ord LIMIT 5), {hops},
 m AS (SELECT DISTINCT name FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) ORDER BY name LIMIT 10) SELECT m.name AS entity, c.id AS source FROM m JOIN ({vc}) c ON contains(lower(c.text), lower(m.name))"""
     out["entity_mentions"] = f"SELECT t.name AS entity, c.id AS source FROM (VALUES ('vec_7'), ('VEC_12')) t(name) JOIN ({vc}) c ON contains(lower(c.text), lower(t.name))"
 
@@ -183,8 +185,8 @@ m AS (SELECT DISTINCT name FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) OR
     out["filter_by_type"] = f"SELECT ord, name, type FROM ({me}) WHERE type IN ('Brand#11', 'Brand#23')"
     out["dedupe_results"] = f"SELECT min(ord) AS ord, name FROM ({me}) GROUP BY name"
     out["merge_traversals"] = f"""SELECT part, ord, source_entity, target_entity, relationship_type, 2 AS depth FROM (SELECT *, row_number() OVER (PARTITION BY source_entity, target_entity, relationship_type ORDER BY part, ord) AS k
-FROM (SELECT 0 AS part, * FROM ({mr}) WHERE ord % 2 = 0 UNION ALL SELECT 1, * FROM ({mr}))) WHERE k = 1"""
-    out["merge_traversal_entities"] = f"SELECT part, ord, name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY part, ord) AS k FROM (SELECT 0 AS part, name, ord FROM ({me}) WHERE ord > 500 UNION ALL SELECT 1, name, ord FROM ({me}))) WHERE k = 1"
+FROM (SELECT 0 AS part, * FROM ({mr}) WHERE relationship_type = 'R' UNION ALL SELECT 1, * FROM ({mr}))) WHERE k = 1"""
+    out["merge_traversal_entities"] = f"SELECT part, ord, name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY part, ord) AS k FROM (SELECT 0 AS part, name, ord FROM ({me}) WHERE type > 'Brand#2' UNION ALL SELECT 1, name, ord FROM ({me}))) WHERE k = 1"
     lines = "(SELECT string_agg(line, chr(10) ORDER BY ord) FROM (SELECT ord, {0} AS line FROM ({1}) ORDER BY ord LIMIT {2}))"
     whole = "concat('Relevant Entities:', chr(10), {}, chr(10), chr(10), 'Relevant Relationships:', chr(10), {}, chr(10), chr(10), 'Relevant Context:', chr(10), {})".format(
         lines.format("concat('- ', name, ' (', type, '): ', description)", ve, 10),
@@ -194,9 +196,9 @@ FROM (SELECT 0 AS part, * FROM ({mr}) WHERE ord % 2 = 0 UNION ALL SELECT 1, * FR
     out["format_context"] = f"SELECT CASE WHEN length(t) > 1200 THEN concat(substring(t, 1, 1200), '...') ELSE t END AS context FROM (SELECT {whole} AS t)"
 
     # sources and sinks
-    trip = f"""SELECT 'entity' AS kind, name, type, description, chunk AS chunks, round(confidence, 6) AS confidence FROM ({me}) WHERE ord <= 300
-UNION ALL SELECT 'relationship', concat(source_entity, '|', target_entity), relationship_type, description, chunk, round(confidence, 6) FROM ({mr}) WHERE ord <= 300"""
-    out["graph_json_roundtrip"] = out["graph_parquet_roundtrip"] = trip
-    out["src_dir"] = f"SELECT id, {_clean('content')} AS content FROM ({docs}) WHERE ord < 30"
+    out["graph_json_roundtrip"] = parts + " SELECT 'json' AS kind, f[1] AS name, upper(f[2]) AS type, f[3] AS description, chunk_id AS chunks, 1.0::DOUBLE AS confidence FROM p WHERE len(f) = 3 AND f[1] <> '' AND f[2] <> '' UNION ALL SELECT 'json', concat(f[1], '|', f[3]), upper(f[2]), f[4], chunk_id, 1.0 FROM p WHERE len(f) = 4 AND f[1] <> '' AND f[2] <> '' AND f[3] <> ''"
+    out["graph_parquet_roundtrip"] = f"""SELECT 'parquet' AS kind, name, type, description, chunk AS chunks, round(confidence, 6) AS confidence FROM ({me})
+UNION ALL SELECT 'parquet', concat(source_entity, '|', target_entity), relationship_type, description, chunk, round(confidence, 6) FROM ({mr})"""
+    out["src_dir"] = f"SELECT id, {_clean('content')} AS content FROM ({docs})"
     out["docs_sample"] = f"SELECT id, ord FROM ({docs}) ORDER BY ord LIMIT 25"
     return out

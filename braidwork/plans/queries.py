@@ -62,7 +62,7 @@ def token_estimate(s, d):
 
 
 def extraction_prompt(s, d):
-    return _docs(s, d).filter("ord < 100").select("id", T.extraction_prompt(F.col("content")).alias("prompt"))
+    return _docs(s, d).select("id", T.extraction_prompt(F.col("content")).alias("prompt"))
 
 
 def normalize_name(s, d):
@@ -92,7 +92,7 @@ def parse_relationships(s, d):
 
 def extract_batch(s, d):
     """The model is a stub that names each text's first word."""
-    chunks = chunk.chunk_documents(_docs(s, d).filter("ord < 50"), 800, 150).withColumn("ord", F.col("doc_ord") * 100000 + F.col("chunk_index"))
+    chunks = chunk.chunk_documents(_docs(s, d), 800, 150).withColumn("ord", F.col("doc_ord") * 100000 + F.col("chunk_index"))
 
     def generate(prompts):
         bodies = [p.split("## Text to Process:\n")[1].split() for p in prompts]
@@ -108,11 +108,12 @@ def name_similarity_join(s, d):
 
 def entity_pair_similarity(s, d):
     e, *_ = _vec(s, d)
-    rows = e.filter("ord < 100").select("ord", "type", "name", "embedding")
-    other = rows.select(F.col("ord").alias("ord_b"), F.col("type"), F.col("name").alias("name_b"), F.col("embedding").alias("embedding_b"))
-    both = rows.join(other, "type").filter("ord < ord_b")
-    total = 0.7 * T.name_similarity(F.col("name"), F.col("name_b")) + 0.3 * T.cosine(F.col("embedding"), F.col("embedding_b"))
-    return both.select("ord", "ord_b", F.round(total, 6).alias("similarity"))
+    return resolve.entity_pairs(e, 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def greedy_clusters_embedding(s, d):
+    e, *_ = _vec(s, d)
+    return resolve.clusters(e, 0.6, embeddings=True)
 
 
 def greedy_clusters(s, d):
@@ -258,7 +259,7 @@ def relevance_boost(s, d):
 
 def induced_relationships(s, d):
     e, r, _ = _vec(s, d)
-    return retrieve.induced_relationships(r, e.filter("ord % 3 = 0")).select("source_entity", "target_entity", "relationship_type", "ord")
+    return retrieve.induced_relationships(r, e.filter("type in ('L3', 'L5', 'L8')")).select("source_entity", "target_entity", "relationship_type", "ord")
 
 
 def related_chunks(s, d):
@@ -298,7 +299,7 @@ def related_entities(s, d):
 
 def keyword_context(s, d):
     e, r, c = _vec(s, d)
-    found = retrieve.KeywordRetriever(e.filter("ord < 30"), r, c.select("id", F.col("text").alias("content"), "ord")).context("is vec_1 or vec_2 near?")
+    found = retrieve.KeywordRetriever(e, r, c.select("id", F.col("text").alias("content"), "ord")).context("is vec_1 or vec_2 near?")
     return found.select("entity", "source")
 
 
@@ -320,14 +321,14 @@ def dedupe_results(s, d):
 def merge_traversals(s, d):
     r = _rels(s, d).select("source_entity", "target_entity", "relationship_type", "ord")
     e = _merge(s, d).select("name", "ord").withColumn("tag", F.lit("t"))
-    _, edges, _, depth = prompt.merge_traversals([(e.filter("ord < 500"), r.filter("ord % 2 = 0"), 1), (e, r, 2)])
+    _, edges, _, depth = prompt.merge_traversals([(e, r.filter("relationship_type = 'R'"), 1), (e, r, 2)])
     return edges.select("part", "ord", "source_entity", "target_entity", "relationship_type", F.lit(depth).alias("depth"))
 
 
 def merge_traversal_entities(s, d):
     r = _rels(s, d).select("source_entity", "target_entity", "relationship_type", "ord")
-    e = _merge(s, d).select("name", "ord").withColumn("tag", F.lit("t"))
-    return prompt.merge_traversals([(e.filter("ord > 500"), r, 1), (e, r, 2)])[0].select("part", "ord", "name")
+    e = _merge(s, d).select("name", "ord", "type").withColumn("tag", F.lit("t"))
+    return prompt.merge_traversals([(e.filter("type > 'Brand#2'"), r, 1), (e, r, 2)])[0].select("part", "ord", "name")
 
 
 def _few(s, d):
@@ -359,34 +360,32 @@ def augmented_prompt(s, d):
 
 
 # sources and sinks
-def _as_graph(s, d):
-    e, r = _merge(s, d).filter("ord <= 300"), _rels(s, d).filter("ord <= 300")
-    return e, r
-
-
-def _round_trip(s, d, threshold):
-    e, r = _as_graph(s, d)
-    graph_store = store.GraphStore(s, runtime.table_path(s, "graph"), threshold)
-    graph_store.save(e.orderBy("ord"), r.orderBy("ord"), "graphs/graph")
+def _round_trip(s, e, r):
+    graph_store = store.GraphStore(s, runtime.table_path(s, "graph"))
+    kind = graph_store.save(e, r, "graphs/graph")
     a, b = graph_store.load("graphs/graph")
-    one = a.select(F.lit("entity").alias("kind"), "name", "type", "description", F.array_join("source_chunks", ",").alias("chunks"), F.round("confidence", 6).alias("confidence"))
-    two = b.select(F.lit("relationship"), F.concat_ws("|", "source_entity", "target_entity"), "relationship_type", "description", F.array_join("source_chunks", ","), F.round("confidence", 6))
+    one = a.select(F.lit(kind).alias("kind"), "name", "type", "description", F.array_join("source_chunks", ",").alias("chunks"), F.round("confidence", 6).alias("confidence"))
+    two = b.select(F.lit(kind), F.concat_ws("|", "source_entity", "target_entity"), "relationship_type", "description", F.array_join("source_chunks", ","), F.round("confidence", 6))
     return one.union(two)
 
 
 def graph_json_roundtrip(s, d):
-    return _round_trip(s, d, 10_000)
+    """A small graph: what the responses hold."""
+    empty = F.lit(None).cast("map<string,string>")
+    rows = X.fixture(s, d, X.RESPONSES)
+    return _round_trip(s, extract.parse_entities(rows).withColumn("properties", empty), extract.parse_relationships(rows).withColumn("properties", empty))
 
 
 def graph_parquet_roundtrip(s, d):
-    return _round_trip(s, d, 10)
+    """A graph above the threshold."""
+    return _round_trip(s, _merge(s, d), _rels(s, d))
 
 
 def src_dir(s, d):
     """Text files written by Spark, then loaded and cleaned."""
     base = runtime.table_path(s, "texts")
     files = store.GraphStore(s, base)
-    for r in _docs(s, d).filter("ord < 30").select("id", "content").collect():
+    for r in _docs(s, d).select("id", "content").toLocalIterator():
         files.write_text(f"sub/{r.id}.txt", r.content)
     files.write_text("sub/skip.csv", "a,b")
     return documents.load_documents(s, base)[0].select("id", "content")
@@ -401,7 +400,7 @@ def docs_sample(s, d):
 def all_queries() -> dict:
     own = (
         clean_text, chunk_documents, token_estimate, extraction_prompt, normalize_name, normalize_entity_name, name_similarity, parse_entities, parse_relationships, extract_batch,
-        name_similarity_join, entity_pair_similarity, greedy_clusters, merge_entities, merge_relationships, cosine_similarity, clamped_cosine, entity_embedding_text, search_entities,
+        name_similarity_join, entity_pair_similarity, greedy_clusters, greedy_clusters_embedding, merge_entities, merge_relationships, cosine_similarity, clamped_cosine, entity_embedding_text, search_entities,
         similar_entities, search_chunks, search_fallback, entity_context, adjacency, find_neighbors, bfs_nodes, bfs_edges, simple_paths, degree_centrality, betweenness_approx, expand_balanced,
         expand_diverse, entity_clusters, relationship_summary, hybrid_retrieve, hybrid_relationships, embedding_only, graph_only, rank_combine, relevance_boost, induced_relationships, related_chunks,
         retrieval_confidence, query_expansion, retrieval_stats, entity_index, type_index, find_entities, related_entities, keyword_context, entity_mentions, filter_by_type, dedupe_results,
