@@ -176,8 +176,9 @@ def score(docs: DataFrame, train: F.Column, order: int = ORDER, prior: float = P
     rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "*").repartition(n, "block")
 
     def send(group: pa.Table) -> pa.Table:
-        from braidwork.llm.common import utf8
+        from braidwork.llm.common import trim, utf8
 
+        trim()  # what the group before has left
         group = group.combine_chunks()
         block = group["block"][0].as_py()
         body = [t for c in group["text"].chunks for t in utf8(c)]
@@ -191,8 +192,9 @@ def score(docs: DataFrame, train: F.Column, order: int = ORDER, prior: float = P
         return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "sums": pa.array([x[1] for x in out], pa.list_(pa.binary())), "kinds": pa.array([x[2] for x in out], pa.int64()), "tokens": pa.array([x[3] for x in out], pa.int64())})
 
     def finish(own: pa.Table, replies: pa.Table) -> pa.Table:
-        from braidwork.llm.common import utf8
+        from braidwork.llm.common import trim, utf8
 
+        trim()
         own = own.combine_chunks()
         got = sorted(zip(replies["bucket"].to_pylist(), replies["sums"].to_pylist(), strict=True))
         counts = [np.concatenate([unplanes(s[m], np.uint64) for _, s in got]) for m in range(order)]
