@@ -5,22 +5,26 @@ Records get COORDINATES min-hashes, each a uniformly sampled token of the set
 that sets share with the probability of their similarity. Each of RUNS runs
 samples one coordinate, and with probability 1/0.8 - 1 a second one, and splits
 all records by the token there. Buckets of up to LIMIT records are brute-forced;
-larger ones are split again on further sampled coordinates, up to DEPTH levels.
+larger ones are split again, each time on two further sampled coordinates, up to
+DEPTH levels or until a split leaves more than DENSE of the bucket together.
 A pair of similarity 0.8 is missed by all runs with probability 0.2^RUNS (7e-5)
 where buckets are within LIMIT.
 
 Brute force has two steps. Records without a partner of a similar sketch (the
 min-hashes' low bytes) leave. The others' whole sets are fetched, and all their
 similarities are computed exactly, by matrix products over the shared tokens. A
-bucket returns one row a record: how many documents it links to (counting a pair
-in the first bucket that it shares, so that sums over buckets count it once) and
-the bucket's root of its component. So results are linear in the bucket.
+bucket returns one row a record: how many documents it links to and the bucket's
+root of its component. So results are linear in the bucket. A record brings the
+list of its buckets, and a pair counts in the first that both are in, at whatever
+level that was brute-forced, so sums over buckets count each link once.
 
 A bucket that stays larger than LIMIT is of records that share nearly all
-coordinates. It is dealt by salt into parts of LIMIT / 2 records on average, each
-run's bucket differently; each part is joined on its own. Parts of different
-runs overlap in many records, which connects their classes; n_links then counts
-the links within parts, so it is a lower bound there.
+coordinates. It is dealt by salt into parts of LIMIT / 2 records on average, and
+every two of its parts are brute-forced together as one block. So all its pairs
+meet, no task holds more than about LIMIT records, and no pair is lost; a pair
+of one part counts in that part's first block only. Of a pair of similarity 0.8
+that shares a bucket, any number of further splits loses both paths with a
+probability below 0.0625, so all runs miss it with one below 2.5e-4.
 
 Classes are the components of the links, found by rounds of joins over links
 alone; nothing about all documents reaches the driver.
@@ -43,8 +47,8 @@ from braidwork import runtime
 from braidwork.llm.common import U64, WordHashes, kept, mix, planes, table, trim, unplanes, utf8
 
 WORDS, SIMILARITY = 5, 0.8
-COORDINATES, RUNS, DEPTH = 64, 6, 4
-LIMIT = 3000
+COORDINATES, RUNS, DEPTH = 64, 6, 8
+LIMIT, DENSE = 3000, 0.7
 #: A pair stays if its sketches agree in this share of the coordinates: 0.8 less 4.4 standard deviations.
 SKETCH = 0.58
 BROADCAST_ROWS = 1_000_000
@@ -52,7 +56,6 @@ _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
 #: The coordinates that the runs sample first, as (run, coordinate); no coordinate serves twice.
 FIRST = [(r, c) for r in range(RUNS) for c in ([r * 2, r * 2 + 1] if _RNG.random() < 1 / SIMILARITY - 1 else [r * 2])]
-OFTEN = 1 / SIMILARITY - 1
 
 
 def shingle_set(text: bytes, n: int = WORDS) -> np.ndarray:
@@ -77,10 +80,10 @@ def min_hashes(tokens: np.ndarray) -> np.ndarray:
 def child_keys(path: int, level: int, row: np.ndarray) -> list[int]:
     """The paths on which a record goes on from a bucket: what is sampled depends on the path alone."""
     h = xxhash.xxh3_64_intdigest(f"{path} {level}")
-    chosen = [COORDINATES // 4 + h % (COORDINATES - COORDINATES // 4)]
-    if (h >> 32) / 2**32 < OFTEN:
-        chosen.append(COORDINATES // 4 + (h >> 8) % (COORDINATES - COORDINATES // 4))
-    return [_key(path, c, int(row[c])) for c in dict.fromkeys(chosen)]
+    low, n = COORDINATES // 4, COORDINATES - COORDINATES // 4
+    one = h % n
+    two = (one + 1 + (h >> 32) % (n - 1)) % n
+    return [_key(path, low + c, int(row[low + c])) for c in (one, two)]
 
 
 def _key(path: int, coordinate: int, value: int) -> int:
@@ -151,29 +154,33 @@ def _deeper(rows: DataFrame, level: int) -> DataFrame:
                 own = child_keys(path, level, np.frombuffer(sketch, np.uint32))
                 keys += own
                 take += [i] * len(own)
-            part = batch.select(["sid", "copies", "sketch"]).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *part.columns], names=["key", "sid", "copies", "sketch"])
+            part = batch.select(["sid", "copies", "sketch", "size"]).take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *part.columns], names=["key", "sid", "copies", "sketch", "above"])
 
-    return rows.select("key", "sid", "copies", "sketch").mapInArrow(split, "key long, sid binary, copies long, sketch binary")
+    return rows.select("key", "sid", "copies", "sketch", "size").mapInArrow(split, "key long, sid binary, copies long, sketch binary, above long")
 
 
 def buckets(reps: DataFrame, limit: int, depth: int, broadcast_rows: int) -> DataFrame:
-    """key, sid, copies, sketch of all records in buckets of 2 to `limit` records."""
-    rows, out = _paths(reps), []
+    """key, bucket, part, sid, copies, sketch of all records in buckets of 2 to `limit` records, and in blocks of two parts of larger ones.
+
+    key names what is brute-forced together: a bucket, or a block of it. part is
+    the record's part, as -1 - part in all of the part's blocks but the first.
+    """
+    rows, out = _paths(reps).withColumn("above", F.lit(None).cast("long")), []
     for level in range(depth + 1):
         sizes = runtime.written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
         rows = rows.join(_bounded(sizes, broadcast_rows), "key")
         large = sizes.filter(F.col("size") > limit)
         n_large = large.count()
-        out.append(rows.filter(F.col("size") <= limit).drop("size"))
+        out.append(rows.filter(F.col("size") <= limit).select("key", F.col("key").alias("bucket"), F.lit(0).alias("part"), "sid", "copies", "sketch"))
         if not n_large:
             break
         rows = runtime.written(rows.filter(F.col("size") > limit), "large")
+        dense = F.coalesce(F.col("size") > DENSE * F.col("above"), F.lit(False)) if level < depth else F.lit(True)
+        out.append(_blocks(rows.filter(dense), limit))
         if level == depth:
-            parts = F.ceil(F.col("size") * 2 / limit)  # half the limit on average
-            salted = rows.withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("sid", "key"), parts))).drop("size")
-            out.append(salted)
             break
+        rows = rows.filter(~dense)
         rows = _deeper(rows, level)
     found = out[0]
     for more in out[1:]:
@@ -181,6 +188,16 @@ def buckets(reps: DataFrame, limit: int, depth: int, broadcast_rows: int) -> Dat
     return found
 
 
+def _blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """The records of buckets above the limit, in a block for each two of their bucket's parts. There are 3 parts or more."""
+    parts = F.ceil(F.col("size") * 2 / limit).cast("int")  # half the limit on average
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid", "key"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).filter("own <> other")
+    block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    first = F.col("other") == F.when(F.col("own") == 0, 1).otherwise(0)
+    return rows.select(block.alias("key"), F.col("key").alias("bucket"), F.when(first, F.col("own")).otherwise(-1 - F.col("own")).alias("part"), "sid", "copies", "sketch")
+
+
 def sketch_partners(rows: np.ndarray, share: float = SKETCH) -> np.ndarray:
     """Which sketches have a partner that agrees in the share of coordinates."""
     low = np.ascontiguousarray((rows & np.uint32(0xFF)).astype(np.uint8).T)
@@ -225,6 +242,23 @@ def links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return linked
 
 
+def counted_here(linked: np.ndarray, bucket: int, part: np.ndarray, leaves: list[list[int]]) -> np.ndarray:
+    """The links that this bucket or block counts: those of no earlier common bucket, and of one part in its first block."""
+    out = linked.copy()
+    for p in np.unique(part[part < 0]):
+        own = np.flatnonzero(part == p)
+        out[np.ix_(own, own)] = False
+    members: dict[int, list[int]] = {}
+    for i in np.flatnonzero(linked.any(axis=1)).tolist():
+        for leaf in leaves[i]:
+            if leaf < bucket:
+                members.setdefault(leaf, []).append(i)
+    for own in members.values():
+        if len(own) > 1:
+            out[np.ix_(own, own)] = False
+    return out
+
+
 def roots(linked: np.ndarray) -> np.ndarray:
     """The first member of each member's component."""
     root = np.full(len(linked), -1)
@@ -271,12 +305,10 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, de
             rows = np.array([np.frombuffer(s, np.uint32) for s in group["sketch"].to_pylist()])
             stay = sketch_partners(rows)
             if stay.any():
-                first = np.ascontiguousarray(rows[:, : COORDINATES // 4])
-                group = group.append_column("first", pa.array([r.tobytes() for r in first], pa.binary())).filter(pa.array(stay))
-                yield from group.select(["key", "sid", "copies", "first"]).combine_chunks().to_batches()
+                yield from group.filter(pa.array(stay)).select(["key", "bucket", "part", "sid", "copies"]).combine_chunks().to_batches()
         trim()
 
-    left = runtime.written(spread.mapInArrow(survive, "key long, sid binary, copies long, first binary"), "partners")
+    left = runtime.written(spread.mapInArrow(survive, "key long, bucket long, part int, sid binary, copies long"), "partners")
 
     # the whole sets of those that are left
     one = all_rows.join(_bounded(runtime.written(left.select("sid").distinct(), "wanted"), broadcast_rows), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k", "k2")).alias("key"))
@@ -289,25 +321,20 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, de
             yield pa.RecordBatch.from_pydict({"sid": batch["sid"], "tokens": pa.array([planes(np.diff(shingle_set(t), prepend=U64(0))) for t in utf8(batch["text"])], pa.binary())})
 
     sets = runtime.written(bodies.mapInArrow(fetch, "sid binary, tokens binary").dropDuplicates(["sid"]), "tokens")
+    leaves = left.groupBy("sid").agg(F.collect_set("bucket").alias("leaves"))
     # by sid first: a set serves in few buckets; then by bucket
-    full = left.join(sets, "sid").repartition("key").sortWithinPartitions("key")
+    full = left.join(sets.join(leaves, "sid"), "sid").repartition("key").sortWithinPartitions("key")
 
     def brute(batches):
         for group in _grouped(batches):
-            own = sorted(zip(*(group[c].to_pylist() for c in ("sid", "copies", "first", "tokens")), strict=True))
+            own = sorted(zip(*(group[c].to_pylist() for c in ("sid", "copies", "part", "leaves", "tokens")), strict=True))
             if len(own) < 2:
                 continue
             linked = links([np.cumsum(unplanes(t, U64), dtype=U64) for *_, t in own], similarity)
             if not linked.any():
                 continue
-            first = np.array([np.frombuffer(f, np.uint32) for _, _, f, _ in own])
-            here = group["key"][0].as_py()
-            counted = linked.copy()
-            order = {k: i for i, k in enumerate(FIRST)}
-            mine = next((order[run, c] for run, c in FIRST if _key(run, c, int(first[0, c])) == here and (first[:, c] == first[0, c]).all()), len(FIRST))
-            for run, c in FIRST[:mine]:  # pairs that shared an earlier bucket were counted there
-                counted &= first[:, None, c] != first[None, :, c]
-            copies = np.array([c for _, c, _, _ in own])
+            counted = counted_here(linked, group["bucket"][0].as_py(), np.array([x[2] for x in own]), [x[3] for x in own])
+            copies = np.array([x[1] for x in own])
             has = np.flatnonzero(linked.any(axis=1))
             root = roots(linked)
             yield pa.RecordBatch.from_pydict({"a": pa.array([own[i][0] for i in has], pa.binary()), "b": pa.array([own[root[i]][0] for i in has], pa.binary()), "links": pa.array((counted * copies[None, :]).sum(axis=1)[has], pa.int64())})

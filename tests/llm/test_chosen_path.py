@@ -61,6 +61,20 @@ def test_large_buckets_still_connect(docs):
     assert {r.class_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("limit,depth", [(40, 1), (40, 4), (100, 4), (9, 0)])
+def test_large_buckets_lose_no_link(docs, limit, depth):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.join(docs(rows), limit=limit, depth=depth).collect()}
+    assert got == brute(rows)
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 900))).astype(np.uint64) for _ in range(40)]
