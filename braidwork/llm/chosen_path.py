@@ -236,8 +236,10 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """A matrix of the pairs that are similar."""
     size = np.array([len(s) for s in sets], np.float64)
-    both = intersections(sets).astype(np.float64)
-    linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+    both, linked = intersections(sets), np.empty((len(sets), len(sets)), bool)
+    for a in range(0, len(sets), 256):  # few rows at a time, as wide numbers take room
+        own = both[a : a + 256].astype(np.float64)
+        linked[a : a + 256] = own >= similarity * (size[a : a + 256, None] + size[None, :] - own) - 1e-9
     np.fill_diagonal(linked, False)
     return linked
 
@@ -337,7 +339,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, de
             copies = np.array([x[1] for x in own])
             has = np.flatnonzero(linked.any(axis=1))
             root = roots(linked)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([own[i][0] for i in has], pa.binary()), "b": pa.array([own[root[i]][0] for i in has], pa.binary()), "links": pa.array((counted * copies[None, :]).sum(axis=1)[has], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array([own[i][0] for i in has], pa.binary()), "b": pa.array([own[root[i]][0] for i in has], pa.binary()), "links": pa.array([int(copies[counted[i]].sum()) for i in has], pa.int64())})
         trim()
 
     found = runtime.written(full.mapInArrow(brute, "a binary, b binary, links long"), "links")
