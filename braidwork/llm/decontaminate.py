@@ -3,19 +3,22 @@
 Texts are lower-case words of letters and digits; a shingle is five words in a
 row. An item of m shingles is compared with windows of m shingles.
 
-1. Windows. A window similar to an item shares shingles with it, and moving a
-   window right to its first shared shingle loses none of them. So windows that
-   start at a shared shingle suffice, and of those the ones whose shingles of
-   the item weigh SIMILARITY times the item or more.
-2. Fingerprints. The SimHash of a window has BITS bits.
+1. Windows. A shingle of no item weighs the most, so moving a window right past
+   one never makes it less similar. So windows that start at a shingle of any
+   item suffice, and of those the ones whose shingles of the item weigh
+   SIMILARITY times the item or more.
+2. Fingerprints. The SimHash of a window has BITS bits; a shingle adds plus or
+   minus the root of its weight, so that the sums vary and agree by weight.
 3. Multi-index Hamming. Fingerprints are cut into RADIUS + 1 blocks. Two within
    the radius agree in a block whole, so an equi-join on (size, block, value)
-   finds all of them; then distances are taken.
+   finds all of them.
 4. Verification. The exact weighted Jaccard similarity of the shingle multisets,
    a shingle weighing 1 + ln(items / items that hold it), must be SIMILARITY.
 
-At similarity 0.8 a bit differs with probability 0.15, so the radius lies over
-4 standard deviations off: it does not cost pairs that verification would keep.
+At similarity 0.8 a bit differs with probability 0.15 if many shingles of like
+weight are summed, and the radius lies 4 standard deviations off. Few, heavy or
+repeated shingles spread wider. So the pairs of step 1, which are a bound and
+hold all similar ones, are verified at any distance: the radius costs no pair.
 
 The benchmark's shingles are broadcast up to BROADCAST_ROWS of them, counted
 first; above that they are joined by shuffle. So are the documents with windows.
@@ -54,12 +57,12 @@ def shingles(text: Column, n: int = WORDS) -> Column:
     return F.get(F.transform(F.array(hashed), lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(n))))).otherwise(F.array().cast("array<bigint>"))), 0)
 
 
-def simhash(hashes: Column) -> Column:
-    """Bit b is set if more of the hashes have it than have not."""
+def simhash(signs: Column) -> Column:
+    """Bit b is set if the hashes that have it weigh more than those that have not. signs: (h, v), v a whole number."""
     one = F.lit(1).cast("long")
 
     def bit(b: Column) -> Column:
-        return F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.getbit(h, b) == 1, 1).otherwise(-1)) > 0
+        return F.aggregate(signs, F.lit(0).cast("long"), lambda acc, x: acc + F.when(F.getbit(x["h"], b) == 1, x["v"]).otherwise(-x["v"])) > 0
 
     def joined(bits: Column) -> Column:
         return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: F.call_function("shiftleft", acc, F.lit(1)).bitwiseOR(F.when(x, one).otherwise(0)))
@@ -94,13 +97,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     distance (of the fingerprints), similarity.
     """
     items = benchmark.select("item_id", "text").distinct().select("item_id", F.xxhash64("item_id", "text").alias("item"), shingles(F.col("text")).alias("own")).filter(F.size("own") > 0)
-    items = runtime.written(items.select("item_id", "item", "own", F.size("own").alias("m"), simhash(F.col("own")).alias("print")), "items")
+    items = runtime.written(items.select("item_id", "item", "own", F.size("own").alias("m")), "items")
     n_items = items.count()
     each = items.select("item", "m", F.explode("own").alias("h")).groupBy("item", "m", "h").agg(F.count(F.lit(1)).alias("c"))
     weigh = each.groupBy("h").agg((1 + F.log(F.lit(float(max(1, n_items))) / F.count(F.lit(1)))).alias("w"))
     top = heaviest(n_items)
     each = runtime.written(each.join(weigh, "h"), "shingles")
-    total = each.groupBy("item").agg(F.sum(F.col("w") * F.col("c")).alias("weight"))
+    signs = F.sort_array(F.collect_list(F.struct("h", (F.col("c") * root(F.col("w"))).alias("v"))))
+    total = each.groupBy("item", "m").agg(F.sum(F.col("w") * F.col("c")).alias("weight"), signs.alias("signs"))
+    total = runtime.written(total.select("item", "m", "weight", simhash(F.col("signs")).alias("print")), "totals")
 
     # hits: where documents hold a shingle of the benchmark
     rows = keyed(docs.select("doc_id", "text"))
@@ -108,33 +113,40 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     hits = placed.join(_bounded(runtime.written(weigh, "weights"), broadcast_rows), "h").distinct()
     hits = runtime.written(hits, "hits")
 
-    # windows: at each hit, of the size of each item that holds it
-    parts = each.select("h", "item", "m").join(total, "item")
+    # windows: at each hit, of the size of each item that weighs enough in the document
+    held = runtime.written(hits.groupBy("__k", "__k2").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "w"))).alias("hits")), "held")
+    least = F.lit(similarity - 1e-9) * F.col("weight")
+    weighed = lambda at: F.aggregate(at, F.lit(0.0), lambda acc, x: acc + x["w"])
+    parts = each.select("h", "item").join(total.select("item", "m", "weight"), "item")
     own = hits.join(_bounded(parts, broadcast_rows), "h")
     own = own.groupBy("__k", "__k2", "item", "m", "weight").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("at"))
-    inside = lambda p: F.aggregate(F.filter("at", lambda x: x["pos"].between(p["pos"], p["pos"] + F.col("m") - 1)), F.lit(0.0), lambda acc, x: acc + x["w"])
-    starts = F.transform(F.filter("at", lambda p: inside(p) >= F.lit(similarity - 1e-9) * F.col("weight")), lambda p: p["pos"])
-    windows = own.select("__k", "__k2", "m", F.explode(starts).alias("start")).distinct()
-    windows = runtime.written(windows, "windows")
+    own = own.filter(weighed("at") >= least).join(held, ["__k", "__k2"])
+    inside = lambda p: weighed(F.filter("at", lambda x: x["pos"].between(p["pos"], p["pos"] + F.col("m") - 1)))
+    starts = F.transform(F.filter("hits", lambda p: inside(p) >= least), lambda p: p["pos"])
+    bound = runtime.written(own.select("__k", "__k2", "item", "m", F.explode(starts).alias("start")), "bound")
+    windows = runtime.written(bound.select("__k", "__k2", "m", "start").distinct(), "windows")
 
     # fingerprints, from the documents that have windows
     some = _bounded(runtime.written(windows.select("__k", "__k2").distinct(), "keys"), broadcast_rows)
     whole = rows.join(some, ["__k", "__k2"], "left_semi").dropDuplicates(["__k", "__k2"]).select("__k", "__k2", "doc_id", shingles(F.col("text")).alias("all"))
-    held = hits.groupBy("__k", "__k2").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "w"))).alias("hits"))
-    cut = windows.join(whole, ["__k", "__k2"]).select("__k", "__k2", "doc_id", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("hashes"))
-    cut = runtime.written(cut.withColumn("print", simhash(F.col("hashes"))), "prints")
+    window_hits = F.filter("hits", lambda x: x["pos"].between(F.col("start"), F.col("start") + F.col("m") - 1))
+    cut = windows.join(whole.join(held, ["__k", "__k2"]), ["__k", "__k2"]).select("__k", "__k2", "doc_id", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("hashes"), window_hits.alias("in"))
+    # every shingle as one of no item, then the hits put right
+    rest = root(F.lit(top))
+    signs = F.concat(F.transform("hashes", lambda h: F.struct(h.alias("h"), rest.alias("v"))), F.transform("in", lambda x: F.struct(x["h"].alias("h"), (root(x["w"]) - rest).alias("v"))))
+    cut = runtime.written(cut.withColumn("print", simhash(signs)), "prints")
 
-    # all pairs within the radius
+    # all pairs within the radius, and those of the bound
     left = cut.select("__k", "__k2", "m", "start", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("__k", "__k2", "m", "start", F.col("print").alias("p1"), "b.block", "b.value")
-    right = items.select("item", "m", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("item", "m", F.col("print").alias("p2"), "b.block", "b.value")
-    near = left.join(right, ["m", "block", "value"]).select("__k", "__k2", "m", "start", "item", F.bit_count(F.col("p1").bitwiseXOR(F.col("p2"))).alias("distance")).filter(F.col("distance") <= radius).distinct()
+    right = total.select("item", "m", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("item", "m", F.col("print").alias("p2"), "b.block", "b.value")
+    apart = F.bit_count(F.col("p1").bitwiseXOR(F.col("p2")))
+    near = left.join(right, ["m", "block", "value"]).filter(apart <= radius).select("__k", "__k2", "item", "m", "start")
+    near = near.unionByName(bound).distinct()
 
     # exact weighted similarity
-    about = items.select("item", "item_id", "own").join(total, "item")
-    pairs = near.join(cut.select("__k", "__k2", "doc_id", "m", "start", "hashes"), ["__k", "__k2", "m", "start"]).join(held, ["__k", "__k2"]).join(about, "item")
-    window_hits = F.filter("hits", lambda x: x["pos"].between(F.col("start"), F.col("start") + F.col("m") - 1))
-    pairs = pairs.withColumn("in", window_hits)
-    weight = F.aggregate("in", F.lit(0.0), lambda acc, x: acc + x["w"]) + (F.size("hashes") - F.size("in")) * F.lit(top)
+    about = items.select("item", "item_id", "own").join(total.select("item", "weight", F.col("print").alias("p2")), "item")
+    pairs = near.join(cut.withColumnRenamed("print", "p1"), ["__k", "__k2", "m", "start"]).join(about, "item").withColumn("distance", apart)
+    weight = weighed("in") + (F.size("hashes") - F.size("in")) * F.lit(top)
     kinds = F.array_distinct(F.transform("in", lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"))))
     count = lambda where, h: F.size(where) - F.size(F.array_remove(where, h))
     common = F.aggregate(kinds, F.lit(0.0), lambda acc, x: acc + x["w"] * F.least(count(F.col("hashes"), x["h"]), count(F.col("own"), x["h"])))
@@ -149,6 +161,11 @@ def heaviest(n: int) -> float:
     return 1 + math.log(max(1, n))
 
 
+def root(weight: Column) -> Column:
+    """The root of a weight in thousandths, a whole number: sums don't depend on their order."""
+    return F.round(F.sqrt(weight) * 1000).cast("long")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold an item; all their columns are kept."""
     found = runtime.written(matches(docs, benchmark, **options).select("__k", "__k2").distinct(), "contaminated")

@@ -64,6 +64,32 @@ def test_matches_brute_force(spark, docs, seed, limit):
     assert len(got) > 10
 
 
+def test_shared_preamble(spark, docs):
+    """Items of one preamble: documents that end with an item's own part, or hold it after another preamble."""
+    rng = random.Random(7)
+    prose = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    long, short = prose(204), prose(34)
+    own = [prose(rng.randrange(185, 215)) for _ in range(200)]
+    items = [(i, " ".join((long if i < 150 else short) + x)) for i, x in enumerate(own)]
+    rows = [(i, " ".join(prose(30) + own[i])) for i in range(60)]
+    rows += [(i, " ".join(prose(30) + long[-30:] + own[i] + prose(60))) for i in range(150, 180)]
+    held = {i: grams(t) for i, t in items}
+    df = Counter(g for x in held.values() for g in set(x))
+    w = lambda g: 1 + math.log(200 / max(1, df[g]))
+    # only pairs that share enough can be similar
+    want = []
+    for d, text in rows:
+        words = Counter(grams(text))
+        for i, x in held.items():
+            if sum(w(g) for g in x if g in words) >= 0.79 * sum(map(w, x)):
+                c, g = Counter(x), grams(text)
+                best = max(sum(w(h) * n for h, n in (k & c).items()) / sum(w(h) * n for h, n in (k | c).items()) for k in (Counter(g[s : s + len(x)]) for s in range(len(g))))
+                want += [(d, i, round(best, 6))] if best >= 0.8 else []
+    assert sum(d < 150 for d, *_ in want) > 40 and sum(d >= 150 for d, *_ in want) > 20
+    got = decontaminate.matches(docs(rows), bench(spark, items)).collect()
+    assert sorted((r.doc_id, r.item_id, round(r.similarity, 6)) for r in got) == sorted(want)
+
+
 def test_radius_guarantee():
     """Fingerprints within the radius agree in a block, whichever bits differ."""
     rng = random.Random(1)
