@@ -293,7 +293,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, depth: int = DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, k, k2, class_id (the least doc_id of its class), n_links (other documents that are similar), n_copies."""
+    """doc_id, k, k2, class_id (the least doc_id of its class), n_links (other documents that are similar), n_copies, sid, root (its class's set)."""
     all_rows = runtime.written(records(docs), "records")
     reps = all_rows.filter("sid is not null").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.max("sketch").alias("sketch"))
     reps = runtime.written(reps, "sets")
@@ -348,20 +348,21 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, de
     named = reps.select("sid", "copies", "least").join(whole.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid")
     named = named.join(counts, "sid", "left")
     names = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    linked = named.join(names, "root").select("sid", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    alone = reps.join(linked.select("sid"), "sid", "left_anti").filter("copies > 1").select("sid", "copies", F.col("least").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    linked = named.join(names, "root").select("sid", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "root")
+    alone = reps.join(linked.select("sid"), "sid", "left_anti").filter("copies > 1").select("sid", "copies", F.col("least").alias("class_id"), F.lit(0).cast("long").alias("links"), F.col("sid").alias("root"))
     about = runtime.written(linked.unionByName(alone), "classes")
     out = all_rows.select("doc_id", "k", "k2", "sid").join(_bounded(about, broadcast_rows), "sid", "left")
     n_copies = F.coalesce(F.col("copies"), F.lit(1)).cast("long")
-    return out.select("doc_id", "k", "k2", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + n_copies - 1).alias("n_links"), n_copies.alias("n_copies"), "sid")
+    return out.select("doc_id", "k", "k2", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + n_copies - 1).alias("n_links"), n_copies.alias("n_copies"), "sid", F.coalesce("root", "sid").alias("root"))
 
 
 def dedupe(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class: the one of the least (doc_id, key); all columns are kept."""
     found = join(docs, **options)
     member = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k", "k2")
-    # a class is named by its least doc_id; where that is null, by its set, as is a text without words by itself
-    group = F.when(F.col("sid").isNull(), F.struct(F.lit(True).alias("own"), F.col("k").alias("x"), F.lit(None).cast("binary").alias("y"))).otherwise(F.struct(F.lit(False).alias("own"), F.col("class_id").cast("long").alias("x"), F.when(F.col("class_id").isNull(), F.col("sid")).alias("y")))
+    # a class is its component, whatever its doc_ids; a text without words is by itself
+    alone = F.col("sid").isNull()
+    group = F.struct("root", F.when(alone, F.col("k")).alias("k"), F.when(alone, F.col("k2")).alias("k2"))
     keep = found.groupBy(group.alias("g")).agg(F.min(member).alias("m"), F.sum(F.col("sid").isNull().cast("int")).alias("wordless")).select("m.k", "m.k2", "wordless")
     same = found.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("rows"))
     keep = runtime.written(keep.join(same, ["k", "k2"]).select("k", "k2", (F.col("rows") > 1).alias("repeated"), (F.col("wordless") > 0).alias("wordless")), "keep")

@@ -92,6 +92,21 @@ def test_dedupe(docs):
     assert got == sorted([("3", text + " more"), ("7", "other words here"), ("8", ""), ("8", ""), ("9", None), ("None", "only nameless words"), ("10", "long " * 50_000)], key=lambda r: (r[0], r[1] or "")) or sorted(map(str, got)) == sorted(map(str, [("3", text + " more"), ("7", "other words here"), ("8", ""), ("8", ""), ("9", None), ("None", "only nameless words"), ("10", "long " * 50_000)]))
 
 
+def test_dedupe_goes_by_component(docs):
+    """Unrelated texts of one doc_id all stay; of near copies without a doc_id one does."""
+    base = [f"n{i}" for i in range(80)]
+    near = [" ".join([*base[:-1], f"x{i}"]) for i in range(6)]
+    apart = [" ".join(f"u{i}w{j}" for j in range(40)) for i in range(5)]
+    kin = [a + " end" for a in apart]
+    rows = [(None, t) for t in near] + [(1, t) for t in apart] + [(1, kin[0]), (2, kin[1]), (None, "lone words"), (1, ""), (1, None)]
+    got = chosen_path.dedupe(docs(rows)).collect()
+    assert sum(r.doc_id is None and r.text in near for r in got) == 1
+    rest = sorted((str(r.doc_id), str(r.text)) for r in got if r.text not in near)
+    first = [t for _, t in rest if t in (apart[0], kin[0])]
+    assert len(first) == 1
+    assert rest == sorted([("1", first[0]), *(("1", a) for a in apart[1:]), ("None", "lone words"), ("1", ""), ("1", "None")])
+
+
 def test_empty(docs):
     assert chosen_path.join(docs([])).count() == 0
     assert chosen_path.dedupe(docs([])).count() == 0
