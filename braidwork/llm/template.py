@@ -46,10 +46,12 @@ SHORT_TEXT = 60
 BROADCAST_BYTES, SALTS = 32_000_000, 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|textarea|title|svg|math"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = "script|style|noscript|template|iframe|textarea|title|svg"
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mtable mtr mtd".split())
 CONTAINER = frozenset("body main article section div td table tbody tr".split())
-DROP_TAGS = frozenset("nav header footer aside form button select option menu dialog head figcaption".split())
+DROP_TAGS = frozenset("nav header footer aside form button select option menu dialog head".split())
+#: No word in a class drops these.
+NEVER = frozenset("html body main article".split())
 #: Words in class or id attributes and roles that tell what isn't main text.
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
@@ -80,7 +82,8 @@ def _label(name: str, attributes: str) -> tuple[str, bool]:
     marks = []
     for kind, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
-        drop = drop or not DROP_WORDS.isdisjoint(WORD.findall(value))
+        # "ad-banner" is of such words alone, "has-sidebar" is not
+        drop = drop or name not in NEVER and any((parts := WORD.findall(v)) and DROP_WORDS.issuperset(parts) for v in value.split())
         marks.append(f"{kind.lower()}={' '.join(sorted(value.split()))}")
     return " ".join([name, *sorted(marks)]), drop
 
