@@ -1,16 +1,18 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages of one host come from a template. A page's tokens are its opening and
-closing tags, told apart by their path of enclosing blocks, and its short text
-nodes. Tokens with the same occurrence vector (how often they stand in each of
+closing tags, told apart by their path of enclosing blocks, and its text nodes. Tokens with the same occurrence vector (how often they stand in each of
 the host's pages) form an equivalence class; classes of at least MIN_TOKENS tokens
 in at least MIN_PAGES pages and FREQUENT of the host's pages are the template's.
 They nest by their paths: a template node lies in the slot of its nearest
 enclosing template node. The texts of a slot over all pages tell what it is. The
 main slot is found from the body down: as long as one container that stands once
-in each page holds most of the running text, the search goes into it. Its text,
-without what stands in menus, headers, footers, adverts and the like, is the
-page's main text. Repeated article text is never taken for template.
+in each page holds all running text that doesn't repeat over the host's pages, the
+search goes into it. Its text, without what stands in menus, headers, footers,
+adverts and the like, and without slots beside the article of which all running
+text repeats, is the page's main text. A class name marks a block as no main text
+only as a whole, and never a block that holds most of the running text. Repeated
+text in the main slot's other parts is never taken for template.
 
 A vector is never held: its fingerprint is the xor of 64-bit hashes of (page,
 count), twice, with its support and sum. So classes of a host of any size come
@@ -40,11 +42,13 @@ from braidwork import runtime
 from braidwork.llm.common import slices, table
 
 MIN_PAGES, MIN_TOKENS, FREQUENT = 3, 3, 0.3
-#: A container is entered if it holds this share of the running text.
-SHARE = 0.6
-SHORT_TEXT = 60
+#: A marked block that holds more than this share of the running text is main text.
+SHARE = 0.5
 BROADCAST_BYTES, SALTS = 32_000_000, 64
 
+#: Blocks that stay beside the article though all their text is a link.
+KEPT_CHILDREN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|iframe|textarea|title|svg"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mtable mtr mtd".split())
@@ -66,26 +70,27 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 
 
 class Node:
-    """A block of a page: its label, token, parent, whether it is dropped, and its running and linked characters."""
+    """A block of a page: its label, token, parent, whether it is dropped by a tag, marked by a class name, and its running and linked characters."""
 
-    __slots__ = ("chars", "dropped", "label", "links", "name", "parent", "token")
+    __slots__ = ("chars", "dropped", "label", "links", "marked", "name", "parent", "token")
 
-    def __init__(self, name, label, token, parent, dropped):
-        self.name, self.label, self.token, self.parent, self.dropped = name, label, token, parent, dropped
+    def __init__(self, name, label, token, parent, dropped, marked=False):
+        self.name, self.label, self.token, self.parent, self.dropped, self.marked = name, label, token, parent, dropped, marked
         self.chars = self.links = 0
 
 
-def _label(name: str, attributes: str) -> tuple[str, bool]:
-    drop = name in DROP_TAGS
+def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """The label, whether the tag drops the block, and whether a whole class name, id or role marks it as no main text."""
+    drop, marked = name in DROP_TAGS, False
     if not attributes or "=" not in attributes:
-        return name, drop
+        return name, drop, marked
     marks = []
     for kind, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         # "ad-banner" is of such words alone, "has-sidebar" is not
-        drop = drop or name not in NEVER and any((parts := WORD.findall(v)) and DROP_WORDS.issuperset(parts) for v in value.split())
+        marked = marked or any((parts := WORD.findall(v)) and DROP_WORDS.issuperset(parts) for v in value.split())
         marks.append(f"{kind.lower()}={' '.join(sorted(value.split()))}")
-    return " ".join([name, *sorted(marks)]), drop
+    return " ".join([name, *sorted(marks)]), drop, marked and name not in NEVER
 
 
 def parse(html: str, labels: dict) -> tuple[list[tuple[Node, str]], dict[tuple[str, int], int]]:
@@ -106,8 +111,7 @@ def parse(html: str, labels: dict) -> tuple[list[tuple[Node, str]], dict[tuple[s
                 node = stack[-1]
                 node.chars += len(text)
                 texts.append((node, text))
-                if len(text) <= SHORT_TEXT:
-                    counts["t", xxhash.xxh3_64_intdigest(text, node.token)] += 1
+                counts["t", xxhash.xxh3_64_intdigest(text, node.token)] += 1
 
     def close(depth: int):
         flush()
@@ -156,7 +160,7 @@ def parse(html: str, labels: dict) -> tuple[list[tuple[Node, str]], dict[tuple[s
                 labels.clear()
             found = labels[key] = _label(*key)
         parent = stack[-1]
-        node = Node(name, found[0], xxhash.xxh3_64_intdigest(found[0], parent.token), parent, parent.dropped or found[1])
+        node = Node(name, found[0], xxhash.xxh3_64_intdigest(found[0], parent.token), parent, parent.dropped or found[1], found[2])
         counts["o", node.token] += 1
         stack.append(node)
     if at < len(html):
@@ -176,26 +180,51 @@ def lineage(node: Node) -> list[Node]:
     return out[::-1]
 
 
-def find_main(nodes: dict[int, tuple]) -> int:
-    """The main slot's token, from the body down.
+def running(node: Node, text: str) -> int:
+    return 0 if node.dropped else max(0, len(text) - node.links)
+
+
+def find_main(nodes: dict[int, tuple], repeated: dict[int, int]) -> tuple[int, frozenset, frozenset]:
+    """The main slot's token, from the body down, the marked tokens that are kept, and the main slot's children to leave out.
 
-    nodes: token -> (parent token, name, dropped, running characters in it that
-    are not dropped, whether it stands once in a page).
+    nodes: token -> (parent token, name, dropped, marked, running characters in it
+    that are neither dropped nor marked, those that aren't dropped, whether it
+    stands once in a page). repeated: token -> its own running characters that
+    repeat over the host's pages.
     """
     inner = defaultdict(list)
     for token, (parent, *_) in nodes.items():
         inner[parent].append(token)
-    whole = {t: n[3] for t, n in nodes.items()} | {0: sum(nodes[t][3] for t in inner[0])}
+    total = sum(nodes[t][5] for t in inner[0])
+    kept = frozenset(t for t, n in nodes.items() if n[3] and not n[2] and n[5] > SHARE * total)
+    whole = {t: n[4] for t, n in nodes.items()}
+
+    def above(t: int):
+        while t:
+            yield t
+            t = nodes[t][0]
+
+    for t in nodes:
+        if not kept.isdisjoint(up := list(above(t))):
+            whole.update((u, nodes[u][5]) for u in up)
+    fresh = dict(whole)
+    for t, chars in repeated.items():
+        if not any(nodes[u][3] and u not in kept for u in above(t)):
+            for u in above(t):
+                fresh[u] = max(0, fresh[u] - chars)
+    if not any(fresh.values()):  # every page is the same: nothing tells the article
+        fresh = whole
+    fresh[0] = sum(fresh[t] for t in inner[0])
     at = 0
     while True:
-        good = [t for t in inner[at] if nodes[t][4] and not nodes[t][2] and (nodes[t][1] in CONTAINER or nodes[t][1] == "html")]
-        best = max(good, key=lambda t: (whole[t], -t), default=None)
-        named = [t for t in good if nodes[t][1] in ("article", "main") and whole[t]]
-        if len(named) == 1:
-            best = named[0]
-        if best is None or not whole[best] or whole[best] < SHARE * whole[at] and best not in named:
-            return at
+        good = [t for t in inner[at] if nodes[t][6] and not nodes[t][2] and (not nodes[t][3] or t in kept) and (nodes[t][1] in CONTAINER or nodes[t][1] == "html")]
+        best = max(good, key=lambda t: (fresh[t], -t), default=None)
+        if best is None or not fresh[best] or fresh[best] < fresh[at]:
+            break
         at = best
+    if any(nodes[t][1] in ("article", "main") for t in above(at)):
+        return at, kept, frozenset()
+    return at, kept, frozenset(t for t in inner[at] if not fresh[t] and (whole[t] or nodes[t][1] not in KEPT_CHILDREN))
 
 
 def own_nodes(texts: list[tuple[Node, str]]) -> dict[int, tuple]:
@@ -203,19 +232,24 @@ def own_nodes(texts: list[tuple[Node, str]]) -> dict[int, tuple]:
     out: dict[int, tuple] = {}
     seen: dict[int, set] = defaultdict(set)
     for node, text in texts:
-        for n in lineage(node):
+        own, up = running(node, text), lineage(node)
+        plain = 0 if any(n.marked for n in up) else own
+        for n in up:
             seen[n.token].add(id(n))
-            own = 0 if node.dropped else max(0, len(text) - node.links)
-            parent, name, dropped, chars, _ = out.get(n.token, (n.parent.token, n.name, n.dropped, 0, True))
-            out[n.token] = (parent, name, dropped, chars + own, len(seen[n.token]) == 1)
+            parent, name, dropped, marked, chars, held, _ = out.get(n.token, (n.parent.token, n.name, n.dropped, n.marked, 0, 0, True))
+            out[n.token] = (parent, name, dropped, marked, chars + plain, held + own, len(seen[n.token]) == 1)
     return out
 
 
-def main_text(texts: list[tuple[Node, str]], main: int | None) -> str:
+def main_text(texts: list[tuple[Node, str]], found: tuple | None) -> str:
     """The text of the main slot; without one, of the page's own."""
-    if main is None or not any(n.token == main for node, _ in texts for n in lineage(node)):
-        main = find_main(own_nodes(texts))
-    return " ".join(text for node, text in texts if not node.dropped and (main == 0 or any(n.token == main for n in lineage(node))))
+    paths = [lineage(node) for node, _ in texts]
+    if found is None or not any(n.token == found[0] for up in paths for n in up):
+        loose = any(not up for up in paths)
+        found = find_main(own_nodes(texts), {})
+        found = (0, found[1], frozenset()) if loose else found
+    main, kept, left = found
+    return " ".join(text for (node, text), up in zip(texts, paths, strict=True) if not node.dropped and (main == 0 or any(n.token == main for n in up)) and not any(n.marked and n.token not in kept or n.token in left for n in up))
 
 
 def signed(x: int) -> int:
@@ -226,7 +260,7 @@ def host_column() -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-TOKENS = "host string, kind string, token long, parent long, name string, dropped boolean, support long, total long, chars long, x long, y long"
+TOKENS = "host string, kind string, token long, parent long, name string, dropped boolean, marked boolean, support long, total long, chars long, held long, x long, y long"
 
 
 def token_statistics(pages: DataFrame) -> DataFrame:
@@ -240,60 +274,72 @@ def token_statistics(pages: DataFrame) -> DataFrame:
                 for host, key, page in zip(own["host"].to_pylist(), own["page"].to_pylist(), own["html"].to_pylist(), strict=True):
                     texts, counts = parse(page, labels)
                     counts["#", 0] = 1
-                    about: dict[int, list] = {}
+                    about: dict[tuple, list] = {}
                     for node, text in texts:
-                        for n in lineage(node):
-                            a = about.setdefault(n.token, [n.parent.token, n.name, n.dropped, 0])
-                            a[3] += 0 if node.dropped else max(0, len(text) - node.links)
+                        own, up = running(node, text), lineage(node)
+                        plain = 0 if any(n.marked for n in up) else own
+                        for n in up:
+                            a = about.setdefault(("o", n.token), [n.parent.token, n.name, n.dropped, n.marked, 0, 0])
+                            a[4] += plain
+                            a[5] += own
+                        a = about.setdefault(("t", xxhash.xxh3_64_intdigest(text, node.token)), [node.token, "", False, False, 0, 0])
+                        a[4] += own
                     for (kind, token), c in counts.items():
-                        s = sums.setdefault((host, kind, token), [0, "", False, 0, 0, 0, 0, 0])
-                        a = about.get(token) if kind == "o" else None
+                        s = sums.setdefault((host, kind, token), [0, "", False, False, 0, 0, 0, 0, 0, 0])
+                        a = about.get((kind, token))
                         if a:
-                            s[0], s[1], s[2] = a[:3]
-                            s[5] += a[3]
-                        s[3] += 1
-                        s[4] += c
+                            s[:4] = a[:4]
+                            s[6] += a[4]
+                            s[7] += a[5]
+                        s[4] += 1
+                        s[5] += c
                         h = xxhash.xxh3_128_intdigest(f"{key} {c}")
-                        s[6] ^= h & (1 << 64) - 1
-                        s[7] ^= h >> 64
-                flat = [(host, kind, signed(token), signed(s[0]), s[1], s[2], s[3], s[4], s[5], signed(s[6]), signed(s[7])) for (host, kind, token), s in sums.items()]
+                        s[8] ^= h & (1 << 64) - 1
+                        s[9] ^= h >> 64
+                flat = [(host, kind, signed(token), signed(s[0]), *s[1:8], signed(s[8]), signed(s[9])) for (host, kind, token), s in sums.items()]
                 if flat:
-                    names = ("host", "kind", "token", "parent", "name", "dropped", "support", "total", "chars", "x", "y")
+                    names = ("host", "kind", "token", "parent", "name", "dropped", "marked", "support", "total", "chars", "held", "x", "y")
                     yield pa.RecordBatch.from_pydict(dict(zip(names, map(pa.array, zip(*flat, strict=True)), strict=True)))
 
     rows = pages.select(host_column().alias("host"), F.xxhash64("page_id", "url").alias("page"), F.coalesce("html", F.lit("")).alias("html"))
     found = rows.mapInArrow(count, TOKENS)
     return found.groupBy("host", "kind", "token").agg(
-        F.max("name").alias("name"), F.max_by("parent", "name").alias("parent"), F.max_by("dropped", "name").alias("dropped"),
-        F.sum("support").alias("support"), F.sum("total").alias("total"), F.sum("chars").alias("chars"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"),
+        F.max("name").alias("name"), F.max_by("parent", "name").alias("parent"), F.max_by("dropped", "name").alias("dropped"), F.max_by("marked", "name").alias("marked"),
+        F.sum("support").alias("support"), F.sum("total").alias("total"), F.sum("chars").alias("chars"), F.sum("held").alias("held"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"),
     )
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """One row for each host that has a template: host, nodes (its opening tags, nested by parent)."""
+    """One row for each host that has a template: host, nodes (its opening tags, nested by parent, and its repeated texts)."""
     # written, as three parts of the plan read it; most tokens stand in few pages and are gone by now
     often = runtime.written(token_statistics(pages).filter(F.col("support") >= min_pages), "tokens")
     hosts = often.filter("kind = '#'").select("host", F.col("support").alias("n_pages"))
     often = often.filter("kind <> '#'").join(hosts, "host").filter(F.col("support") >= FREQUENT * F.col("n_pages"))
     vector = ["host", "support", "total", "x", "y"]
     valid = often.groupBy(*vector).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_tokens).drop("size")
-    nodes = often.filter("kind = 'o' and name <> ''").join(valid, vector)
-    node = F.struct("token", "parent", "name", "dropped", "chars", (F.col("support") == F.col("total")).alias("once"))
+    # a text repeats or not, whatever class it is of
+    nodes = often.filter("kind = 'o' and name <> ''").join(valid, vector, "left_semi").unionByName(often.filter("kind = 't' and chars > 0"))
+    node = F.struct("kind", "token", "parent", "name", "dropped", "marked", "chars", "held", (F.col("support") == F.col("total")).alias("once"))
     return nodes.groupBy("host").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
 
 
-def main_of(nodes: list[dict]) -> int | None:
-    """The main slot of a host's template, None if its body isn't in it."""
-    by = {n["token"]: n for n in nodes}
-    tree = {n["token"]: (n["parent"] if n["parent"] in by else 0, n["name"], n["dropped"], n["chars"], n["once"]) for n in nodes}
-    main = find_main(tree)
-    return main & (1 << 64) - 1 if main else None
+def main_of(nodes: list[dict]) -> tuple[int, frozenset, frozenset] | None:
+    """find_main of a host's template, None if its body isn't in it."""
+    whole = lambda t: t & (1 << 64) - 1
+    by = {n["token"]: n for n in nodes if n["kind"] == "o"}
+    tree = {whole(t): (whole(n["parent"]) if n["parent"] in by else 0, n["name"], n["dropped"], n["marked"], n["chars"], n["held"], n["once"]) for t, n in by.items()}
+    repeated: dict[int, int] = defaultdict(int)
+    for n in nodes:
+        if n["kind"] == "t" and n["parent"] in by:
+            repeated[whole(n["parent"])] += n["chars"]
+    found = find_main(tree, repeated)
+    return found if found[0] else None
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text and n_chars of every page, and the main slot's token (null: the page's own)."""
     found = runtime.written(templates(pages, min_pages), "templates")
-    size = found.select(F.sum(40 + F.size("nodes") * 48)).first()[0] or 0
+    size = found.select(F.sum(40 + F.size("nodes") * 64)).first()[0] or 0
     kinds = dict(pages.dtypes)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_column().alias("host"))
     if size <= broadcast_bytes:
@@ -314,7 +360,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_bytes: int =
                     known[host] = main_of(nodes.as_py()) if nodes.is_valid else None
                 texts, _ = parse(page, labels)
                 out.append(main_text(texts, known[host]))
-                mains.append(None if known[host] is None else signed(known[host]))
+                mains.append(None if known[host] is None else signed(known[host][0]))
             yield pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "url": batch["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64()), "main_slot": pa.array(mains, pa.int64())})
 
     return rows.select("page_id", "url", "html", "host", "nodes").mapInArrow(read, f"page_id {kinds['page_id']}, url string, text string, n_chars long, main_slot long")

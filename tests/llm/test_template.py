@@ -63,6 +63,29 @@ def test_single_pages_and_edges(spark, docs):
     assert got[7] == [("long " * 50_000).strip()] and got[9] == ["deep"] and len(got[8]) == 1
 
 
+def test_class_names_and_siblings(spark, docs):
+    """A word within a class name drops no article, and differing text beside the largest block stays."""
+    rng, rows, want = random.Random(8), [], {}
+    say = lambda n: prose(rng, n).replace("&", "and")
+    for i in range(40):
+        a, b, c = say(40), say(90), say(20)
+        kinds = {
+            "sidebar": (f'<body class="has-sidebar"><div class="content with-sidebar"><p>{b}</p></div><div class="ad-banner">{c}</div></body>', b),
+            "open": (f'<body><article class="post comments"><p>{b}</p><figure><figcaption>{c}</figcaption></figure><p><math><mi>x</mi></math></p></article></body>', f"{b} {c} x"),
+            "most": (f'<body><div id="content" class="notice"><p>{b}</p></div><div class="comments">{c}</div></body>', b),
+            "intro": (f'<body><div class="x2"><div class="intro">{a}</div><div class="x3">{b}</div></div><div class="x4">{"always the same words " * 5}</div></body>', f"{a} {b}"),
+            "lead": (f"<body><h1>{c}</h1><article><p>{b}</p></article></body>", f"{c} {b}"),
+        }
+        for k, (kind, (html, text)) in enumerate(kinds.items()):
+            for host, n in (("many", 40), ("few", 1)):
+                if i < n and not (host == "few" and kind == "intro"):
+                    key = i * 100 + k * 10 + n % 7
+                    rows.append((key, f"http://{kind}.{host}.example.com/{i}", f"<html>{html}</html>"))
+                    want[key] = text
+    got = {r.page_id: r.text for r in template.extract(table(spark, rows)).collect()}
+    assert {k: (got[k], w) for k, w in want.items() if got[k] != w} == {}
+
+
 def test_classes_match_brute_force(spark, docs):
     """Tokens share a class if and only if their counts agree on every page."""
     rng, pages = random.Random(5), []
