@@ -294,6 +294,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, depth: int = DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, k, k2, class_id (the least doc_id of its class), n_links (other documents that are similar), n_copies, sid, root (its class's set)."""
+    if similarity < SIMILARITY:
+        raise ValueError(f"the sketch share and the runs are set for a similarity of {SIMILARITY} or more")
     all_rows = runtime.written(records(docs), "records")
     reps = all_rows.filter("sid is not null").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.max("sketch").alias("sketch"))
     reps = runtime.written(reps, "sets")

@@ -107,6 +107,11 @@ def test_dedupe_goes_by_component(docs):
     assert rest == sorted([("1", first[0]), *(("1", a) for a in apart[1:]), ("None", "lone words"), ("1", ""), ("1", "None")])
 
 
+def test_low_similarity_is_refused(docs):
+    with pytest.raises(ValueError, match="0.8"):
+        chosen_path.join(docs([]), similarity=0.6)
+
+
 def test_empty(docs):
     assert chosen_path.join(docs([])).count() == 0
     assert chosen_path.dedupe(docs([])).count() == 0
