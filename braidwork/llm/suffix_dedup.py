@@ -18,15 +18,19 @@ remaining suffixes are sorted by their first byte and the rank that follows, and
 both are merged. Then adjacent suffixes' first LENGTH bytes are compared.
 Segments that are alone with their minimizer need no sort: their number decides.
 
-Hot minimizers. If more than MOST distinct segments share one, they are dealt
+Hot keys. Joins with the rows of a minimizer, a segment or a repeated row split
+off the keys of more than HOT_ROWS rows. Those are at most HOT_KEYS, as each has
+that share of all rows, so they are broadcast and their rows stay where they are;
+all other rows are joined by shuffle. If more than MOST distinct segments share one, they are dealt
 anew by ranges of the string's place around it and the bytes common to a range,
 with ranges ever narrower; a range of one place has whole strings as its key, so
 its group is decided without a sort. No group is too large for a task, and
 nothing is dropped.
 
 Edge cases: null and empty texts have no bytes; texts shorter than LENGTH keep
-all; repeated rows are occurrences of their strings; a null doc_id is kept; an
-empty table gives no rows.
+all; repeated rows are occurrences of their strings, as ties are; a null doc_id is
+kept; a text of any length is cut in chunks of CHUNK bytes; an empty table gives no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidwork import runtime
-from braidwork.llm.chosen_path import _bounded, _grouped
+from braidwork.llm.chosen_path import _grouped
 from braidwork.llm.common import U64, kept, mix, slices, table, utf8
 
 LENGTH, GRAM = 400, 32
@@ -48,8 +52,10 @@ MOST = 2500
 #: Bytes of one sort. Names then have 21 bits, and three fit a 64-bit key.
 SORT_BYTES = 1_900_000
 CHUNK = 1 << 22
-#: Segments, and documents with spans, that are broadcast rather than joined by shuffle.
-BROADCAST_SEGMENTS, BROADCAST_ROWS = 20_000, 200_000
+#: Segments, and bytes of spans, that are broadcast rather than joined by shuffle.
+BROADCAST_SEGMENTS, BROADCAST_BYTES = 20_000, 16_000_000
+#: A key of more than so many rows, and of more than their number / HOT_KEYS, is hot. So HOT_KEYS bounds the hot keys.
+HOT_ROWS, HOT_KEYS = 20_000, 100_000
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -246,21 +252,37 @@ def _sorted_ranges(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "d1 long, d2 long, low int, high int")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """k, k2 and spans: the maximal runs (first, end) of the documents' bytes that repeated strings cover."""
+def _joined_by(rows: DataFrame, few: DataFrame, on: list[str], count: str, least: int) -> DataFrame:
+    """rows joined with few (one row a key, `count` of them in rows), without sending the rows of keys of more than `least`.
+
+    few must be written, not computed in this plan: then an uneven partition can be split, too.
+    """
+    hot = few.filter(F.col(count) > least)
+    if hot.isEmpty():
+        return rows.join(few, on)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(few.filter(F.col(count) <= least), on))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, broadcast_segments: int = BROADCAST_SEGMENTS, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """k, k2 and spans: the maximal runs (first, end) of the documents' bytes that repeated strings cover; and k, k2 of hot repeated rows."""
     rows = runtime.written(_segment_rows(docs, length, gram), "segments")
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    rows = runtime.written(rows.join(often, "key"), "shared")
+    least = max(hot_rows, rows.count() // HOT_KEYS)
+    copies = rows.filter("first = 0").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > least)
+    copies = runtime.written(copies.select("k", "k2"), "copies")
+    often = runtime.written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
+    rows = runtime.written(_joined_by(rows, often, ["key"], "c", least).drop("c"), "shared")
     place = F.struct("k", "k2", "first")
     unique = rows.groupBy("key", "d1", "d2", "starts", "place").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
     unique = runtime.written(unique, "unique")
-    several = unique.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    wanted = runtime.written(unique.join(several, "key").select("key", "d1", "d2", "starts", "place", "n", "kinds", "at.k", "at.k2", "at.first"), "wanted")
+    several = runtime.written(unique.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "several")
+    wanted = runtime.written(_joined_by(unique, several, ["key"], "kinds", least).select("key", "d1", "d2", "starts", "place", "n", "kinds", "at.k", "at.k2", "at.first"), "wanted")
 
     # the bytes of each distinct segment, from one document that holds it
     lists = wanted.groupBy("k", "k2").agg(F.collect_list(F.struct("key", "d1", "d2", "starts", "place", "n", "kinds", "first")).alias("list"))
     texts_ = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.hash("doc_id", "text").alias("k2"), F.col("text")).filter(F.octet_length("text") >= length)
-    held = texts_.join(F.broadcast(lists) if wanted.count() <= min(BROADCAST_SEGMENTS, broadcast_rows) else lists, ["k", "k2"]).select("k", "k2", "text", "list")
+    held = texts_.join(F.broadcast(lists), ["k", "k2"]) if wanted.count() <= broadcast_segments else _hot_and_cold(texts_, lists, copies, "inner")
+    held = held.select("k", "k2", "text", "list")
 
     def fetch(batches):
         for whole in batches:
@@ -280,7 +302,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
         width = max(1, width // 8) if width > 4 else 1
         parts = runtime.written(_narrower(hot, width, length), "ranges")
         sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        parts = runtime.written(parts.join(sizes, "key"), "ranges")
+        parts = runtime.written(_joined_by(parts, runtime.written(sizes, "sizes"), ["key"], "kinds", least), "ranges")
         if width == 1:  # one key, one string: all are repeated
             ranges.append(parts.filter("n = 1").select("d1", "d2", F.col("base").alias("low"), (F.col("base") + F.col("starts")).alias("high")))
             break
@@ -294,21 +316,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     once = found.join(unique.filter("n = 1").select("d1", "d2", "at"), ["d1", "d2"])
     span = lambda first, low, high: F.struct((first + low).cast("long").alias("first"), (first + high + length - 1).cast("long").alias("end"))
     once = once.select("at.k", "at.k2", span(F.col("at.first"), F.col("low"), F.col("high")).alias("span"))
-    many = rows.join(unique.filter("n > 1").select("key", "d1", "d2", "starts"), ["key", "d1", "d2", "starts"]).select("k", "k2", span(F.col("first"), F.lit(0), F.col("starts")).alias("span"))
+    many = _joined_by(rows, unique.filter("n > 1").select("key", "d1", "d2", "starts", "n"), ["key", "d1", "d2", "starts"], "n", least).select("k", "k2", span(F.col("first"), F.lit(0), F.col("starts")).alias("span"))
     spans = once.unionByName(many).groupBy("k", "k2").agg(F.sort_array(F.collect_set("span")).alias("spans"))
-    return spans.select("k", "k2", _merged(F.col("spans")).alias("spans"))
+    return spans.select("k", "k2", _merged(F.col("spans")).alias("spans")), copies
 
 
-def _merged(spans: Column) -> Column:
-    """Maximal runs of sorted spans: a document has few, so they are small to send."""
-    none = F.array().cast("array<struct<first:bigint,end:bigint>>")
+def _hot_and_cold(rows: DataFrame, few: DataFrame, copies: DataFrame, how: str) -> DataFrame:
+    """rows joined with few by (k, k2); rows of the keys in copies are not sent."""
+    on = ["k", "k2"]
+    if copies.isEmpty():
+        return rows.join(few, on, how)
+    copies = F.broadcast(copies)
+    hot = rows.join(copies, on, "left_semi").join(F.broadcast(few.join(copies, on, "left_semi")), on, how)
+    return hot.unionByName(rows.join(copies, on, "left_anti").join(few, on, how))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        wider = F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (x["first"] <= last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(spans, none, step)
+def _merged(spans: Column) -> Column:
+    """Maximal runs of sorted spans, whose ends rise with their starts: a document has few, so they are small to send."""
+    firsts = F.filter(spans, lambda x, i: (i == 0) | (x["first"] > F.get(spans, i - 1)["end"]))
+    lasts = F.filter(spans, lambda x, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["first"] > x["end"]))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["first"].alias("first"), b["end"].alias("end")))
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -322,11 +349,14 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove(docs: DataFrame, with_text: bool = False, length: int = LENGTH, gram: int = GRAM, most: int = MOST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def remove(docs: DataFrame, with_text: bool = False, length: int = LENGTH, gram: int = GRAM, most: int = MOST, broadcast_segments: int = BROADCAST_SEGMENTS, broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) if asked for."""
-    found = runtime.written(repeats(docs, length, gram, most, broadcast_rows), "spans")
+    found, copies = repeats(docs, length, gram, most, broadcast_segments, hot_rows)
+    found = runtime.written(found, "spans")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("k"), F.hash("doc_id", "text").alias("k2"))
-    rows = rows.join(_bounded(found, broadcast_rows), ["k", "k2"], "left").select("doc_id", "text", "spans")
+    n_bytes = found.select(F.sum(64 + 16 * F.size("spans"))).first()[0] or 0
+    rows = rows.join(F.broadcast(found), ["k", "k2"], "left") if n_bytes <= broadcast_bytes else _hot_and_cold(rows, found, copies, "left")
+    rows = rows.select("doc_id", "text", "spans")
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches):

@@ -28,16 +28,16 @@ def brute(rows, length):
         yield i, len(d), int(gone.sum()), int((np.diff(gone.astype(int)) == 1).sum()), hashlib.sha256(left).hexdigest()
 
 
-def check(docs, rows, length, gram, most, limit):
-    got = suffix_dedup.remove(docs(rows), True, length, gram, most, limit).collect()
+def check(docs, rows, length, gram, most, limit, hot=20_000):
+    got = suffix_dedup.remove(docs(rows), True, length, gram, most, limit, limit * 100, hot).collect()
     raw = [(i, (t or "").encode()) for i, t in rows]
     key = lambda r: (str(r[0]), *r[1:])
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=key) == sorted(brute(raw, length), key=key)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
-@pytest.mark.parametrize("length,gram,most,limit", [(12, 4, 2500, 100), (12, 4, 2, 0), (24, 8, 3, 0)])
-def test_matches_brute_force(docs, length, gram, most, limit):
+@pytest.mark.parametrize("length,gram,most,limit,hot", [(12, 4, 2500, 100, 20_000), (12, 4, 2, 0, 2), (24, 8, 3, 0, 1)])
+def test_matches_brute_force(docs, length, gram, most, limit, hot):
     rng = random.Random(length + most)
     passages = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(5, 60))) for _ in range(8)]
     rows = []
@@ -47,7 +47,8 @@ def test_matches_brute_force(docs, length, gram, most, limit):
             parts.append(rng.choice(passages) if rng.random() < 0.4 else "".join(rng.choice("abcdefgh漢") for _ in range(rng.randrange(30))))
         rows.append((i, "".join(parts)))
     rows += [(100, None), (101, ""), (102, "a" * 200), (103, passages[0] * 5), (104, "same text again and again"), (104, "same text again and again"), (None, "same text again and agaim")]
-    check(docs, rows, length, gram, most, limit)
+    rows += [(105, "one row many times, of whatever length")] * 9
+    check(docs, rows, length, gram, most, limit, hot)
 
 
 def test_production_parameters(docs):
