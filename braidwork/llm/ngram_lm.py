@@ -12,33 +12,44 @@ below: P(w) = (c(w) + 1) / (N + V + 1). Each level sums to one over the
 vocabulary and one slot for unknown words.
 
 The model is as large as the corpus, so no task and no broadcast ever holds it.
-Documents are dealt to blocks of bounded size by a hash. Each block sends its
-distinct n-grams, pre-aggregated and delta-coded, to buckets of the key range;
-a bucket sums the training counts and sends back one count for each n-gram
-asked for, in the order asked. The block then builds just the part of the
-automaton that its own texts can reach, which is exact. A frequent n-gram
-arrives once from each block, so no key is hot.
+Documents are dealt to blocks of bounded size by a hash; equal rows are dealt
+apart. Each block sends its distinct n-grams, pre-aggregated and delta-coded, to
+buckets of the key range; a bucket sums the training counts and sends back one
+count for each n-gram asked for, in the order asked. The block then builds just
+the part of the automaton that its own texts can reach, which is exact. A frequent
+n-gram arrives once from each block, so no key is hot.
+
+Of more than DIRECT blocks, each speaks to relays only: the blocks of one group
+and one wide range of keys share a relay, which merges what they ask, passes it
+on to the range's buckets and deals the answers out again. So n blocks send about
+n^1.5 messages, not n^2, and results are the same.
 
 Words are identified by 64-bit hashes.
 
 Edge cases: a null or empty text is one end token; null doc_ids are scored as
 any other and count as held out or not by the given column; repeated rows are
-scored and counted each; an empty table gives no rows; without training rows
-all counts are 0 and scores are those of the uniform model.
+scored and counted each; ties do not arise, as counts are sums; a text longer than
+a block makes its block as long as itself; columns of clashing names are not read
+but for `train`; an empty table gives no rows; without training rows all counts
+are 0 and scores are those of the uniform model.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import U64, blocks_for, mix, planes, texts, unplanes, volume, word_hashes
+from braidwork.llm.common import U64, blocks_for, mix, planes, prepare, slices, table, trim, unplanes, utf8, volume, word_hashes
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 10_000_000
 #: Production order and prior weight of each order above 1.
-ORDER, PRIOR = 2, 12.0
+ORDER, PRIOR = 3, 12.0
+#: Blocks that speak to buckets without relays, and partitions of one shuffle at most.
+DIRECT, PARTITIONS = 4096, 20_000
 #: Hashes that stand for the begin and end of a text; words are never empty.
 BEGIN, END = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
@@ -81,36 +92,43 @@ def bounds(n: int) -> np.ndarray:
     return np.array([(i << 64) // n for i in range(1, n)], U64)
 
 
-def ask(texts_: list[bytes], train: np.ndarray, order: int, n_buckets: int):
-    """For each bucket: the block's distinct keys of each order and their training counts."""
+def ask(texts_: list[bytes], train: np.ndarray, order: int, ends: np.ndarray):
+    """For each key range: the block's distinct keys of each order and their training counts."""
     lengths, starts, place, levels = block_grams(texts_, order)
     trained = np.repeat(train, lengths + 1)
-    cuts, ends = [], bounds(n_buckets)
+    found = []
     for distinct, index, _ in levels:
-        counts = np.bincount(index[(index >= 0) & trained], minlength=len(distinct)).astype(np.uint32)
-        cuts.append((distinct, counts, np.r_[0, np.searchsorted(distinct, ends), len(distinct)]))
-    for b in range(n_buckets):
-        keys, counts = [], []
-        for distinct, count, at in cuts:
-            part = distinct[at[b] : at[b + 1]]
-            keys.append(planes(np.diff(part, prepend=U64(0))))
-            counts.append(planes(count[at[b] : at[b + 1]]))
-        yield b, keys, counts
+        found.append((distinct, np.bincount(index[(index >= 0) & trained], minlength=len(distinct)).astype(np.uint64)))
+    yield from dealt(found, ends)
 
 
-def answer(requests: list[tuple[int, list[bytes], list[bytes]]], order: int):
-    """Total training counts for each block's keys, with the bucket's share of V and N."""
-    sums, kinds, tokens = [], 0, 0
+def dealt(found: list[tuple[np.ndarray, np.ndarray]], ends: np.ndarray):
+    """(range, keys of each order, counts of each order), coded, for the ranges that end at `ends`."""
+    cuts = [np.r_[0, np.searchsorted(distinct, ends), len(distinct)] for distinct, _ in found]
+    for b in range(len(ends) + 1):
+        keys = [planes(np.diff(distinct[at[b] : at[b + 1]], prepend=U64(0))) for (distinct, _), at in zip(found, cuts, strict=True)]
+        yield b, keys, [planes(count[at[b] : at[b + 1]]) for (_, count), at in zip(found, cuts, strict=True)]
+
+
+def merged(requests: list[tuple[int, list[bytes], list[bytes]]], order: int):
+    """For each order: distinct keys, their counts summed, each request's keys' places among them."""
     for m in range(order):
         keys = [np.cumsum(unplanes(r[1][m], U64), dtype=U64) for r in requests]
-        counts = [unplanes(r[2][m], np.uint32) for r in requests]
-        flat = np.concatenate(keys)
-        distinct, inverse = np.unique(flat, return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts).astype(np.float64), len(distinct)).astype(np.uint64)
+        counts = np.concatenate([unplanes(r[2][m], U64) for r in requests])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(distinct), U64)
+        np.add.at(total, inverse, counts)
+        yield distinct, total, np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def answer(requests: list[tuple[int, list[bytes], list[bytes]]], order: int):
+    """Total training counts for each sender's keys, with the bucket's share of V and N."""
+    sums, kinds, tokens = [], 0, 0
+    for m, (distinct, total, places) in enumerate(merged(requests, order)):
         if m == 0:
             word = distinct != mix(np.array([BEGIN]))[0]
             kinds, tokens = int(np.count_nonzero(total[word])), int(total[word].sum())
-        sums.append(np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1]))
+        sums.append([total[p] for p in places])
     for i, request in enumerate(requests):
         yield request[0], [planes(s[i]) for s in sums], kinds, tokens
 
@@ -135,21 +153,29 @@ class Automaton:
             self.fails.append(np.log10(prior / (counts[m - 1].astype(np.float64) + prior)))
             below = p
 
-    def traverse(self, tokens: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, given as positions; all start from their longest context."""
-        out = np.zeros(len(tokens))
-        open_ = np.arange(len(tokens))
-        for m in range(len(self.levels) - 1, 0, -1):
-            at = tokens[open_]
-            gram = self.levels[m][1][at]
-            has = gram >= 0  # the text holds so long a context
-            arc = has & (self.counts[m][gram] > 0)
-            out[open_[arc]] += self.arcs[m][gram[arc]]
-            fail = has & ~arc
-            out[open_[fail]] += self.fails[m][self.levels[m - 1][1][at[fail] - 1]]
-            open_ = open_[~arc]
-        out[open_] += self.arcs[0][self.levels[0][1][tokens[open_]]]
-        return out
+    def traverse(self, first: int, last: int) -> float:
+        """log10 probability of a text: of the tokens at positions first to last - 1, in one walk that carries the state.
+
+        The state is the number of words before a token that form a context which
+        training holds; it is the longest such, so arcs of longer ones need no look.
+        """
+        weights = [self.arcs[0][self.levels[0][1][first:last]].tolist()]
+        known = (self.counts[0][self.levels[0][1][first:last]] > 0).tolist()
+        failing: list[list[float]] = [[]]
+        for m in range(1, len(self.levels)):
+            gram = self.levels[m][1][first:last]
+            arc = (gram >= 0) & (self.counts[m][gram] > 0)
+            weights.append(np.where(arc, self.arcs[m][gram], 1.0).tolist())  # no log probability is above 0
+            failing.append(self.fails[m][self.levels[m - 1][1][first - 1 : last - 1]].tolist())
+        total, top = 0.0, len(weights) - 1
+        state = min(1, top)  # the begin of the text
+        for i in range(last - first):
+            while state and weights[state][i] > 0:
+                total += failing[state][i]
+                state -= 1
+            total += weights[state][i]
+            state = min(state + 1, top) if known[i] else 0
+        return total
 
 
 def score_block(texts_: list[bytes], counts, n_kinds: int, n_tokens: int, prior: float):
@@ -160,59 +186,135 @@ def score_block(texts_: list[bytes], counts, n_kinds: int, n_tokens: int, prior:
     cut = np.cumsum(lengths) - lengths
     known = np.add.reduceat((counts[0][levels[0][1][at]] > 0).astype(np.int64), cut)
     base = np.add.reduceat(model.arcs[0][levels[0][1][at]], cut)
-    return lengths, known, base, np.add.reduceat(model.traverse(at), cut)
+    whole = np.array([model.traverse(a + 1, a + 1 + n) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
+    return lengths, known, base, whole
+
+
+def _deal(n: int):
+    """Rows to (block, blob): blob holds the block's share of a batch, as a compressed Arrow stream."""
+
+    def deal(batches):
+        import xxhash
+        import zstandard
+        from pyspark import TaskContext
+
+        own, seen = TaskContext.get().partitionId(), {}
+        pack = zstandard.ZstdCompressor(level=3)
+        for whole in batches:
+            for batch in slices(whole, "text", 8_000_000):
+                members: dict[int, list[int]] = {}
+                for i, h in enumerate(batch["h"].to_pylist()):
+                    c = seen[h] = seen.get(h, -1) + 1  # equal rows differ by their number
+                    members.setdefault(xxhash.xxh3_64_intdigest(f"{h} {own} {c}") % n, []).append(i)
+                body = batch.select(["doc_id", "text", "train"])
+                out = []
+                for block, places in members.items():
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, body.schema) as stream:
+                        stream.write_batch(body.take(pa.array(places)))
+                    out.append((block, pack.compress(sink.getvalue())))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
+
+    return deal
+
+
+def _texts(blobs) -> tuple[pa.Array, list[bytes], np.ndarray]:
+    """doc_id, text and train of a block, in an order that doesn't depend on arrival."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    rows = pa.concat_tables(pa.ipc.open_stream(unpack.decompress(b)).read_all() for b in sorted(blobs.to_pylist())).combine_chunks()
+    return rows["doc_id"], [t for c in rows["text"].chunks for t in utf8(c)], rows["train"].to_numpy(zero_copy_only=False)
 
 
-def score(docs: DataFrame, train: F.Column, order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+_ASKED = "keys array<binary>, counts array<binary>"
+_TOLD = "sums array<binary>, kinds long, tokens long"
+
+
+def _asked(name: str, to: str, out: list[tuple]) -> pa.Table:
+    names, kinds = (to, name, "keys", "counts"), (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+    return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _told(name: str, to: str, out: list[tuple]) -> pa.Table:
+    names, kinds = (to, name, "sums", "kinds", "tokens"), (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.int64(), pa.int64())
+    return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _requests(group: pa.Table, sender: str) -> list[tuple]:
+    return sorted(zip(*(group[c].to_pylist() for c in (sender, "keys", "counts")), strict=True))
+
+
+def _sums(replies: pa.Table, sender: str, order: int) -> tuple[list[np.ndarray], int, int]:
+    """The answers' counts of each order, joined by the senders' key ranges; V and N in them."""
+    got = sorted(zip(replies[sender].to_pylist(), replies["sums"].to_pylist(), strict=True))
+    return [np.concatenate([unplanes(s[m], U64) for _, s in got]) for m in range(order)], *(sum(replies[c].to_pylist()) for c in ("kinds", "tokens"))
+
+
+def score(docs: DataFrame, train: F.Column, order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, direct: int = DIRECT) -> DataFrame:
     """Scores every text with the model of the rows where `train` holds.
 
     docs: doc_id, text; other columns may serve `train` and are not returned.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, train_kinds,
     base_score, score.
     """
+    prepare(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     _, n_bytes = volume(rows)
     n = blocks_for(n_bytes, block_bytes)
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "*").repartition(n, "block")
+    wide = n if n <= direct else math.isqrt(n - 1) + 1  # key ranges that a block speaks to
+    fine = 1 if n <= direct else -(-n // wide)  # buckets of a range
+    groups = n if n <= direct else wide  # of blocks, each with a relay for a range
+    ends = bounds(wide * fine)
+    to = lambda df, key: df.repartition(min(PARTITIONS, n), key).groupBy(key)
+    blocks = rows.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text", "train").mapInArrow(_deal(n), "block int, blob binary")
+    blocks = blocks.repartition(min(PARTITIONS, n), "block")
 
     def send(group: pa.Table) -> pa.Table:
-        from braidwork.llm.common import trim, utf8
-
         trim()  # what the group before has left
-        group = group.combine_chunks()
         block = group["block"][0].as_py()
-        body = [t for c in group["text"].chunks for t in utf8(c)]
-        out = [(b, block, k, c) for b, k, c in ask(body, group["train"].to_numpy(zero_copy_only=False), order, n)]
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "block": pa.array([x[1] for x in out], pa.int32()), "keys": pa.array([x[2] for x in out], pa.list_(pa.binary())), "counts": pa.array([x[3] for x in out], pa.list_(pa.binary()))})
+        _, body, trained = _texts(group["blob"])
+        relay = 0 if fine == 1 else block % groups * wide
+        return _asked("block", "at", [(relay + b, block, k, c) for b, k, c in ask(body, trained, order, ends[fine - 1 :: fine])])
+
+    def pass_on(group: pa.Table) -> pa.Table:
+        at = group["at"][0].as_py()
+        found = [(distinct, total) for distinct, total, _ in merged(_requests(group, "block"), order)]
+        low = at % wide * fine
+        return _asked("relay", "bucket", [(low + b, at, k, c) for b, k, c in dealt(found, ends[low : low + fine - 1])])
 
     def reply(group: pa.Table) -> pa.Table:
-        requests = sorted(zip(*(group[c].to_pylist() for c in ("block", "keys", "counts")), strict=True))
-        out = list(answer(requests, order))
-        bucket = group["bucket"][0].as_py()
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "sums": pa.array([x[1] for x in out], pa.list_(pa.binary())), "kinds": pa.array([x[2] for x in out], pa.int64()), "tokens": pa.array([x[3] for x in out], pa.int64())})
+        sender, key = ("block", "at") if fine == 1 else ("relay", "bucket")
+        bucket = group[key][0].as_py()
+        return _told(key, sender, [(x[0], bucket, *x[1:]) for x in answer(_requests(group, sender), order)])
 
-    def finish(own: pa.Table, replies: pa.Table) -> pa.Table:
-        from braidwork.llm.common import trim, utf8
+    def deal_out(group: pa.Table, replies: pa.Table) -> pa.Table:
+        at, requests = group["at"][0].as_py(), _requests(group, "block")
+        sums, kinds, tokens = _sums(replies, "bucket", order)
+        places = [p for *_, p in merged(requests, order)]
+        return _told("at", "block", [(r[0], at % wide, [planes(s[p[i]]) for s, p in zip(sums, places, strict=True)], kinds, tokens) for i, r in enumerate(requests)])
 
+    def finish(own: pa.Table, replies: pa.Table) -> pa.Table:
         trim()
-        own = own.combine_chunks()
-        got = sorted(zip(replies["bucket"].to_pylist(), replies["sums"].to_pylist(), strict=True))
-        counts = [np.concatenate([unplanes(s[m], np.uint64) for _, s in got]) for m in range(order)]
-        kinds, tokens = (sum(replies[c].to_pylist()) for c in ("kinds", "tokens"))
-        body = [t for c in own["text"].chunks for t in utf8(c)]
+        ids, body, trained = _texts(own["blob"])
+        counts, kinds, tokens = _sums(replies, "at", order)
         lengths, known, base, whole = score_block(body, counts, kinds, tokens, prior)
-        return pa.table({"doc_id": own["doc_id"], "held_out": pa.array(~own["train"].to_numpy(zero_copy_only=False)), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(body), tokens, np.int64)), "train_kinds": pa.array(np.full(len(body), kinds, np.int64)), "base_score": pa.array(base), "score": pa.array(whole)})
-
-    sent = rows.groupBy("block").applyInArrow(send, "bucket int, block int, keys array<binary>, counts array<binary>")
-    replies = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(reply, "block int, bucket int, sums array<binary>, kinds long, tokens long")
-    replies = replies.repartition(n, "block")
+        same = lambda x: pa.array(np.full(len(body), x, np.int64))
+        return pa.table({"doc_id": ids, "held_out": pa.array(~trained), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "train_tokens": same(tokens), "train_kinds": same(kinds), "base_score": pa.array(base), "score": pa.array(whole)})
+
+    asked = blocks.groupBy("block").applyInArrow(send, "at long, block long, " + _ASKED)
+    if fine == 1:
+        told = to(asked, "at").applyInArrow(reply, "block long, at long, " + _TOLD)
+    else:
+        passed = to(asked, "at").applyInArrow(pass_on, "bucket long, relay long, " + _ASKED)
+        back = to(passed, "bucket").applyInArrow(reply, "relay long, bucket long, " + _TOLD)
+        told = to(asked, "at").cogroup(to(back, "relay")).applyInArrow(deal_out, "block long, at long, " + _TOLD)
+    told = to(told.withColumn("block", F.col("block").cast("int")), "block")
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, train_kinds long, base_score double, score double"
-    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+    return blocks.groupBy("block").cogroup(told).applyInArrow(finish, schema)
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Scores all documents; those whose crc32(doc_id) mod 7 is 2 are held out of training."""
-    from braidwork.llm.common import table
-
     docs = table(spark, sf_dir, "documents")
     return score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2)

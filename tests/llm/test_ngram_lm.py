@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from braidwork.llm import ngram_lm
@@ -38,8 +39,8 @@ def brute(rows, order, prior):
 ROWS = [(1, "The cat sat on the mat"), (2, ""), (3, None), (4, "ÉCLAIR the cat\tsat\x0bOn"), (None, "the cat"), (4, "the cat"), (4, "the cat"), (9, "the " * 3000)]
 
 
-def check(docs, rows, order, blocks):
-    got = ngram_lm.score(docs(rows), F.expr(HELD), order=order, prior=2.0, block_bytes=blocks).collect()
+def check(docs, rows, order, blocks, direct=ngram_lm.DIRECT):
+    got = ngram_lm.score(docs(rows), F.expr(HELD), order=order, prior=2.0, block_bytes=blocks, direct=direct).collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
     want = sorted(brute(rows, order, 2.0), key=key)
@@ -54,6 +55,23 @@ def test_matches_brute_force(docs):
     rows = ROWS + [(100 + i, " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randrange(40)))) for i in range(60)]
     check(docs, rows, 2, 500)
     check(docs, rows, 3, 100_000)
+    check(docs, rows, 1, 5000)
+
+
+def test_relays(docs):
+    """Many blocks that speak to relays only give what one block gives; so does a row that repeats very often."""
+    rng = random.Random(2)
+    rows = ROWS + [(100 + i, " ".join(rng.choice("a b c d e f g".split()) for _ in range(rng.randrange(40)))) for i in range(60)] + [(7, "a row that repeats")] * 90
+    check(docs, rows, 3, 1500, direct=2)
+
+
+def test_equal_rows_are_dealt_apart(docs):
+    rows = docs([(1, "one text " * 20)] * 400).select("doc_id", "text", F.lit(True).alias("train"), F.xxhash64("doc_id", "text").alias("h"))
+    sizes = rows.mapInArrow(ngram_lm._deal(20), "block int, blob binary").collect()
+    found = Counter()
+    for r in sizes:
+        found[r.block] += len(ngram_lm._texts(pa.array([r.blob]))[1])
+    assert sum(found.values()) == 400 and max(found.values()) < 60
 
 
 def test_sums_to_one(docs):
