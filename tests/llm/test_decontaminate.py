@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from braidwork.llm import decontaminate
 
@@ -59,7 +60,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,limit", [(1, 1_000_000), (2, 0)])
 def test_matches_brute_force(spark, docs, seed, limit):
     rows, items = corpus(seed)
-    got = decontaminate.matches(docs(rows + rows[:5]), bench(spark, items + items[:2]), broadcast_rows=limit).collect()
+    got = decontaminate.matches(docs(rows + rows[:5]), bench(spark, items + items[:2]), broadcast_rows=limit, broadcast_shingles=limit).collect()
     assert sorted((r.doc_id, r.item_id, round(r.similarity, 6)) for r in got) == sorted(brute(rows, items))
     assert len(got) > 10
 
@@ -90,13 +91,38 @@ def test_shared_preamble(spark, docs):
     assert sorted((r.doc_id, r.item_id, round(r.similarity, 6)) for r in got) == sorted(want)
 
 
-def test_radius_guarantee():
-    """Fingerprints within the radius agree in a block, whichever bits differ."""
+def test_radius_guarantee(spark, docs):
+    """All pairs of fingerprints within the radius meet, whichever bits differ, and few others do."""
     rng = random.Random(1)
-    edges = [round(i * decontaminate.BITS / (decontaminate.RADIUS + 1)) for i in range(decontaminate.RADIUS + 2)]
-    for _ in range(500):
-        flip = set(rng.sample(range(64), decontaminate.RADIUS))
-        assert any(flip.isdisjoint(range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True))
+    item, rows, want = [rng.getrandbits(64) for _ in range(3)], [], {}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for k in range(300):
+        n = rng.choice([0, 20, decontaminate.RADIUS - 1, decontaminate.RADIUS, decontaminate.RADIUS + 1, 96])
+        own = list(item)
+        for b in rng.sample(range(decontaminate.BITS), n):
+            own[b // 64] ^= 1 << b % 64
+        want[k] = n
+        rows.append((k, 0, 7, 0, [signed(x) for x in own]))
+    prints = spark.createDataFrame(rows, "__k long, __k2 int, m int, start int, print array<long>")
+    total = spark.createDataFrame([(1, 7, [signed(x) for x in item]), (2, 8, [signed(x) for x in item])], "item long, m int, print array<long>")
+    got = {r["__k"]: (r["item"], r["distance"]) for r in decontaminate.near_pairs(prints, total).collect()}
+    assert got == {k: (1, n) for k, n in want.items() if n <= decontaminate.RADIUS}
+
+
+def test_blocks_are_selective(spark, docs):
+    """Unrelated fingerprints seldom meet in a block: 12 blocks, 697 of 65,536 values each."""
+    rng = random.Random(3)
+    one = lambda n, name: spark.createDataFrame([(i, [rng.getrandbits(63) - (1 << 62) for _ in range(3)]) for i in range(n)], f"{name} long, print array<long>")
+    left = one(300, "a").select("a", F.inline(decontaminate.blocks(F.col("print"))))
+    right = one(40, "b").select("b", F.inline(decontaminate.blocks(F.col("print")))).select("b", "block", F.explode(F.transform(decontaminate.flips(), lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
+    met = left.join(right, ["block", "value"]).select("a", "b").distinct().count()
+    assert met < 0.16 * 300 * 40
+
+
+def test_clashing_names(spark, docs):
+    df = docs([(1, "a b c d e f g h"), (2, "x y z u v w")]).selectExpr("*", "'mine' as __k", "'mine' as __k2", "'mine' as row")
+    out = decontaminate.clean(df, bench(spark, [(1, "a b c d e f g h")]))
+    assert [(r.doc_id, r["__k"], r["__k2"], r["row"]) for r in out.collect()] == [(2, "mine", "mine", "mine")] and out.columns == df.columns
 
 
 def test_clean(spark, docs):
