@@ -26,13 +26,20 @@ of one part counts in that part's first block only. Of a pair of similarity 0.8
 that shares a bucket, any number of further splits loses both paths with a
 probability below 0.0625, so all runs miss it with one below 2.5e-4.
 
+Sets may be long, so the sets of a bucket hold TOKENS tokens at most; one of more
+is dealt into parts in the same way.
+
 Classes are the components of the links, found by rounds of joins over links
 alone; nothing about all documents reaches the driver.
 
-Edge cases: a text of one to four words is one shingle; null texts and texts
+Joins with the rows of a key split off the hot keys, as those of a hub, of exact
+copies or of a large bucket: they are few, are broadcast and their rows stay.
+
+Edge cases: doc_ids are of any type; a text of one to four words is one shingle; null texts and texts
 without words link to nothing, not even to each other; a null doc_id is kept and
 never names a class unless all of its class are null; repeated rows are copies;
-an empty table gives no rows.
+ties go to the least doc_id; columns of clashing names are not read, and returned as
+they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,14 +51,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork import runtime
-from braidwork.llm.common import U64, WordHashes, kept, mix, planes, table, trim, unplanes, utf8
+from braidwork.llm.common import HOT_ROWS, U64, WordHashes, bounded, hot_from, joined_by, kept, mix, planes, prepare, table, trim, unplanes, utf8
 
 WORDS, SIMILARITY = 5, 0.8
 COORDINATES, RUNS, DEPTH = 64, 6, 8
 LIMIT, DENSE = 3000, 0.7
 #: A pair stays if its sketches agree in this share of the coordinates: 0.8 less 4.4 standard deviations.
 SKETCH = 0.58
-BROADCAST_ROWS = 1_000_000
+#: Bytes that are broadcast; a row of keys and binary names takes about ROW.
+BROADCAST_BYTES, ROW = 16_000_000, "96"
+#: Tokens of the sets that one brute force holds; a bucket of more is done part by part.
+TOKENS = 4_000_000
 _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
 #: The coordinates that the runs sample first, as (run, coordinate); no coordinate serves twice.
@@ -92,26 +102,22 @@ def _key(path: int, coordinate: int, value: int) -> int:
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, k and k2 (its key), sid (its set), sketch. No words: sid is null."""
+    """One row for each document: doc_id, k and k2 (its key), sid (its set), tokens (their number), sketch. No words: sid is null."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), F.hash("doc_id", "text").alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def sketch(batches):
         for batch in batches:
-            sids, sketches = [], []
+            sids, sketches, sizes = [], [], []
             for text in utf8(batch["text"]):
                 tokens = shingle_set(text)
                 sids.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 sketches.append(min_hashes(tokens).tobytes() if len(tokens) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "k": batch["k"], "k2": batch["k2"], "sid": pa.array(sids, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
+                sizes.append(len(tokens))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "k": batch["k"], "k2": batch["k2"], "sid": pa.array(sids, pa.binary()), "tokens": pa.array(sizes, pa.int64()), "sketch": pa.array(sketches, pa.binary())})
         trim()
 
-    return rows.mapInArrow(sketch, f"doc_id {kind}, k long, k2 int, sid binary, sketch binary")
-
-
-def _bounded(small: DataFrame, limit: int) -> DataFrame:
-    """small for a broadcast if it has at most `limit` rows, else as it is. It must be cheap to count."""
-    return F.broadcast(small) if small.count() <= limit else small
+    return rows.mapInArrow(sketch, f"doc_id {kind}, k long, k2 int, sid binary, tokens long, sketch binary")
 
 
 def _grouped(batches):
@@ -141,9 +147,9 @@ def _paths(reps: DataFrame) -> DataFrame:
             rows = np.array([np.frombuffer(s, np.uint32) for s in batch["sketch"].to_pylist()]).reshape(-1, COORDINATES)
             for run, c in FIRST:
                 keys = [_key(run, c, v) for v in rows[:, c].tolist()]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "sid": batch["sid"], "copies": batch["copies"], "sketch": batch["sketch"]})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "sid": batch["sid"], "copies": batch["copies"], "tokens": batch["tokens"], "sketch": batch["sketch"]})
 
-    return reps.select("sid", "copies", "sketch").mapInArrow(first, "key long, sid binary, copies long, sketch binary")
+    return reps.select("sid", "copies", "tokens", "sketch").mapInArrow(first, "key long, sid binary, copies long, tokens long, sketch binary")
 
 
 def _deeper(rows: DataFrame, level: int) -> DataFrame:
@@ -154,14 +160,14 @@ def _deeper(rows: DataFrame, level: int) -> DataFrame:
                 own = child_keys(path, level, np.frombuffer(sketch, np.uint32))
                 keys += own
                 take += [i] * len(own)
-            part = batch.select(["sid", "copies", "sketch", "size"]).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *part.columns], names=["key", "sid", "copies", "sketch", "above"])
+            part = batch.select(["sid", "copies", "tokens", "sketch", "size"]).take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *part.columns], names=["key", "sid", "copies", "tokens", "sketch", "above"])
 
-    return rows.select("key", "sid", "copies", "sketch", "size").mapInArrow(split, "key long, sid binary, copies long, sketch binary, above long")
+    return rows.select("key", "sid", "copies", "tokens", "sketch", "size").mapInArrow(split, "key long, sid binary, copies long, tokens long, sketch binary, above long")
 
 
-def buckets(reps: DataFrame, limit: int, depth: int, broadcast_rows: int) -> DataFrame:
-    """key, bucket, part, sid, copies, sketch of all records in buckets of 2 to `limit` records, and in blocks of two parts of larger ones.
+def buckets(reps: DataFrame, limit: int, depth: int, least: int) -> DataFrame:
+    """key, bucket, part, sid, copies, tokens, sketch of all records in buckets of 2 to `limit` records, and in blocks of two parts of larger ones.
 
     key names what is brute-forced together: a bucket, or a block of it. part is
     the record's part, as -1 - part in all of the part's blocks but the first.
@@ -169,10 +175,10 @@ def buckets(reps: DataFrame, limit: int, depth: int, broadcast_rows: int) -> Dat
     rows, out = _paths(reps).withColumn("above", F.lit(None).cast("long")), []
     for level in range(depth + 1):
         sizes = runtime.written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-        rows = rows.join(_bounded(sizes, broadcast_rows), "key")
+        rows = joined_by(rows, sizes, ["key"], "size", least)
         large = sizes.filter(F.col("size") > limit)
         n_large = large.count()
-        out.append(rows.filter(F.col("size") <= limit).select("key", F.col("key").alias("bucket"), F.lit(0).alias("part"), "sid", "copies", "sketch"))
+        out.append(rows.filter(F.col("size") <= limit).select("key", F.col("key").alias("bucket"), F.lit(0).alias("part"), "sid", "copies", "tokens", "sketch"))
         if not n_large:
             break
         rows = runtime.written(rows.filter(F.col("size") > limit), "large")
@@ -195,7 +201,24 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).filter("own <> other")
     block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     first = F.col("other") == F.when(F.col("own") == 0, 1).otherwise(0)
-    return rows.select(block.alias("key"), F.col("key").alias("bucket"), F.when(first, F.col("own")).otherwise(-1 - F.col("own")).alias("part"), "sid", "copies", "sketch")
+    return rows.select(block.alias("key"), F.col("key").alias("bucket"), F.when(first, F.col("own")).otherwise(-1 - F.col("own")).alias("part"), "sid", "copies", "tokens", "sketch")
+
+
+def lighter(left: DataFrame, tokens: int) -> DataFrame:
+    """left with `half`, and with the keys whose sets hold more than `tokens` tokens dealt into parts, each two of which are a key of their own.
+
+    half is to those parts what part is to a bucket's; 0 where nothing is dealt.
+    """
+    heavy = runtime.written(left.groupBy("key").agg(F.sum("tokens").alias("sum"), F.count(F.lit(1)).alias("n")).filter((F.col("sum") > tokens) & (F.col("n") > 2)), "heavy")
+    left = left.join(heavy.select("key", "sum"), "key", "left")
+    plain = left.filter("sum is null").drop("sum").withColumn("half", F.lit(0))
+    parts = F.greatest(F.ceil(F.col("sum") * 2 / tokens), F.lit(3)).cast("int")
+    rows = left.filter("sum is not null").withColumn("own", F.pmod(F.xxhash64("sid", "key", F.lit(1)), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).filter("own <> other")
+    first = F.col("other") == F.when(F.col("own") == 0, 1).otherwise(0)
+    rows = rows.withColumn("half", F.when(first, F.col("own")).otherwise(-1 - F.col("own")))
+    rows = rows.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), F.lit(1)))
+    return plain.unionByName(rows.select(*plain.columns))
 
 
 def sketch_partners(rows: np.ndarray, share: float = SKETCH) -> np.ndarray:
@@ -244,12 +267,13 @@ def links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return linked
 
 
-def counted_here(linked: np.ndarray, bucket: int, part: np.ndarray, leaves: list[list[int]]) -> np.ndarray:
+def counted_here(linked: np.ndarray, bucket: int, parts: list[np.ndarray], leaves: list[list[int]]) -> np.ndarray:
     """The links that this bucket or block counts: those of no earlier common bucket, and of one part in its first block."""
     out = linked.copy()
-    for p in np.unique(part[part < 0]):
-        own = np.flatnonzero(part == p)
-        out[np.ix_(own, own)] = False
+    for part in parts:
+        for p in np.unique(part[part < 0]):
+            own = np.flatnonzero(part == p)
+            out[np.ix_(own, own)] = False
     members: dict[int, list[int]] = {}
     for i in np.flatnonzero(linked.any(axis=1)).tolist():
         for leaf in leaves[i]:
@@ -274,32 +298,41 @@ def roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """a -> root for all ends of the edges (a, b): alternating large-star and small-star rounds, until nothing changes."""
+def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """a -> root for all ends of the edges (a, b): alternating large-star and small-star rounds, until nothing changes.
+
+    The edges of a hub stay where they are: its least neighbour is broadcast.
+    """
     now = runtime.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    n_now = now.count()
     while True:
+        hot = hot_from(n_now, hot_rows)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        own = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(own, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(own.select("a", F.col("m").alias("b")))
+        low = runtime.written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "low")
+        large = joined_by(both, low, ["a"], "n", hot).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = runtime.written(large, "large")
+        own = runtime.written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "own")
+        small = joined_by(large, own, ["a"], "n", hot).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(own.select("a", F.col("m").alias("b")))
         after = runtime.written(small.distinct(), "edges")
+        n_after = after.count()
         # a star forest: every a has one b, and no b is an a
-        same = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
-        now = after
+        same = n_after == n_now and after.join(now, ["a", "b"], "left_anti").isEmpty()
+        now, n_now = after, n_after
         if same:
             break
     return now.unionByName(now.select(F.col("b").alias("a"), "b").distinct())
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, depth: int = DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, depth: int = DEPTH, broadcast_bytes: int = BROADCAST_BYTES, tokens: int = TOKENS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, k, k2, class_id (the least doc_id of its class), n_links (other documents that are similar), n_copies, sid, root (its class's set)."""
     if similarity < SIMILARITY:
         raise ValueError(f"the sketch share and the runs are set for a similarity of {SIMILARITY} or more")
+    prepare(docs.sparkSession)
     all_rows = runtime.written(records(docs), "records")
-    reps = all_rows.filter("sid is not null").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.max("sketch").alias("sketch"))
+    hot = hot_from(all_rows.count(), hot_rows)
+    reps = all_rows.filter("sid is not null").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("k", "k2")).alias("at"), F.max("tokens").alias("tokens"), F.max("sketch").alias("sketch"))
     reps = runtime.written(reps, "sets")
-    spread = buckets(reps, limit, depth, broadcast_rows).repartition("key").sortWithinPartitions("key")
+    spread = buckets(reps, limit, depth, hot).repartition("key").sortWithinPartitions("key")
 
     def survive(batches):
         for group in _grouped(batches):
@@ -309,16 +342,17 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, de
             rows = np.array([np.frombuffer(s, np.uint32) for s in group["sketch"].to_pylist()])
             stay = sketch_partners(rows)
             if stay.any():
-                yield from group.filter(pa.array(stay)).select(["key", "bucket", "part", "sid", "copies"]).combine_chunks().to_batches()
+                yield from group.filter(pa.array(stay)).select(["key", "bucket", "part", "sid", "copies", "tokens"]).combine_chunks().to_batches()
         trim()
 
-    left = runtime.written(spread.mapInArrow(survive, "key long, bucket long, part int, sid binary, copies long"), "partners")
+    left = runtime.written(spread.mapInArrow(survive, "key long, bucket long, part int, sid binary, copies long, tokens long"), "partners")
 
     # the whole sets of those that are left
-    one = all_rows.join(_bounded(runtime.written(left.select("sid").distinct(), "wanted"), broadcast_rows), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k", "k2")).alias("key"))
-    one = runtime.written(one.select("sid", "key.k", "key.k2"), "wanted")
+    one = reps.join(bounded(runtime.written(left.select("sid").distinct(), "wanted"), broadcast_bytes, ROW), "sid", "left_semi")
+    one = runtime.written(one.select("sid", "at.k", "at.k2", "copies"), "wanted")
     bodies = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.hash("doc_id", "text").alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
-    bodies = bodies.join(_bounded(one, broadcast_rows), ["k", "k2"]).select("sid", "text")
+    small = bounded(one, broadcast_bytes, ROW)
+    bodies = (joined_by(bodies, one, ["k", "k2"], "copies", hot) if small is one else bodies.join(small, ["k", "k2"])).select("sid", "text")
 
     def fetch(batches):
         for batch in batches:
@@ -327,17 +361,17 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, de
     sets = runtime.written(bodies.mapInArrow(fetch, "sid binary, tokens binary").dropDuplicates(["sid"]), "tokens")
     leaves = left.groupBy("sid").agg(F.collect_set("bucket").alias("leaves"))
     # by sid first: a set serves in few buckets; then by bucket
-    full = left.join(sets.join(leaves, "sid"), "sid").repartition("key").sortWithinPartitions("key")
+    full = lighter(left, tokens).drop("tokens").join(sets.join(leaves, "sid"), "sid").repartition("key").sortWithinPartitions("key")
 
     def brute(batches):
         for group in _grouped(batches):
-            own = sorted(zip(*(group[c].to_pylist() for c in ("sid", "copies", "part", "leaves", "tokens")), strict=True))
+            own = sorted(zip(*(group[c].to_pylist() for c in ("sid", "copies", "part", "half", "leaves", "tokens")), strict=True))
             if len(own) < 2:
                 continue
             linked = links([np.cumsum(unplanes(t, U64), dtype=U64) for *_, t in own], similarity)
             if not linked.any():
                 continue
-            counted = counted_here(linked, group["bucket"][0].as_py(), np.array([x[2] for x in own]), [x[3] for x in own])
+            counted = counted_here(linked, group["bucket"][0].as_py(), [np.array([x[c] for x in own]) for c in (2, 3)], [x[4] for x in own])
             copies = np.array([x[1] for x in own])
             has = np.flatnonzero(linked.any(axis=1))
             root = roots(linked)
@@ -345,15 +379,23 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT, de
         trim()
 
     found = runtime.written(full.mapInArrow(brute, "a binary, b binary, links long"), "links")
-    whole = components(found.select("a", "b"))
+    whole = components(found.select("a", "b"), hot_rows)
     counts = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     named = reps.select("sid", "copies", "least").join(whole.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid")
-    named = named.join(counts, "sid", "left")
-    names = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    linked = named.join(names, "root").select("sid", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "root")
+    named = runtime.written(named.join(counts, "sid", "left"), "named")
+    names = runtime.written(named.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")), "names")
+    linked = joined_by(named, names, ["root"], "n", hot).select("sid", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "root")
     alone = reps.join(linked.select("sid"), "sid", "left_anti").filter("copies > 1").select("sid", "copies", F.col("least").alias("class_id"), F.lit(0).cast("long").alias("links"), F.col("sid").alias("root"))
     about = runtime.written(linked.unionByName(alone), "classes")
-    out = all_rows.select("doc_id", "k", "k2", "sid").join(_bounded(about, broadcast_rows), "sid", "left")
+    rows = all_rows.select("doc_id", "k", "k2", "sid")
+    small = bounded(about, broadcast_bytes, ROW)
+    if small is about:  # without words there is nothing to join, and exact copies may be many
+        many = F.broadcast(about.filter(F.col("copies") > hot))
+        out = rows.filter("sid is not null")
+        out = out.join(many, "sid").unionByName(out.join(many, "sid", "left_anti").join(about.filter(F.col("copies") <= hot), "sid", "left"))
+        out = out.unionByName(rows.filter("sid is null"), allowMissingColumns=True)
+    else:
+        out = rows.join(small, "sid", "left")
     n_copies = F.coalesce(F.col("copies"), F.lit(1)).cast("long")
     return out.select("doc_id", "k", "k2", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + n_copies - 1).alias("n_links"), n_copies.alias("n_copies"), "sid", F.coalesce("root", "sid").alias("root"))
 
@@ -367,12 +409,13 @@ def dedupe(docs: DataFrame, **options) -> DataFrame:
     group = F.struct("root", F.when(alone, F.col("k")).alias("k"), F.when(alone, F.col("k2")).alias("k2"))
     keep = found.groupBy(group.alias("g")).agg(F.min(member).alias("m"), F.sum(F.col("sid").isNull().cast("int")).alias("wordless")).select("m.k", "m.k2", "wordless")
     same = found.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("rows"))
-    keep = runtime.written(keep.join(same, ["k", "k2"]).select("k", "k2", (F.col("rows") > 1).alias("repeated"), (F.col("wordless") > 0).alias("wordless")), "keep")
-    keep = keep.select(F.col("k").alias("__k"), F.col("k2").alias("__k2"), F.col("repeated").alias("__repeated"), F.col("wordless").alias("__wordless"))
-    rows = docs.withColumns({"__k": F.xxhash64("doc_id", "text"), "__k2": F.hash("doc_id", "text")}).join(_bounded(keep, BROADCAST_ROWS), ["__k", "__k2"])
-    single = rows.filter("not __repeated or __wordless")
-    again = rows.filter("__repeated and not __wordless").dropDuplicates(["__k", "__k2"])
-    return single.unionByName(again).select(*docs.columns)
+    keep = runtime.written(keep.join(same, ["k", "k2"]).select("k", "k2", "rows", (F.col("wordless") > 0).alias("wordless")), "keep")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("k"), F.hash("doc_id", "text").alias("k2"))
+    small = bounded(keep, BROADCAST_BYTES, ROW)
+    rows = joined_by(rows, keep, ["k", "k2"], "rows", HOT_ROWS) if small is keep else rows.join(small, ["k", "k2"])
+    single = rows.filter("rows = 1 or wordless")
+    again = rows.filter("rows > 1 and not wordless").dropDuplicates(["k", "k2"])
+    return single.unionByName(again).select("row.*")
 
 
 def op9_chosen_path(spark, sf_dir: str) -> DataFrame:

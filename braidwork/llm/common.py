@@ -83,6 +83,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bounded(small: DataFrame, n_bytes: int, row: str = "48") -> DataFrame:
+    """small for a broadcast if its rows, of `row` bytes each (an expression), hold at most n_bytes together; else as it is. It must be written."""
+    size = small.agg(F.sum(F.expr(row).cast("long"))).first()[0] or 0
+    return F.broadcast(small) if size <= n_bytes else small
+
+
+#: A key of more than HOT_ROWS rows, and of more than their number / HOT_KEYS, is hot. So HOT_KEYS bounds the hot keys.
+HOT_ROWS, HOT_KEYS = 20_000, 100_000
+
+
+def hot_from(n_rows: int, hot_rows: int = HOT_ROWS) -> int:
+    """A key of more rows than this is hot."""
+    return max(hot_rows, n_rows // HOT_KEYS)
+
+
+def joined_by(rows: DataFrame, few: DataFrame, on: list[str], count: str, least: int) -> DataFrame:
+    """rows joined with few (one row a key, `count` of them in rows at most), without sending the rows of keys of more than `least`.
+
+    few must be written, not computed in this plan: then an uneven partition can be split, too.
+    """
+    hot = few.filter(F.col(count) > least)
+    if hot.isEmpty():
+        return rows.join(few, on)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(few.filter(F.col(count) <= least), on))
+
+
 def trim() -> None:
     """Give freed memory back: workers live on between tasks, beside the executor's heap."""
     import ctypes

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from braidwork import runtime
 from braidwork.llm.chosen_path import _grouped
-from braidwork.llm.common import U64, kept, mix, slices, table, utf8
+from braidwork.llm.common import HOT_ROWS, U64, hot_from, joined_by, kept, mix, slices, table, utf8
 
 LENGTH, GRAM = 400, 32
 MOST = 2500
@@ -54,8 +54,6 @@ SORT_BYTES = 1_900_000
 CHUNK = 1 << 22
 #: Segments, and bytes of spans, that are broadcast rather than joined by shuffle.
 BROADCAST_SEGMENTS, BROADCAST_BYTES = 20_000, 16_000_000
-#: A key of more than so many rows, and of more than their number / HOT_KEYS, is hot. So HOT_KEYS bounds the hot keys.
-HOT_ROWS, HOT_KEYS = 20_000, 100_000
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -252,31 +250,19 @@ def _sorted_ranges(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "d1 long, d2 long, low int, high int")
 
 
-def _joined_by(rows: DataFrame, few: DataFrame, on: list[str], count: str, least: int) -> DataFrame:
-    """rows joined with few (one row a key, `count` of them in rows), without sending the rows of keys of more than `least`.
-
-    few must be written, not computed in this plan: then an uneven partition can be split, too.
-    """
-    hot = few.filter(F.col(count) > least)
-    if hot.isEmpty():
-        return rows.join(few, on)
-    hot = F.broadcast(hot)
-    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(few.filter(F.col(count) <= least), on))
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, broadcast_segments: int = BROADCAST_SEGMENTS, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """k, k2 and spans: the maximal runs (first, end) of the documents' bytes that repeated strings cover; and k, k2 of hot repeated rows."""
     rows = runtime.written(_segment_rows(docs, length, gram), "segments")
-    least = max(hot_rows, rows.count() // HOT_KEYS)
+    least = hot_from(rows.count(), hot_rows)
     copies = rows.filter("first = 0").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > least)
     copies = runtime.written(copies.select("k", "k2"), "copies")
     often = runtime.written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
-    rows = runtime.written(_joined_by(rows, often, ["key"], "c", least).drop("c"), "shared")
+    rows = runtime.written(joined_by(rows, often, ["key"], "c", least).drop("c"), "shared")
     place = F.struct("k", "k2", "first")
     unique = rows.groupBy("key", "d1", "d2", "starts", "place").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
     unique = runtime.written(unique, "unique")
     several = runtime.written(unique.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "several")
-    wanted = runtime.written(_joined_by(unique, several, ["key"], "kinds", least).select("key", "d1", "d2", "starts", "place", "n", "kinds", "at.k", "at.k2", "at.first"), "wanted")
+    wanted = runtime.written(joined_by(unique, several, ["key"], "kinds", least).select("key", "d1", "d2", "starts", "place", "n", "kinds", "at.k", "at.k2", "at.first"), "wanted")
 
     # the bytes of each distinct segment, from one document that holds it
     lists = wanted.groupBy("k", "k2").agg(F.collect_list(F.struct("key", "d1", "d2", "starts", "place", "n", "kinds", "first")).alias("list"))
@@ -302,7 +288,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
         width = max(1, width // 8) if width > 4 else 1
         parts = runtime.written(_narrower(hot, width, length), "ranges")
         sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        parts = runtime.written(_joined_by(parts, runtime.written(sizes, "sizes"), ["key"], "kinds", least), "ranges")
+        parts = runtime.written(joined_by(parts, runtime.written(sizes, "sizes"), ["key"], "kinds", least), "ranges")
         if width == 1:  # one key, one string: all are repeated
             ranges.append(parts.filter("n = 1").select("d1", "d2", F.col("base").alias("low"), (F.col("base") + F.col("starts")).alias("high")))
             break
@@ -316,7 +302,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     once = found.join(unique.filter("n = 1").select("d1", "d2", "at"), ["d1", "d2"])
     span = lambda first, low, high: F.struct((first + low).cast("long").alias("first"), (first + high + length - 1).cast("long").alias("end"))
     once = once.select("at.k", "at.k2", span(F.col("at.first"), F.col("low"), F.col("high")).alias("span"))
-    many = _joined_by(rows, unique.filter("n > 1").select("key", "d1", "d2", "starts", "n"), ["key", "d1", "d2", "starts"], "n", least).select("k", "k2", span(F.col("first"), F.lit(0), F.col("starts")).alias("span"))
+    many = joined_by(rows, unique.filter("n > 1").select("key", "d1", "d2", "starts", "n"), ["key", "d1", "d2", "starts"], "n", least).select("k", "k2", span(F.col("first"), F.lit(0), F.col("starts")).alias("span"))
     spans = once.unionByName(many).groupBy("k", "k2").agg(F.sort_array(F.collect_set("span")).alias("spans"))
     return spans.select("k", "k2", _merged(F.col("spans")).alias("spans")), copies
 
@@ -350,7 +336,7 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove(docs: DataFrame, with_text: bool = False, length: int = LENGTH, gram: int = GRAM, most: int = MOST, broadcast_segments: int = BROADCAST_SEGMENTS, broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) if asked for."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, and kept (the remaining bytes) if asked for."""
     found, copies = repeats(docs, length, gram, most, broadcast_segments, hot_rows)
     found = runtime.written(found, "spans")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("k"), F.hash("doc_id", "text").alias("k2"))
@@ -369,12 +355,12 @@ def remove(docs: DataFrame, with_text: bool = False, length: int = LENGTH, gram:
                         parts.append(data[at:a])
                         at = b
                     left = b"".join([*parts, data[at:]])
-                    out.append((len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left if with_text else None))
+                    out.append((len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), len(left), left if with_text else None))
                 columns = list(zip(*out, strict=True))
-                arrays = [batch["doc_id"], *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                arrays = [batch["doc_id"], *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept"])
 
-    out = rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, kept binary")
     return out if with_text else out.drop("kept")
 
 

@@ -45,7 +45,7 @@ def corpus(seed, groups=25):
 @pytest.mark.parametrize("seed,limit", [(1, 3000), (2, 0)])
 def test_matches_brute_force(docs, seed, limit):
     rows = corpus(seed)
-    got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.join(docs(rows), broadcast_rows=limit * 1000).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.join(docs(rows), broadcast_bytes=limit * 100_000, hot_rows=20_000 if limit else 2).collect()}
     assert got == brute(rows)
 
 
@@ -75,6 +75,37 @@ def test_large_buckets_lose_no_link(docs, limit, depth):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("limit,tokens", [(3000, 1000), (40, 2500)])
+def test_heavy_buckets_lose_no_link(docs, limit, tokens):
+    """Buckets whose sets hold too many tokens are dealt into parts, also those that were dealt before."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.join(docs(rows), limit=limit, tokens=tokens).collect()}
+    assert got == brute(rows)
+
+
+def test_components_of_a_hub(spark, docs):
+    """A hub, a chain and a pair, with hot keys."""
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)] + [(200, 201), (59, 300)]
+    for hot in (1, 20_000):
+        got = {r.a: r.b for r in chosen_path.components(spark.createDataFrame(edges, "a long, b long"), hot).collect()}
+        assert got == {**dict.fromkeys([*range(60), 300], 0), **dict.fromkeys(range(100, 141), 100), 200: 200, 201: 200}
+
+
+def test_string_ids_and_clashing_names(docs):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = docs([(1, text), (2, text + " more"), (3, "other words")]).selectExpr("concat('id-', doc_id) as doc_id", "text", "'mine' as __k", "'mine' as k", "'mine' as k2", "'mine' as rows", "'mine' as row", "'mine' as wordless")
+    assert {(r.doc_id, r.class_id) for r in chosen_path.join(df).collect()} == {("id-1", "id-1"), ("id-2", "id-1"), ("id-3", "id-3")}
+    out = chosen_path.dedupe(df)
+    assert out.columns == df.columns and {(r.doc_id, r["__k"], r.k, r.k2, r["row"]) for r in out.collect()} == {(i, "mine", "mine", "mine", "mine") for i in ("id-1", "id-3")}
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 900))).astype(np.uint64) for _ in range(40)]

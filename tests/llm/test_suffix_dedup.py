@@ -32,6 +32,7 @@ def check(docs, rows, length, gram, most, limit, hot=20_000):
     got = suffix_dedup.remove(docs(rows), True, length, gram, most, limit, limit * 100, hot).collect()
     raw = [(i, (t or "").encode()) for i, t in rows]
     key = lambda r: (str(r[0]), *r[1:])
+    assert all(r.n_kept == r.n_bytes - r.n_removed for r in got)
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=key) == sorted(brute(raw, length), key=key)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
