@@ -9,13 +9,15 @@ and its weights are drawn towards their mean size, as naive Bayes would have it.
 A logistic curve, fit on training texts that the model did not see, turns the
 margin into a probability.
 
-Training takes at most MAX_TRAIN labelled rows, those with the smallest hash of
-their doc_id; fitting happens in one task, whose input that bound limits. The
-model is 2^BITS numbers, so it goes to the executors with the code.
+Training takes at most MAX_TRAIN labels, those with the smallest hash of their
+doc_id, and at most as many texts; fitting happens in one task, whose input that
+bound limits. The model is 2^BITS numbers, so it goes to the executors with the code.
 
 Edge cases: null and empty texts have no indicator and get the score of the
-bare threshold; a label that is null is ignored; a document labelled twice
-counts twice; without labels of both classes every score is the share of good
+bare threshold; a label that is null is ignored; a document with both labels
+counts as both, a repeated label once, a repeated row once if texts must be chosen; ties of
+the hash go by doc_id and label; texts are read whole, whatever their length; other
+columns, whatever their names, are returned and never read; without labels of both classes every score is the share of good
 labels (0.5 without any); an empty table gives no rows.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.llm.common import U64, WordHashes, kept, mix, table, texts, trim, utf8
+from braidwork.llm.common import U64, WordHashes, kept, mix, prepare, table, texts, trim, utf8
 
 BITS = 18
 MAX_TRAIN = 10_000
@@ -45,11 +47,11 @@ class _Shapes(WordHashes):
         if len(self) >= self.LIMIT:
             self.clear()
         shape, last = bytearray(), -1
-        for c in word[:64].translate(_SHAPE):
+        for c in word.translate(_SHAPE):
             if c != last:
                 shape.append(c)
                 last = c
-        value = self[word] = xxhash.xxh3_64_intdigest(bytes(shape[:12]), 1)
+        value = self[word] = xxhash.xxh3_64_intdigest(bytes(shape), 1)
         return value
 
 
@@ -75,46 +77,54 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> tuple[np.n
         share = float(good.mean()) if len(rows) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return np.zeros((2, 1 << BITS), np.float32), 0.0, 0.0, math.log(share / (1 - share))
-    counts = [np.ones(1 << BITS), np.ones(1 << BITS)]
-    for row, g in zip(rows, good, strict=True):
-        counts[int(g)][row] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     order = np.random.default_rng(seed).permutation(len(rows))
     held = order[: max(2, len(rows) // 5)] if len(rows) >= 50 else order
     own = order[len(held) :] if len(rows) >= 50 else order
     if good[own].all() or not good[own].any():
         own = held = order
-
-    def descend(part: np.ndarray) -> tuple[np.ndarray, float]:
-        y = np.where(good, 1.0, -1.0)
-        weigh = {s: len(part) / 2 / max(1, np.count_nonzero(y[part] == s)) for s in (1.0, -1.0)}
-        w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
-        scaled = {}
-        for i in part:
-            x = ratio[rows[i]]
-            norm = math.sqrt(float(x @ x)) or 1.0
-            scaled[i] = x / norm
-        rng = np.random.default_rng(seed + 1)
-        for _ in range(ROUNDS):
-            for i in rng.permutation(part):
-                x, row, s = scaled[i], rows[i], y[i]
-                gradient = s * (float(w[row] @ x) + bias) - 1.0
-                top, old = C * weigh[s], alpha[i]
-                new = min(max(old - gradient / (float(x @ x) + 1.0), 0.0), top)
-                if new != old:
-                    alpha[i] = new
-                    w[row] += (new - old) * s * x
-                    bias += (new - old) * s
-        size = np.abs(w).sum() / max(1, np.count_nonzero(w))
-        return KEEP * size * (w != 0) + (1 - KEEP) * w, bias
-
-    w, bias = descend(own)
+    # the curve is fit to margins of rows that neither the ratios nor the weights have seen
+    ratio = ratios([rows[i] for i in own], good[own])
+    w, bias = descend([rows[i] for i in own], good[own], ratio, seed + 1)
     z = np.array([margin(rows[i], ratio, w, bias) for i in held])
     slope, offset = logistic(z, good[held])
-    w, bias = descend(order)
+    rows, good = [rows[i] for i in order], good[order]
+    ratio = ratios(rows, good)
+    w, bias = descend(rows, good, ratio, seed + 1)
     return _pair(ratio, w), bias, slope, offset
 
 
+def ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
+    """The features' class log-count ratios."""
+    counts = [np.ones(1 << BITS), np.ones(1 << BITS)]
+    for row, g in zip(rows, good, strict=True):
+        counts[int(g)][row] += 1
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+
+
+def descend(rows: list[np.ndarray], good: np.ndarray, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias under hinge loss, each class weighing half, by dual coordinate descent; drawn towards their mean size."""
+    y = np.where(good, 1.0, -1.0)
+    weigh = {s: len(rows) / 2 / max(1, np.count_nonzero(y == s)) for s in (1.0, -1.0)}
+    w, bias, alpha, scaled = np.zeros(1 << BITS), 0.0, np.zeros(len(rows)), []
+    for row in rows:
+        x = ratio[row]
+        norm = math.sqrt(float(x @ x)) or 1.0
+        scaled.append(x / norm)
+    rng = np.random.default_rng(seed)
+    for _ in range(ROUNDS):
+        for i in rng.permutation(len(rows)):
+            x, row, s = scaled[i], rows[i], y[i]
+            gradient = s * (float(w[row] @ x) + bias) - 1.0
+            top, old = C * weigh[s], alpha[i]
+            new = min(max(old - gradient / (float(x @ x) + 1.0), 0.0), top)
+            if new != old:
+                alpha[i] = new
+                w[row] += (new - old) * s * x
+                bias += (new - old) * s
+    size = np.abs(w).sum() / max(1, np.count_nonzero(w))
+    return KEEP * size * (w != 0) + (1 - KEEP) * w, bias
+
+
 def _pair(ratio: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Both numbers that a feature needs: r (for the length) and w."""
     return np.stack([ratio, w]).astype(np.float32)
@@ -142,11 +152,24 @@ def logistic(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return max(a, 0.0), b
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, text and label of at most max_train training rows.
+
+    max_train bounds the labels, and then the texts that they name, of which
+    equal ones with equal labels count once; those of the least hash are taken.
+    """
+    chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label is not null and doc_id is not null").distinct()
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train))  # the bound makes it fit for a broadcast
+    rows = texts(docs).join(chosen, "doc_id").select("doc_id", "text", "label")
+    if docs.select("doc_id").join(chosen, "doc_id").count() > max_train:  # a doc_id names many texts
+        rows = rows.dropDuplicates(["doc_id", "text", "label"]).orderBy(F.xxhash64("doc_id", "text", "label"), "text").limit(max_train)
+    return rows
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float, float, float]:
-    """Fits the model to labelled texts. labels: doc_id and a 0/1 column; one of either per training row."""
-    chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label is not null and doc_id is not null")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)  # the bound makes it fit for a broadcast
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    """Fits the model to labelled texts. labels: doc_id and a 0/1 column."""
+    prepare(docs.sparkSession)
+    rows = labelled(docs, labels, label, max_train)
 
     def extract(batches):
         for batch in batches:
@@ -171,19 +194,18 @@ def score(docs: DataFrame, model, *more: str) -> DataFrame:
     """doc_id, the named columns and score: the probability that a text is good."""
     pair, bias, slope, offset = model
     ratio, w = pair
-    rows = docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("__text"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct("doc_id", *more).alias("row"))
     shared = docs.sparkSession.sparkContext.broadcast((ratio, w))
 
     def apply(batches):
         for batch in batches:
             r, v = shared.value
-            z = np.array([margin(features(t), r, v, bias) for t in utf8(batch["__text"])])
+            z = np.array([margin(features(t), r, v, bias) for t in utf8(batch["text"])])
             p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", *more)), pa.array(p, pa.float64())], names=["doc_id", *more, "score"])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(p, pa.float64())], names=["row", "score"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *more)) + ", score double"
-    return rows.mapInArrow(apply, schema)
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(apply, schema).select("row.*", "score")
 
 
 def keep(docs: DataFrame, model, least: float = 0.5) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -42,6 +43,74 @@ def test_one_class(spark, docs, labels, want):
     assert all(r.score == pytest.approx(want, abs=1e-5) for r in got)
 
 
+def test_fit_matches_plain_restatement():
+    """The fit by sparse arrays against one over dictionaries, step by step."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 12))).astype(np.int32) for _ in range(80)]
+    labels = np.array([int(7 in r or 9 in r or rng.random() < 0.2) for r in rows])
+    pair, bias, slope, offset = quality.fit(rows, labels)
+    size, order = 1 << quality.BITS, np.random.default_rng(0).permutation(80)
+
+    def plain(part):
+        held = {g: {} for g in (0, 1)}
+        for i in part:
+            for f in rows[i].tolist():
+                held[labels[i]][f] = held[labels[i]].get(f, 0) + 1
+        total = {g: size + sum(held[g].values()) for g in (0, 1)}
+        ratio = lambda f: math.log((held[1].get(f, 0) + 1) / total[1]) - math.log((held[0].get(f, 0) + 1) / total[0])
+        xs = []
+        for i in part:
+            x = {f: ratio(f) for f in rows[i].tolist()}
+            norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
+            xs.append({f: v / norm for f, v in x.items()})
+        y = [1 if labels[i] else -1 for i in part]
+        top = {s: quality.C * len(part) / 2 / y.count(s) for s in (1, -1)}
+        w, b, alpha, steps = {}, 0.0, [0.0] * len(part), np.random.default_rng(1)
+        for _ in range(quality.ROUNDS):
+            for k in steps.permutation(len(part)).tolist():
+                g = y[k] * (sum(w.get(f, 0.0) * v for f, v in xs[k].items()) + b) - 1
+                new = min(max(alpha[k] - g / (sum(v * v for v in xs[k].values()) + 1), 0.0), top[y[k]])
+                for f, v in xs[k].items():
+                    w[f] = w.get(f, 0.0) + (new - alpha[k]) * y[k] * v
+                b += (new - alpha[k]) * y[k]
+                alpha[k] = new
+        used = {f: v for f, v in w.items() if v}
+        mean = sum(map(abs, used.values())) / len(used)
+        return ratio, {f: quality.KEEP * mean + (1 - quality.KEEP) * v for f, v in used.items()}, b
+
+    ratio, w, b = plain(order.tolist())
+    assert bias == pytest.approx(b, abs=1e-9)
+    assert all(pair[0][f] == pytest.approx(ratio(f), abs=1e-5) and pair[1][f] == pytest.approx(w.get(f, 0.0), abs=1e-5) for f in range(40))
+    # the curve is of the rows that the first model has not seen
+    ratio, w, b = plain(order[16:].tolist())
+    z = []
+    for i in order[:16]:
+        x = {f: ratio(f) for f in rows[i].tolist()}
+        z.append(sum(w.get(f, 0.0) * v for f, v in x.items()) / math.sqrt(sum(v * v for v in x.values())) + b)
+    assert (slope, offset) == pytest.approx(quality.logistic(np.array(z), labels[order[:16]] > 0), abs=1e-6)
+
+
+def test_shapes_are_of_whole_words():
+    long = b"a1" * 100
+    assert len(np.setdiff1d(quality.features(long + b"X"), quality.features(long + b"!"))) > 0
+    assert quality._Shapes()[long + b"X"] != quality._Shapes()[long]
+
+
+def test_one_id_of_many_texts(spark, docs):
+    """A labelled doc_id that names many texts gives max_train of them at most; equal ones count once."""
+    df = docs([(1, f"good {i % 40}") for i in range(200)] + [(2, "bad words")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = [(r.doc_id, r.text, r.label) for r in quality.labelled(df, labels, "quality", 10).collect()]
+    assert len(seen) == 10 == len(set(seen))
+
+
+def test_clashing_names(spark, docs):
+    df = docs([(1, "a b c"), (2, "d e")]).selectExpr("*", "'mine' as row", "'mine' as __text")
+    model = quality.train(df, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert [(r["row"], r["__text"]) for r in quality.score(df, model, "row", "__text").collect()] == [("mine", "mine")] * 2
+    assert quality.keep(df, model, 0.0).columns == df.columns
+
+
 def test_empty(spark, docs):
     df = docs([])
     assert quality.score(df, quality.train(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
