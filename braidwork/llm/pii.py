@@ -20,8 +20,10 @@ A document's candidates are an array in its row, so nothing is shuffled but the
 counts. A text without the character that a rule needs is not searched by it.
 
 Edge cases: null and empty texts have no spans; repeated rows are handled each;
-a null doc_id is kept; without any candidate the prior labelers' say is taken;
-an empty table gives no rows.
+a null doc_id is kept; spans of equal start go by kind, then end; texts are searched
+whole, whatever their length; columns of clashing names are not read, and returned
+as they are; without any candidate the prior labelers' say is taken; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -192,13 +194,13 @@ def candidates(docs: DataFrame, *more: str) -> DataFrame:
     text = F.col("__text")
     found = []
     for k, kind in enumerate(KINDS):
-        for wide in (False, True):
-            rule, needs = (WIDE, WIDE_NEEDS) if wide else (BASE, NEEDS)
-
-            matches = _matches(text, rule[kind], needs[kind])
-            if kind == "card" and not wide:  # short runs of digits are no candidates
-                matches = F.filter(matches, lambda m: F.length(m["s"]) >= 13)
-            found.append(F.transform(matches, _described(text, k, kind, wide)))
+        base, wide = _matches(text, BASE[kind], NEEDS[kind]), _matches(text, WIDE[kind], WIDE_NEEDS[kind])
+        if kind == "card":  # short runs of digits are no candidates
+            base = F.filter(base, lambda m: F.length(m["s"]) >= 13)
+        found.append(F.transform(base, _described(text, k, kind, False)))
+        # a span that both rules find is one candidate and votes once
+        wide = F.when(text.rlike(WIDE_NEEDS[kind]), F.array_except(wide, base)).otherwise(wide)
+        found.append(F.transform(wide, _described(text, k, kind, True)))
     rows = docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("__text"))
     return rows.select("doc_id", *more, "__text", F.concat(*found).alias("spans"))
 

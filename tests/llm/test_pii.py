@@ -108,3 +108,11 @@ def test_empty(docs):
 def test_native(docs):
     plan = pii.candidates(docs([(1, "a@b.cc")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_vote_a_span(docs):
+    """A span that the base and the wide rule both find is one candidate."""
+    rows = [(1, "call +1 (555) 123-4567 or (555) 765-4321, card 4111 1111 1111 1111, at 4111-1111-1111-1112.")]
+    spans = [(s.kind, s.start, s.end, s.base) for s in pii.candidates(docs(rows)).first().spans]
+    assert len({s[:3] for s in spans}) == len(spans)
+    assert any(s[0] == 3 and s[3] for s in spans) and any(s[0] == 3 and not s[3] for s in spans)
