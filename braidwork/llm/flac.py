@@ -12,9 +12,14 @@ frame's CRC-16 and the stream's MD5. Frames of the kind that the encoder writes
 are decoded many at once: one step takes the next residual of all of them, by a
 table of where the next 1 bit lies. Other frames are decoded one by one.
 
+A stream's blocks follow each other in one task, so what is told of a stream is
+summed block by block and never needs all samples at once.
+
 Edge cases: an empty payload is a stream without frames; null and empty texts
-are 64 bytes 0; equal payloads give equal streams; a damaged stream raises
-ValueError; a table without rows gives none.
+are 64 bytes 0; equal payloads give equal streams, repeated rows and ties alike; a
+text of any length is one stream, coded in one task; a null doc_id is kept; columns
+of clashing names are not read; a damaged stream raises ValueError; a table without
+rows gives none.
 """
 
 from __future__ import annotations
@@ -482,40 +487,92 @@ def to_media(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(store, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """One row for each block: doc_id, sample_offset, n_samples, pcm (8 bits, 128 is silence)."""
-    kind = dict(media.dtypes)["doc_id"]
+def pcm_blocks(media: DataFrame, *more: str) -> DataFrame:
+    """One row for each block, a stream's blocks in order: doc_id, sample_offset, n_samples, pcm (8 bits, 128 is silence), the named columns.
+
+    media_bytes and media_sha256 tell of the stored stream. A stream without samples gives one row of none.
+    """
+    kinds = dict(media.dtypes)
 
     def blocks(batches):
         for batch in gathered_batches(batches, "media", GROUP_BYTES):
-            for i, (pcm, first) in enumerate(decode(utf8(batch["media"]))):
-                ends = [*first[1:].tolist(), len(pcm)] if len(first) else []
+            streams = utf8(batch["media"])
+            for i, (pcm, first) in enumerate(decode(streams)):
+                first = first if len(first) else np.zeros(1, np.int64)
+                ends = [*first[1:].tolist(), len(pcm)]
                 parts = [pcm[a:b] for a, b in zip(first.tolist(), ends, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array([i] * len(parts), pa.int64())), "sample_offset": pa.array(first, pa.int64()), "n_samples": pa.array([len(p) for p in parts], pa.int64()), "pcm": pa.array(parts, pa.binary())})
+                same = pa.array([i] * len(parts), pa.int64())
+                about = {"media_bytes": pa.array([len(streams[i])] * len(parts), pa.int64()), "media_sha256": pa.array([hashlib.sha256(streams[i]).hexdigest()] * len(parts), pa.string())}
+                own = {"doc_id": batch["doc_id"].take(same), "sample_offset": pa.array(first, pa.int64()), "n_samples": pa.array([len(p) for p in parts], pa.int64()), "pcm": pa.array(parts, pa.binary())}
+                yield pa.RecordBatch.from_pydict(own | about | {c: batch[c].take(same) for c in more})
 
-    return media.select("doc_id", "media").mapInArrow(blocks, f"doc_id {kind}, sample_offset long, n_samples long, pcm binary")
+    schema = f"doc_id {kinds['doc_id']}, sample_offset long, n_samples long, pcm binary, media_bytes long, media_sha256 string"
+    return media.select("doc_id", "media", *more).mapInArrow(blocks, ", ".join([schema, *(f"`{c}` {kinds[c]}" for c in more)]))
 
 
-def feature(pcm: bytes) -> str:
-    """Loudness, sign changes and range of the samples, as whole numbers."""
-    x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-    changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"n={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};changes={changes};low={int(x.min(initial=0))};high={int(x.max(initial=0))}"
+class Samples:
+    """Digests and a feature of a stream's samples, block by block: loudness, sign changes and range, as whole numbers."""
 
+    def __init__(self):
+        self.sha, self.tail, self.last = hashlib.sha256(), b"", None
+        self.n = self.sum = self.energy = self.changes = self.low = self.high = 0
 
-def describe(media: DataFrame) -> DataFrame:
-    """Digests and features of the samples that are read back from each stream."""
-    kind = dict(media.dtypes)["doc_id"]
+    def add(self, pcm: bytes) -> None:
+        if not pcm:
+            return
+        self.sha.update(pcm)
+        self.tail = (self.tail + pcm[-64:])[-64:]
+        x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+        below = x < 0
+        self.changes += int(np.count_nonzero(below[1:] != below[:-1])) + (self.last is not None and self.last != bool(below[0]))
+        self.last = bool(below[-1])
+        self.n, self.sum, self.energy = self.n + len(x), self.sum + int(x.sum()), self.energy + int((x * x).sum())
+        self.low, self.high = min(self.low, int(x.min())), max(self.high, int(x.max()))
+
+    def feature(self) -> str:
+        return f"n={self.n};sum={self.sum};energy={self.energy};changes={self.changes};low={self.low};high={self.high}"
 
-    def read(batches):
-        for batch in gathered_batches(batches, "media", GROUP_BYTES):
-            streams = utf8(batch["media"])
-            pcm = [p for p, _ in decode(streams)]
-            digest = lambda x: hashlib.sha256(x).hexdigest()
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "payload_bytes": pa.array([len(p) for p in pcm], pa.int64()), "payload_sha256": pa.array(map(digest, pcm), pa.string()), "tail_crc32": pa.array([zlib.crc32(p[-64:]) for p in pcm], pa.int64()), "media_bytes": pa.array([len(s) for s in streams], pa.int64()), "media_sha256": pa.array(map(digest, streams), pa.string()), "feature": pa.array(map(feature, pcm), pa.string())})
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def describe(blocks: DataFrame) -> DataFrame:
+    """Digests and features of each stream's samples, from its blocks as pcm_blocks gives them, with n_bytes."""
+    kind = dict(blocks.dtypes)["doc_id"]
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def read(batches):
+        about, found, held, size = None, Samples(), [], 0
+
+        def told():
+            found.add(b"".join(held))
+            doc_id, n_bytes, media_bytes, media_sha256 = about
+            row = (n_bytes, found.n, found.sha.hexdigest(), zlib.crc32(found.tail), media_bytes, media_sha256, found.feature())
+            return doc_id, row
+
+        for batch in batches:
+            done = []
+            columns = (batch[c].to_pylist() for c in ("sample_offset", "pcm", "n_bytes", "media_bytes", "media_sha256"))
+            for i, (offset, pcm, *rest) in enumerate(zip(*columns, strict=True)):
+                if offset == 0:  # a stream begins
+                    if about:
+                        done.append(told())
+                    about, found, held, size = (batch["doc_id"].slice(i, 1), *rest), Samples(), [], 0
+                held.append(pcm)
+                size += len(pcm)
+                if size >= GROUP_BYTES:
+                    found.add(b"".join(held))
+                    held, size = [], 0
+            if done:
+                yield table_of(done)
+        if about:
+            yield table_of([told()])
+
+    def table_of(done):
+        ids = pa.concat_arrays([d for d, _ in done])
+        return pa.RecordBatch.from_pydict({"doc_id": ids} | {n: pa.array([r[j] for _, r in done], k) for j, (n, k) in enumerate(zip(names, kinds, strict=True))})
+
+    rows = blocks.select("doc_id", "sample_offset", "pcm", "n_bytes", "media_bytes", "media_sha256")
+    return rows.mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op3_flac(spark, sf_dir: str) -> DataFrame:
-    return describe(to_media(table(spark, sf_dir, "documents")))
+    return describe(pcm_blocks(to_media(table(spark, sf_dir, "documents")), "n_bytes"))

@@ -115,7 +115,7 @@ TEXTS = [None, "", "a", "x" * 64, "y" * 65, "long text é " * 3000, "same", "sam
 def test_documents(docs):
     rows = list(enumerate(TEXTS)) + [(None, "z")]
     media = flac.to_media(docs(rows))
-    got = sorted(flac.describe(media).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    got = sorted(flac.describe(flac.pcm_blocks(media, "n_bytes")).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     for (i, text), r in zip(rows, got, strict=True):
         raw = (text or "").encode()
         want = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
@@ -128,4 +128,31 @@ def test_documents(docs):
 
 
 def test_empty(docs):
-    assert flac.describe(flac.to_media(docs([]))).count() == 0
+    assert flac.describe(flac.pcm_blocks(flac.to_media(docs([])), "n_bytes")).count() == 0
+
+
+def test_samples_by_blocks():
+    """Sums over blocks of any size are those of the whole."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, 5000).astype(np.uint8).tobytes()
+    whole = flac.Samples()
+    whole.add(data)
+    x = np.frombuffer(data, np.uint8).astype(int) - 128
+    assert whole.feature() == f"n=5000;sum={x.sum()};energy={(x * x).sum()};changes={sum((a < 0) != (b < 0) for a, b in zip(x[1:], x[:-1]))};low={x.min()};high={x.max()}"
+    for step in (1, 7, 64, 1024):
+        parts = flac.Samples()
+        for a in range(0, len(data), step):
+            parts.add(data[a : a + step])
+        assert (parts.feature(), parts.sha.digest(), parts.tail) == (whole.feature(), whole.sha.digest(), data[-64:])
+
+
+def test_many_blocks_a_batch(spark, docs):
+    """Streams whose blocks are spread over several batches, and a repeated doc_id."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(1, "ab" * 9000), (1, "ab" * 9000), (1, "x"), (None, "é" * 5000), (2, None)]
+        got = sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in flac.describe(flac.pcm_blocks(flac.to_media(docs(rows)), "n_bytes")).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    assert got == sorted(((i, len(b), len(flac.padded(b)), hashlib.sha256(flac.padded(b)).hexdigest()) for i, b in raw), key=str)
