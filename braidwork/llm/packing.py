@@ -18,7 +18,8 @@ n - 1, unless a column says how many of a document's last tokens bear loss (as
 the answer of an instruction does).
 
 Edge cases: null and empty texts are one end token; repeated rows are packed
-each; an empty table gives no rows.
+each; of items of equal gain the shorter goes first; a text of any length is cut
+into sequences; columns of clashing names are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import table, trim
+from braidwork.llm.common import prepare, table, trim
 from braidwork.llm.token_ids import vocabulary_path, word_tokenizer
 
 SEQUENCE, SEGMENTS, LOSS = 4096, 256, 4096
@@ -147,16 +148,18 @@ def pack(totals: list[int], bearing: list[int], tokens: int = SEQUENCE, segments
     return out_
 
 
-def pack_documents(docs: DataFrame, end_id: int = 2, bearing: str | None = None, vocabulary: str | None = None, tokens: int = SEQUENCE, segments: int = SEGMENTS, loss: int = LOSS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, end_id: int = 2, bearing: str | None = None, answer: str | None = None, vocabulary: str | None = None, tokens: int = SEQUENCE, segments: int = SEGMENTS, loss: int = LOSS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, segment, loss_tokens, sequence_tokens, padded_to.
 
     bearing: a column with the number of a document's last tokens that bear
-    loss (null: all). padded_to: the sequence's length with padding.
+    loss (null: all). answer: a text column that follows the text and alone bears
+    loss, with the end token. padded_to: the sequence's length with padding.
     """
+    prepare(docs.sparkSession)
     vocabulary = vocabulary or vocabulary_path()
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col(bearing).cast("long") if bearing else F.lit(None).cast("long")).alias("bearing"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col(bearing).cast("long") if bearing else F.lit(None).cast("long")).alias("bearing"), (F.coalesce(F.col(answer), F.lit("")) if answer else F.lit(None).cast("string")).alias("answer"))
 
     def sequences(batches):
         from pyspark import TaskContext
@@ -185,8 +188,15 @@ def pack_documents(docs: DataFrame, end_id: int = 2, bearing: str | None = None,
 
         for batch in gathered_batches(batches):
             flat, at = tokenizer.encode(batch["text"])
-            bodies += [flat[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:], strict=True)]
-            bears += batch["bearing"].to_pylist()
+            own = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            if answer:
+                flat, then = tokenizer.encode(batch["answer"])
+                own = [x + flat[a:b].tobytes() for x, a, b in zip(own, then[:-1], then[1:], strict=True)]
+                bears += (np.diff(then) + 1).tolist()
+                total += int(then[-1])
+            else:
+                bears += batch["bearing"].to_pylist()
+            bodies += [x + end for x in own]
             doc_ids.append(batch["doc_id"])
             total += int(at[-1]) + batch.num_rows
             if total >= block_tokens:
@@ -200,5 +210,24 @@ def pack_documents(docs: DataFrame, end_id: int = 2, bearing: str | None = None,
     return rows.mapInArrow(sequences, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long, loss_tokens long, sequence_tokens long, padded_to long")
 
 
+#: Limits for instructions: answers are short, so each of the three limits binds somewhere.
+INSTRUCTIONS = {"tokens": 4096, "segments": 16, "loss": 1536}
+
+
+def conversations(turns: DataFrame) -> DataFrame:
+    """doc_id, text and answer of each conversation: its turns in order, and its last turn if that is the assistant's."""
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")), F.lit("\n"))
+    rows = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", line.alias("line")))).alias("all"))
+    last = F.get("all", F.size("all") - 1)
+    answered = F.coalesce(last["role"] == "assistant", F.lit(False))
+    before = F.slice("all", F.lit(1), F.size("all") - F.when(answered, 1).otherwise(0))
+    return rows.select("doc_id", F.array_join(F.transform(before, lambda x: x["line"]), "").alias("text"), F.when(answered, last["line"]).otherwise("").alias("answer"))
+
+
+def packed_conversations(spark, sf_dir: str) -> DataFrame:
+    """Whole conversations as instruction data: only answers bear loss, and all three limits bind."""
+    return pack_documents(conversations(table(spark, sf_dir, "conversations")), answer="answer", **INSTRUCTIONS)
+
+
 def op5_vector_packing(spark, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))

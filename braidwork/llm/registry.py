@@ -12,6 +12,7 @@ def queries() -> dict:
         flac.op3_flac,
         template.op4_template,
         packing.op5_vector_packing,
+        packing.packed_conversations,
         quality.op6_quality,
         token_ids.op7_bit_planes,
         decontaminate.op8_decontamination,

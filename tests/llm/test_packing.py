@@ -72,5 +72,34 @@ def test_instructions(spark, docs):
     assert all(sum(r.loss_tokens for r in s) <= 12 and len(s) <= 3 for s in by.values())
 
 
+def test_conversations(spark, docs):
+    """Answers alone bear loss, no limit is passed, and each of the three binds somewhere."""
+    rows = []
+    for c in range(400):
+        long = [1, 40, 300][c % 3]
+        rows += [(c, 0, "user", "question " * (3500 if c % 9 == 0 else 1 + (c // 3 * 7) % (900 if c % 3 == 2 else 30))), (c, 1, "assistant", "answer words " * long)]
+    rows += [(1000, 0, "user", None), (1001, 0, "assistant", "alone"), (1002, 1, "user", "after"), (1002, 0, "assistant", "before"), (None, 0, None, "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "'clash' as answer", "'clash' as doc_id")
+    own = {r.doc_id: (r.text, r.answer) for r in packing.conversations(turns).collect()}
+    assert own[1000] == ("user: \n", "") and own[1001] == ("", "assistant: alone\n") and own[1002] == ("assistant: before\nuser: after\n", "") and own[None] == (": x\n", "")
+    got = packing.pack_documents(packing.conversations(turns), answer="answer", **packing.INSTRUCTIONS).collect()
+    t = Tokenizer.from_file(vocabulary_path())
+    count = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    by, loss = defaultdict(list), defaultdict(int)
+    for r in got:
+        by[r.sequence_id].append(r)
+        loss[r.doc_id] += r.loss_tokens
+        text, answer = own[r.doc_id]
+        assert r.doc_tokens == count(text) + count(answer) + 1
+    for i, (_, answer) in own.items():
+        cuts = sum(r.doc_id == i for r in got)
+        assert count(answer) + 1 - cuts <= loss[i] <= count(answer) + 1
+    sums = [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in by.values()]
+    limits = tuple(packing.INSTRUCTIONS.values())
+    assert all(x <= y for s in sums for x, y in zip(s, limits, strict=True))
+    near = [sum(s[k] >= limits[k] - slack for s in sums) for k, slack in enumerate((8, 0, 8))]
+    assert min(near) > 0, (near, [max(x) for x in zip(*sums, strict=True)], len(sums))
+
+
 def test_empty(docs):
     assert packing.pack_documents(docs([])).count() == 0
