@@ -151,7 +151,8 @@ def near_pairs(prints: DataFrame, total: DataFrame) -> DataFrame:
     left = prints.select("__k", "__k2", "m", "start", F.col("print").alias("p1"), F.inline(blocks(F.col("print"))))
     right = total.select("item", "m", F.col("print").alias("p2"), F.inline(blocks(F.col("print"))))
     right = right.select("item", "m", "p2", "block", F.explode(F.transform(flips(), lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
-    pairs = left.join(right, ["m", "block", "value"]).withColumn("distance", apart(F.col("p1"), F.col("p2"))).filter(F.col("distance") <= RADIUS)
+    # listed flips are many rows of few bytes on file: never to be taken for a small table
+    pairs = left.join(right.hint("merge"), ["m", "block", "value"]).withColumn("distance", apart(F.col("p1"), F.col("p2"))).filter(F.col("distance") <= RADIUS)
     return pairs.select("__k", "__k2", "m", "start", "item", "distance").distinct()
 
 
