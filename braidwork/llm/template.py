@@ -8,11 +8,14 @@ They nest by their paths: a template node lies in the slot of its nearest
 enclosing template node. The texts of a slot over all pages tell what it is. The
 main slot is found from the body down: as long as one container that stands once
 in each page holds all running text that doesn't repeat over the host's pages, the
-search goes into it. Its text, without what stands in menus, headers, footers,
-adverts and the like, and without slots beside the article of which all running
-text repeats, is the page's main text. A class name marks a block as no main text
-only as a whole, and never a block that holds most of the running text. Repeated
-text in the main slot's other parts is never taken for template.
+search goes into it. Of its slots those go of which all running text repeats over
+the host's pages, and those beside an article that hold links alone. Texts that
+stand once in each of a host's pages are template, too, wherever they are.
+
+Names are but marks. A tag (nav, header, footer, aside, form) or a whole class name
+marks a block as no main text, but never a block that holds most of the host's
+running text, as a form around the page does, nor a header within an article. An
+inline element is left out if a class name calls it an advert.
 
 A vector is never held: its fingerprint is the xor of 64-bit hashes of (page,
 count), twice, with its support and sum. So classes of a host of any size come
@@ -23,8 +26,9 @@ BROADCAST_BYTES together, else joined by (host, salt).
 
 Edge cases: a null html is empty and gives ""; a null url is a host of its own;
 hosts of fewer than MIN_PAGES pages, and pages that lack the main slot, are
-judged by their own texts; repeated pages are all extracted; an empty table
-gives no rows.
+judged by their own texts; repeated pages are all extracted; of slots with equal
+text the first is entered; a html of any length is parsed whole; columns of clashing
+names are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ from braidwork import runtime
 from braidwork.llm.common import slices, table
 
 MIN_PAGES, MIN_TOKENS, FREQUENT = 3, 3, 0.3
+#: A text that stands once in each page of a host is template if the host has so many pages and it so many characters: short ones, as a formula, recur by chance.
+CONSTANT_PAGES, CONSTANT_CHARS = 5, 20
 #: A marked block that holds more than this share of the running text is main text.
 SHARE = 0.5
 BROADCAST_BYTES, SALTS = 32_000_000, 64
@@ -50,10 +56,11 @@ BROADCAST_BYTES, SALTS = 32_000_000, 64
 KEPT_CHILDREN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|textarea|title|svg"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mtable mtr mtd".split())
-CONTAINER = frozenset("body main article section div td table tbody tr".split())
-DROP_TAGS = frozenset("nav header footer aside form button select option menu dialog head".split())
+RAW = "script|style|noscript|template|iframe|textarea|title"
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tspan tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mtable mtr mtd".split())
+CONTAINER = frozenset("body main article section div form td table tbody tr".split())
+DROP_TAGS = frozenset("button select option menu dialog head".split())
+MARK_TAGS = frozenset("nav header footer aside form".split())
 #: No word in a class drops these.
 NEVER = frozenset("html body main article".split())
 #: Words in class or id attributes and roles that tell what isn't main text.
@@ -62,6 +69,8 @@ DROP_WORDS = frozenset(
     "header masthead footer foot copyright cookie cookies consent notice alert popup modal newsletter subscribe signup login form search share sharing social "
     "related recommended comment comments reply replies disqus respond widget toolbar pagination pager contentinfo complementary".split()
 )
+#: Those of them that call an inline element an advert.
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo".split())
 TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -70,18 +79,21 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 
 
 class Node:
-    """A block of a page: its label, token, parent, whether it is dropped by a tag, marked by a class name, and its running and linked characters."""
+    """A block of a page: its label, token, parent, whether it is dropped by a tag, marked by a tag or class name, in an article, and its running and linked characters."""
 
-    __slots__ = ("chars", "dropped", "label", "links", "marked", "name", "parent", "token")
+    __slots__ = ("article", "chars", "dropped", "label", "links", "marked", "name", "parent", "token")
 
     def __init__(self, name, label, token, parent, dropped, marked=False):
         self.name, self.label, self.token, self.parent, self.dropped, self.marked = name, label, token, parent, dropped, marked
+        self.article = name == "article" or parent is not None and parent.article
+        if name == "header" and self.article:  # the article's own
+            self.marked = False
         self.chars = self.links = 0
 
 
 def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
     """The label, whether the tag drops the block, and whether a whole class name, id or role marks it as no main text."""
-    drop, marked = name in DROP_TAGS, False
+    drop, marked = name in DROP_TAGS, name in MARK_TAGS
     if not attributes or "=" not in attributes:
         return name, drop, marked
     marks = []
@@ -93,6 +105,11 @@ def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
     return " ".join([name, *sorted(marks)]), drop, marked and name not in NEVER
 
 
+def _advert(attributes: str) -> bool:
+    """Whether a whole class name, id or role calls an element an advert."""
+    return "=" in attributes and any((parts := WORD.findall(v)) and ADVERTS.issuperset(parts) for _, *values in ATTRIBUTE.findall(attributes) for v in "".join(values).lower().split())
+
+
 def parse(html: str, labels: dict) -> tuple[list[tuple[Node, str]], dict[tuple[str, int], int]]:
     """A page's blocks of text in order, each with its node, and its tokens' counts.
 
@@ -102,8 +119,14 @@ def parse(html: str, labels: dict) -> tuple[list[tuple[Node, str]], dict[tuple[s
     stack, texts, held = [root], [], []
     counts: dict[tuple[str, int], int] = defaultdict(int)
     linked = 0
+    muted: list[str] = []  # the inline advert's open tags, and what it holds
+    silent: list[str] = []
 
     def flush():
+        if muted:  # it holds a block, so it is none
+            held.extend(silent)
+            muted.clear()
+            silent.clear()
         if held:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
             held.clear()
@@ -119,6 +142,9 @@ def parse(html: str, labels: dict) -> tuple[list[tuple[Node, str]], dict[tuple[s
             counts["c", stack.pop().token] += 1
 
     def add(text: str):
+        if muted:
+            silent.append(text)
+            return
         held.append(text)
         if linked:
             stack[-1].links += len(text)
@@ -135,10 +161,17 @@ def parse(html: str, labels: dict) -> tuple[list[tuple[Node, str]], dict[tuple[s
         if name == "a":
             linked = 0 if end or end2 else 1
         if name in INLINE:
+            if muted and name == muted[0]:
+                if not (end or end2):
+                    muted.append(name)
+                elif muted.pop() and not muted:
+                    silent.clear()
+            elif not muted and not (end or end2) and _advert(attributes or attributes2 or ""):
+                muted.append(name)
             continue
         if name in VOID:
             if name in ("br", "hr"):
-                held.append(" ")
+                add(" ")
                 if name == "hr":
                     flush()
             continue
@@ -222,9 +255,8 @@ def find_main(nodes: dict[int, tuple], repeated: dict[int, int]) -> tuple[int, f
         if best is None or not fresh[best] or fresh[best] < fresh[at]:
             break
         at = best
-    if any(nodes[t][1] in ("article", "main") for t in above(at)):
-        return at, kept, frozenset()
-    return at, kept, frozenset(t for t in inner[at] if not fresh[t] and (whole[t] or nodes[t][1] not in KEPT_CHILDREN))
+    within = any(nodes[t][1] in ("article", "main") for t in above(at))
+    return at, kept, frozenset(t for t in inner[at] if not fresh[t] and (whole[t] or not within and nodes[t][1] not in KEPT_CHILDREN))
 
 
 def own_nodes(texts: list[tuple[Node, str]]) -> dict[int, tuple]:
@@ -241,15 +273,17 @@ def own_nodes(texts: list[tuple[Node, str]]) -> dict[int, tuple]:
     return out
 
 
-def main_text(texts: list[tuple[Node, str]], found: tuple | None) -> str:
-    """The text of the main slot; without one, of the page's own."""
+def main_text(texts: list[tuple[Node, str]], found: tuple | None, constant: frozenset = frozenset()) -> str:
+    """The text of the main slot, without the template's constant texts; without a main slot, of the page's own."""
     paths = [lineage(node) for node, _ in texts]
     if found is None or not any(n.token == found[0] for up in paths for n in up):
         loose = any(not up for up in paths)
         found = find_main(own_nodes(texts), {})
         found = (0, found[1], frozenset()) if loose else found
     main, kept, left = found
-    return " ".join(text for (node, text), up in zip(texts, paths, strict=True) if not node.dropped and (main == 0 or any(n.token == main for n in up)) and not any(n.marked and n.token not in kept or n.token in left for n in up))
+    own = [(node, text) for (node, text), up in zip(texts, paths, strict=True) if not node.dropped and (main == 0 or any(n.token == main for n in up)) and not any(n.marked and n.token not in kept or n.token in left for n in up)]
+    slots = [text for node, text in own if xxhash.xxh3_64_intdigest(text, node.token) not in constant] if constant else []
+    return " ".join(slots or (text for _, text in own))
 
 
 def signed(x: int) -> int:
@@ -284,6 +318,7 @@ def token_statistics(pages: DataFrame) -> DataFrame:
                             a[5] += own
                         a = about.setdefault(("t", xxhash.xxh3_64_intdigest(text, node.token)), [node.token, "", False, False, 0, 0])
                         a[4] += own
+                        a[5] += own
                     for (kind, token), c in counts.items():
                         s = sums.setdefault((host, kind, token), [0, "", False, False, 0, 0, 0, 0, 0, 0])
                         a = about.get((kind, token))
@@ -318,8 +353,9 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MI
     vector = ["host", "support", "total", "x", "y"]
     valid = often.groupBy(*vector).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_tokens).drop("size")
     # a text repeats or not, whatever class it is of
-    nodes = often.filter("kind = 'o' and name <> ''").join(valid, vector, "left_semi").unionByName(often.filter("kind = 't' and chars > 0"))
-    node = F.struct("kind", "token", "parent", "name", "dropped", "marked", "chars", "held", (F.col("support") == F.col("total")).alias("once"))
+    nodes = often.filter("kind = 'o' and name <> ''").join(valid, vector, "left_semi").unionByName(often.filter("kind = 't' and chars + held > 0"))
+    once = F.col("support") == F.col("total")
+    node = F.struct("kind", "token", "parent", "name", "dropped", "marked", "chars", "held", once.alias("once"), (once & (F.col("support") == F.col("n_pages")) & (F.col("n_pages") >= CONSTANT_PAGES) & (F.col("held") >= CONSTANT_CHARS * F.col("support"))).alias("every"))
     return nodes.groupBy("host").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
 
 
@@ -336,6 +372,12 @@ def main_of(nodes: list[dict]) -> tuple[int, frozenset, frozenset] | None:
     return found if found[0] else None
 
 
+def constants(nodes: list[dict]) -> frozenset:
+    """The texts that stand once in each page of a host, unless they are all of its text."""
+    texts = [n for n in nodes if n["kind"] == "t"]
+    return frozenset(n["token"] & (1 << 64) - 1 for n in texts if n["every"])
+
+
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text and n_chars of every page, and the main slot's token (null: the page's own)."""
     found = runtime.written(templates(pages, min_pages), "templates")
@@ -357,10 +399,12 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_bytes: int =
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = main_of(nodes.as_py()) if nodes.is_valid else None
+                    own = nodes.as_py() or []
+                    known[host] = main_of(own), constants(own)
                 texts, _ = parse(page, labels)
-                out.append(main_text(texts, known[host]))
-                mains.append(None if known[host] is None else signed(known[host][0]))
+                main, constant = known[host]
+                out.append(main_text(texts, main, constant))
+                mains.append(None if main is None else signed(main[0]))
             yield pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "url": batch["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64()), "main_slot": pa.array(mains, pa.int64())})
 
     return rows.select("page_id", "url", "html", "host", "nodes").mapInArrow(read, f"page_id {kinds['page_id']}, url string, text string, n_chars long, main_slot long")

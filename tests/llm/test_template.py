@@ -86,6 +86,47 @@ def test_class_names_and_siblings(spark, docs):
     assert {k: (got[k], w) for k, w in want.items() if got[k] != w} == {}
 
 
+def test_marks_are_no_verdicts(spark, docs):
+    """A form around the page, an article's own header, figures, maths and drawings stay; inline adverts go."""
+    rng, rows, want = random.Random(11), [], {}
+    say = lambda n: prose(rng, n).replace("&", "and")
+    for i in range(20):
+        a, b, c = say(60), say(50), say(6)
+        kinds = {
+            "form": (f'<body><form id="aspnetForm"><nav><a href="/">x</a></nav><div class="x1"><p>{a}</p></div><footer>{c}</footer></form></body>', a),
+            "header": (f"<body><header>{say(4)}</header><article><header><h1>{c}</h1></header><p>{a}</p><footer>{say(5)}</footer></article></body>", f"{c} {a}"),
+            "inline": (f'<body><article><p>{a}<span class="advert">buy <span>now</span></span> {b}</p><p><span class="ad"><div>{c}</div></span></p></article></body>', f"{a} {b} {c}"),
+            "svg": (f"<body><article><p>{a}</p><figure><svg><title>t</title><text>{c}</text></svg></figure></article></body>", f"{a} {c}"),
+        }
+        for k, (kind, (html, text)) in enumerate(kinds.items()):
+            rows.append((i * 10 + k, f"http://{kind}.example.com/{i}", f"<html>{html}</html>"))
+            want[i * 10 + k] = text
+            rows.append((1000 + i * 10 + k, f"http://{kind}-{i}.example.com/", f"<html>{html}</html>"))  # a host of one page
+            want[1000 + i * 10 + k] = text
+    got = {r.page_id: r.text for r in template.extract(table(spark, rows)).collect()}
+    assert {k: (got[k], w) for k, w in want.items() if got[k] != w} == {}
+
+
+def test_the_template_decides(spark, docs):
+    """No name tells what is what: repeated slots and constant lines go by the template alone, and stay without it."""
+    rng, rows, want = random.Random(12), [], {}
+    for i in range(30):
+        a, b = (prose(rng, 40).replace("&", "and") for _ in range(2))
+        menu = "".join(f'<a href="/{w}">{w}</a> ' for w in "abcd")
+        rows.append((i, f"http://h.example.com/{i}", f'<html><body><div class="q1">{menu}</div><div class="q2">Our house rules are the same on every page of ours.</div><div class="q3"><div class="q4"><p>{a}</p><p>Read on in the next issue.</p><p>{b}</p></div><div class="q5">Told by the same hand as ever.</div></div></body></html>'))
+        want[i] = f"{a} {b}"
+    got = {r.page_id: r.text for r in template.extract(table(spark, rows)).collect()}
+    assert got == want
+    without = {r.page_id: r.text for r in template.extract(table(spark, rows), min_pages=1000).collect()}
+    assert all(without[i] != w and "same hand" in without[i] and "house rules" in without[i] for i, w in want.items())
+
+
+def test_equal_pages_keep_their_text(spark, docs):
+    """Where all pages of a host are one, nothing is template."""
+    rows = [(i, "http://h.example.com/", "<html><body><article><p>one text</p><p>another text</p></article></body></html>") for i in range(8)]
+    assert {r.text for r in template.extract(table(spark, rows)).collect()} == {"one text another text"}
+
+
 def test_classes_match_brute_force(spark, docs):
     """Tokens share a class if and only if their counts agree on every page."""
     rng, pages = random.Random(5), []
