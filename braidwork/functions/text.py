@@ -58,7 +58,8 @@ def collapse(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    return strip(F.regexp_replace(collapse(F.coalesce(c, F.lit(""))), DELETED, ""))
+    """White space is single spaces by then, so trimming spaces strips it."""
+    return F.trim(F.regexp_replace(collapse(F.coalesce(c, F.lit(""))), DELETED, ""))
 
 
 def token_estimate(c: Column) -> Column:

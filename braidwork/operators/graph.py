@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StructField, StructType
 
 from braidwork.runtime import cut
 
@@ -38,6 +39,13 @@ def find_neighbors(entities: DataFrame, edges: DataFrame, names: list[str] | Non
     return rows.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
+def _hashable(value):
+    """A list or map of a row, so that sets can hold it."""
+    if isinstance(value, list):
+        return tuple(map(_hashable, value))
+    return tuple(sorted((k, _hashable(v)) for k, v in value.items())) if isinstance(value, dict) else value
+
+
 def bfs(entities: DataFrame, edges: DataFrame, seeds: list[str], max_depth: int = 2, max_entities: int = 20, per_node: int = 5) -> tuple[DataFrame, DataFrame, int]:
     """Found entities (ord, depth, name, tag), their edges (ord, ...) and the depth reached.
 
@@ -50,9 +58,9 @@ def bfs(entities: DataFrame, edges: DataFrame, seeds: list[str], max_depth: int
     tags = [f"seed:{s}" for _, s in found]
     visited, kept, values = set(known), [], set()
     level, depth = [s for _, s in found], 0
-    columns = ("source_entity", "target_entity", "relationship_type", "description", "confidence")
+    columns = [c for c in edges.columns if c != "ord"]  # relationships are one if they agree in all of them
     while level and len(found) < max_entities and depth < max_depth:
-        near = find_neighbors(entities, edges, list(dict.fromkeys(level)), per_node).join(edges.withColumnRenamed("ord", "rel_ord").drop("description", "confidence", "relationship_type"), "rel_ord").collect()
+        near = find_neighbors(entities, edges, list(dict.fromkeys(level)), per_node).select("src", "dst", "rank", "rel_ord").join(edges.withColumnRenamed("ord", "rel_ord"), "rel_ord").collect()
         lists: dict[str, list] = {}
         for r in sorted(near, key=lambda r: r["rank"]):
             lists.setdefault(r["src"], []).append(r)
@@ -64,8 +72,9 @@ def bfs(entities: DataFrame, edges: DataFrame, seeds: list[str], max_depth: int
                 if len(found) >= max_entities:
                     break
                 value = tuple(r[c] for c in columns)
-                if value not in values:
-                    values.add(value)
+                key = tuple(map(_hashable, value))
+                if key not in values:
+                    values.add(key)
                     kept.append((len(kept), *value))
                 if r["dst"] not in visited:
                     visited.add(r["dst"])
@@ -78,7 +87,8 @@ def bfs(entities: DataFrame, edges: DataFrame, seeds: list[str], max_depth: int
             break
         level, depth = following, depth + 1
     nodes = spark.createDataFrame([(i, d, n, t) for i, ((d, n), t) in enumerate(zip(found, tags, strict=True))], "ord long, depth int, name string, tag string")
-    return nodes, spark.createDataFrame(kept, "ord long, source_entity string, target_entity string, relationship_type string, description string, confidence double"), depth
+    schema = StructType([StructField("ord", LongType()), *(edges.schema[c] for c in columns)])
+    return nodes, spark.createDataFrame(kept, schema), depth
 
 
 def simple_paths(entities: DataFrame, edges: DataFrame, start: str, end: str, max_length: int = 4) -> DataFrame:

@@ -20,7 +20,7 @@ FROM (SELECT *, concat(p_name, CASE WHEN p_partkey % 5 = 0 THEN concat(' ', p_ty
 MERGE_RELS = """
 SELECT concat(CASE l_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'the ' ELSE 'A ' END, s_name) AS source_entity, p_name AS target_entity, l_returnflag AS relationship_type,
        concat('status ', l_linestatus) AS description, concat('o', CAST(l_orderkey AS STRING)) AS chunk, CAST(l_linenumber % 7 AS DOUBLE) / 10 AS confidence,
-       CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS ord
+       CAST(l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS ord
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey"""
 
 GRAPH_ENTITIES = """
@@ -32,11 +32,11 @@ UNION ALL SELECT concat('Part#', CAST(p_partkey AS STRING)), 'PRODUCT', p_name,
 
 GRAPH_RELS = """
 SELECT a AS source_entity, b AS target_entity, t AS relationship_type, concat(t, ' edge') AS description, CAST(50 + ord % 50 AS DOUBLE) / 100 AS confidence, ord
-FROM (SELECT a, b, t, CAST(row_number() OVER (ORDER BY k, a, b, z) AS BIGINT) AS ord FROM (
-  SELECT n_name AS a, r_name AS b, 'LOCATED_IN' AS t, 1 AS k, 0 AS z FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
-  UNION ALL SELECT s_name, n_name, 'BASED_IN', 2, 0 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
-  UNION ALL SELECT c_name, n_name, 'BASED_IN', 3, 0 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
-  UNION ALL SELECT DISTINCT s_name, concat('Part#', CAST(l_partkey AS STRING)), 'SUPPLIES', 4, 0 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey
+FROM (SELECT a, b, t, CAST(k AS BIGINT) * 100000000000000000 + CAST(z AS BIGINT) AS ord FROM (
+  SELECT n_name AS a, r_name AS b, 'LOCATED_IN' AS t, 1 AS k, CAST(n_nationkey AS BIGINT) AS z FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+  UNION ALL SELECT s_name, n_name, 'BASED_IN', 2, CAST(s_suppkey AS BIGINT) FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+  UNION ALL SELECT c_name, n_name, 'BASED_IN', 3, CAST(c_custkey AS BIGINT) FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+  UNION ALL SELECT DISTINCT s_name, concat('Part#', CAST(l_partkey AS STRING)), 'SUPPLIES', 4, CAST(l_suppkey AS BIGINT) * 1000000000 + CAST(l_partkey AS BIGINT) FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey
   UNION ALL SELECT 'ASIA', 'ASIA', 'SELF', 5, 0 UNION ALL SELECT 'ASIA', 'EUROPE', 'TRADES', 5, 1 UNION ALL SELECT 'ASIA', 'EUROPE', 'TRADES', 5, 2 UNION ALL SELECT 'ASIA', 'ATLANTIS', 'LEGEND', 5, 3
 ) u) v"""
 
@@ -50,10 +50,10 @@ SELECT concat('vec_', CAST(i AS STRING)) AS source_entity, concat('vec_', CAST(j
 FROM (SELECT vec_id AS i, (vec_id * 7 + 3) % n AS j, 'NEXT' AS t, 0 AS k FROM {embeddings} CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) c1
       UNION ALL SELECT vec_id, (vec_id * 13 + 5) % n, 'SKIP', 1 FROM {embeddings} CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) c2) e"""
 
-#: Chunks with embeddings: a document's text with the vector of its number, for all that have one.
+#: Chunks of all documents, each with the vector of its number modulo the number of vectors.
 VEC_CHUNKS = """
 SELECT concat('d', CAST(doc_id AS STRING), '_chunk_0') AS id, concat(text, ' see vec_', CAST(vec_id + 3 AS STRING), ' and vec_', CAST(vec_id + 4 AS STRING), ' there') AS text, embedding, doc_id AS ord
-FROM {documents} JOIN {embeddings} ON doc_id = vec_id"""
+FROM {documents} CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) c JOIN {embeddings} ON doc_id % n = vec_id"""
 
 RESPONSES = """
 SELECT concat('n', CAST(n_nationkey AS STRING)) AS chunk_id, CAST(n_nationkey AS BIGINT) AS ord,

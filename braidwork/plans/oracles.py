@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from braidwork.functions.text import DELETED, ENDINGS, ENTITY_TYPES, PROMPT_HEAD, PROMPT_TAIL, SPACE
+from braidwork.functions.text import PROMPT_HEAD, PROMPT_TAIL
 from braidwork.plans import fixtures as X
 from braidwork.plans import queries as Q
 
+# Stated again, so that a wrong constant of the engine shows. The prompt is one text and is not.
+SPACE = r"\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+DELETED = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xff]"
+ENDINGS = (r"inc\.?", r"corp\.?", r"ltd\.?", "llc", r"co\.?")
+TYPES = "PERSON, ORGANIZATION, LOCATION, EVENT, CONCEPT, TECHNOLOGY, PRODUCT, DATE"
+
 
 def _sub(x: str, pattern: str, to: str = "", flags: str = ", 'g'") -> str:
     return f"regexp_replace({x}, '{pattern}', '{to}'{flags})"
@@ -68,7 +74,7 @@ def all_oracles() -> dict[str, str]:
     # text
     out["clean_text"] = f"SELECT id, {_clean('content')} AS cleaned FROM ({docs})"
     out["token_estimate"] = f"SELECT id, length(content) // 4 AS tokens FROM ({docs})"
-    head = PROMPT_HEAD.replace("{types}", ", ".join(ENTITY_TYPES)).replace("{most}", "20")
+    head = PROMPT_HEAD.replace("{types}", TYPES).replace("{most}", "20")
     out["extraction_prompt"] = f"SELECT id, concat({_lit(head)}, content, {_lit(PROMPT_TAIL)}) AS prompt FROM ({docs})"
     out["normalize_name"] = f"SELECT ord, {_norm('''concat(' ', name, '!, Co.')''')} AS a, {_norm('name')} AS b FROM ({me})"
     out["normalize_entity_name"] = f"SELECT ord, {_entity_norm('''concat(' The  ', source_entity)''')} AS a, {_entity_norm('source_entity')} AS b FROM ({mr})"
@@ -155,6 +161,49 @@ SELECT name, count(*)::DOUBLE AS score FROM m WHERE name IN (SELECT name FROM e)
 reach(a, b) AS (SELECT ord, ord FROM s UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b) SELECT name, min(b)::BIGINT AS cluster FROM reach JOIN s ON s.ord = reach.a GROUP BY name"""
     out["relationship_summary"] = f"SELECT relationship_type, count(*) AS n FROM ({gr}) GROUP BY 1"
 
+    # traversal: two levels of bounded breadth-first search, each row processed while there is room
+    def bfs(seeds: str, most: int) -> str:
+        fields = "source_entity, target_entity, relationship_type, description, confidence"
+        both = f"SELECT source_entity AS src, target_entity AS dst, 0 AS dir, {fields}, ord FROM r UNION ALL SELECT target_entity, source_entity, 1, {fields}, ord FROM r"
+        text = f"""e AS ({ve}), r AS ({vr}), b AS ({both}),
+nb AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, ord, dir) AS rank FROM b WHERE dst IN (SELECT name FROM e)) WHERE rank <= 5),
+given AS ({seeds}), f0 AS (SELECT row_number() OVER (ORDER BY pos) AS pos, name FROM given WHERE name IN (SELECT name FROM e))"""
+        seen = "SELECT name FROM f0"
+        for level in (1, 2):
+            text += f""",
+t{level} AS (SELECT nb.*, f.pos, row_number() OVER (ORDER BY f.pos, nb.rank) AS i FROM f{level - 1} f JOIN nb ON nb.src = f.name),
+n{level} AS (SELECT *, (dst NOT IN ({seen}) AND row_number() OVER (PARTITION BY dst ORDER BY i) = 1)::INTEGER AS fresh FROM t{level}),
+c{level} AS (SELECT *, (SELECT count(*) FROM ({seen})) + coalesce(sum(fresh) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n{level}),
+p{level} AS (SELECT * FROM c{level} WHERE before < {most}),
+f{level} AS (SELECT row_number() OVER (ORDER BY i) AS pos, dst AS name FROM p{level} WHERE fresh = 1)"""
+            seen += f" UNION ALL SELECT name FROM f{level}"
+        return text + f""",
+nodes AS (SELECT row_number() OVER (ORDER BY depth, pos) - 1 AS ord, depth, name, concat(CASE WHEN depth = 0 THEN 'seed' ELSE concat('depth', depth) END, ':', name) AS tag
+  FROM (SELECT 0 AS depth, * FROM f0 UNION ALL SELECT 1, * FROM f1 UNION ALL SELECT 2, * FROM f2)),
+every AS (SELECT 1 AS level, i, {fields} FROM p1 UNION ALL SELECT 2, i, {fields} FROM p2),
+firsts AS (SELECT {fields}, min(level * 1000000 + i) AS spot FROM every GROUP BY ALL),
+edges AS (SELECT row_number() OVER (ORDER BY spot) - 1 AS ord, {fields} FROM firsts),
+depth AS (SELECT CASE WHEN n1 = 0 OR n0 + n1 >= {most} THEN 0 WHEN n2 = 0 OR n0 + n1 + n2 >= {most} THEN 1 ELSE 2 END AS depth FROM (SELECT (SELECT count(*) FROM f0) AS n0, (SELECT count(*) FROM f1) AS n1, (SELECT count(*) FROM f2) AS n2))"""
+
+    pair_seeds = bfs("SELECT * FROM (VALUES (0, 'vec_0'), (1, 'vec_3'), (2, 'nobody')) t(pos, name)", 20)
+    out["bfs_nodes"] = f"WITH {pair_seeds} SELECT ord, depth, name, tag FROM nodes"
+    out["bfs_edges"] = f"WITH {pair_seeds} SELECT * FROM edges"
+    first = f"SELECT * FROM (SELECT name, ord, row_number() OVER (ORDER BY ord) AS k FROM ({ve})) WHERE k <= 20"
+    named = " OR ".join(f"contains(lower(name), {_lit(w)})" for w in "what is vec_1 like".split())
+    found = f"SELECT ord AS pos, name FROM (SELECT *, {named} AS hit, row_number() OVER (PARTITION BY {named} ORDER BY ord) AS place FROM ({first})) x WHERE hit AND place <= 3 OR k = 1 AND NOT EXISTS (SELECT 1 FROM ({first}) WHERE {named})"
+    out["graph_only"] = f"WITH {bfs(found, 10)} SELECT ord, depth, name, tag FROM nodes"
+    hits = f"SELECT row_number() OVER (ORDER BY similarity DESC, ord) - 1 AS i, name, similarity FROM ({ents}) WHERE similarity >= 0.3 ORDER BY i LIMIT 5"
+    hybrid = f"h AS ({hits}), {bfs('SELECT i AS pos, name FROM h', 10)}"
+    boosted = f"{_ratio(X.QUERY, 'v.name')} * 0.3 + {_ratio(X.QUERY, 'v.description')} * 0.2"
+    out["hybrid_retrieve"] = f"""WITH {hybrid},
+s AS (SELECT coalesce(h.name, n.name) AS name, coalesce(h.i, n.ord + 1000) AS spot, CASE WHEN h.i IS NULL THEN greatest(0.1, 0.8 - 0.05 * n.ord) ELSE h.similarity * (1.0 - 0.1 * h.i) + 0.5 + CASE WHEN n.ord IS NULL THEN 0 ELSE 0.3 END END AS score,
+  CASE WHEN h.i IS NULL THEN 'traversal' WHEN n.ord IS NULL THEN 'embedding' ELSE 'both' END AS source FROM h FULL JOIN nodes n ON n.name = h.name),
+a AS (SELECT s.name, s.spot, s.source, round(s.score::DOUBLE + {boosted}, 6) AS score FROM s JOIN e v ON v.name = s.name)
+SELECT row_number() OVER (ORDER BY score DESC, spot) - 1 AS ord, name, score, source FROM a ORDER BY ord LIMIT 10"""
+    out["hybrid_relationships"] = f"WITH {hybrid} SELECT * FROM edges"
+    sure = "least(1.0, coalesce((SELECT avg(similarity) FROM h), 0.3) + least(0.2, 0.02 * (SELECT count(*) FROM nodes)) + least(0.1, 0.01 * (SELECT count(*) FROM edges)))"
+    out["retrieval_confidence"] = f"WITH {hybrid} SELECT round({sure}, 6)::DOUBLE AS confidence, (SELECT count(*) FROM nodes) AS entities, depth FROM depth"
+
     # retrieval
     out["embedding_only"] = f"SELECT row_number() OVER (ORDER BY similarity DESC, ord) - 1 AS ord, name, similarity FROM (SELECT * FROM ({ents}) WHERE similarity >= 0 ORDER BY similarity DESC, ord LIMIT 10)"
     boost = f"{_ratio(X.QUERY, 'name')} * 0.3 + {_ratio(X.QUERY, 'description')} * 0.2"
