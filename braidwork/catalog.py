@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from braidwork import pipeline
 from braidwork.plans import oracles
 from braidwork.plans import queries as plans
 
@@ -15,7 +16,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return plans.all_queries()
+    return plans.all_queries() | {"build_graph": pipeline.build_graph}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -94,10 +94,19 @@ def name_similarity(a: Column, b: Column) -> Column:
     return norm_similarity(normalize_name(a), normalize_name(b))
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def cosine_to(a: Column, query: Column, size: int, norm: float) -> Column:
+    """cosine with one vector of known size and norm."""
+    value = F.try_divide(_dot(a, query), F.sqrt(_dot(a, a)) * F.lit(norm))
+    return F.coalesce(F.when(F.size(a) == size, value), F.lit(0.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision; 0 for a missing, empty or zero vector and for vectors of two sizes."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    value = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    value = F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
     return F.coalesce(F.when(F.size(a) == F.size(b), value), F.lit(0.0))
 
 

@@ -8,11 +8,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.functions.text import COMPLETION_DELIMITER, extraction_prompt, strip
+from braidwork.functions.text import COMPLETION_DELIMITER, ENTITY_TYPES, extraction_prompt, strip
 from braidwork.runtime import ship
 
 
-def respond(chunks: DataFrame, generate: Callable[[list[str]], list[str]]) -> DataFrame:
+def stopping(generate: Callable[[list[str]], list[str]], stops: list[str]) -> Callable[[list[str]], list[str]]:
+    """generate, with each response stripped and freed of stop sequences at its end, in the given order."""
+
+    def call(prompts: list[str]) -> list[str]:
+        out = []
+        for response in generate(prompts):
+            response = response.strip()
+            for stop in stops:
+                response = response.removesuffix(stop).strip()
+            out.append(response)
+        return out
+
+    return call
+
+
+def respond(chunks: DataFrame, generate: Callable[[list[str]], list[str]], types=ENTITY_TYPES, most: int = 20) -> DataFrame:
     """chunk_id, ord, response and error of each chunk (id, text, ord). A failing batch is tried text by text; errors give "".
 
     Responses may differ from run to run: persist or write them before they are used twice.
@@ -29,22 +44,25 @@ def respond(chunks: DataFrame, generate: Callable[[list[str]], list[str]]) -> Da
     def call(prompts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(ask(prompts.tolist()), columns=["response", "error"])
 
-    return chunks.select(F.col("id").alias("chunk_id"), "ord", call(extraction_prompt(F.col("text"))).alias("r")).select("chunk_id", "ord", "r.*")
+    return chunks.select(F.col("id").alias("chunk_id"), "ord", call(extraction_prompt(F.col("text"), types, most)).alias("r")).select("chunk_id", "ord", "r.*")
 
 
 def embed(rows: DataFrame, text: str, encode: Callable[[list[str]], list], name: str = "embedding") -> DataFrame:
-    """rows with an embedding column; null for blank texts and for those that fail."""
+    """rows with an embedding column; null for blank texts and for those that fail. A failing batch is tried text by text."""
     ship(rows.sparkSession)
 
+    def ask(texts: list[str]) -> list:
+        try:
+            return list(encode(texts))
+        except Exception:  # noqa: BLE001  a failing model leaves nulls
+            return [None] * len(texts) if len(texts) < 2 else [v for t in texts for v in ask([t])]
+
     @F.pandas_udf("array<float>")
     def call(texts: pd.Series) -> pd.Series:
         out: list = [None] * len(texts)
         some = [i for i, t in enumerate(texts) if t and t.strip()]
-        try:
-            for i, v in zip(some, encode([texts[i].strip() for i in some]), strict=True):
-                out[i] = [float(x) for x in v]
-        except Exception:  # noqa: BLE001  a failing model leaves nulls
-            pass
+        for i, v in zip(some, ask([texts[i].strip() for i in some]) if some else [], strict=True):
+            out[i] = None if v is None else [float(x) for x in v]
         return pd.Series(out, dtype=object)
 
     return rows.withColumn(name, call(F.col(text)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 
 from braidwork.functions.text import words
 from braidwork.operators import graph, vector
+from braidwork.sources.store import load_json
 
 
 @dataclass
@@ -86,7 +88,10 @@ class HybridRetriever:
 
     def retrieve(self, query: str, method: str = "hybrid", top_k: int = 10, max_depth: int = 2, include_chunks: bool = False, query_vector=None) -> Retrieval:
         found = {"embedding_only": self.embedding_only, "graph_only": self.graph_only}.get(method, self.hybrid)
-        return found(query, top_k=top_k, max_depth=max_depth, include_chunks=include_chunks, query_vector=query_vector)
+        began = time.perf_counter()
+        out = found(query, top_k=top_k, max_depth=max_depth, include_chunks=include_chunks, query_vector=query_vector)
+        out.metadata["retrieval_time"] = time.perf_counter() - began  # of what the driver waits for; results are read later
+        return out
 
     def hybrid(self, query, top_k=10, max_depth=2, include_chunks=False, query_vector=None) -> Retrieval:
         v = self._vector(query, query_vector)
@@ -148,12 +153,26 @@ class HybridRetriever:
         return rows.withColumn("avg_entity_connections", F.coalesce(F.try_divide(F.col("total_relationships").cast("double"), F.col("total_entities").cast("double")), F.lit(0.0)))
 
 
+def create_retriever(entities: DataFrame, relationships: DataFrame, encode, chunks: DataFrame | None = None) -> HybridRetriever:
+    """A retriever over what a build has extracted."""
+    return HybridRetriever(entities, relationships, chunks, encode)
+
+
+#: Names that are compared with every text; more of them meet texts by three characters.
+MOST_NAMES = 10_000
+
+
 class KeywordRetriever:
     """Finds entities by their names in a question, their surroundings, and the texts that name those."""
 
     def __init__(self, entities: DataFrame, relationships: DataFrame, documents: DataFrame):
         self.entities, self.relationships, self.documents = entities, relationships, documents
 
+    @classmethod
+    def from_json(cls, spark, path: str, documents: DataFrame) -> KeywordRetriever:
+        """Over the entities and relationships of one JSON file."""
+        return cls(*load_json(spark, path), documents)
+
     def index(self) -> DataFrame:
         """key (lower-case name), name and type of the last entity of the key, at: the first one's ord."""
         return self.entities.groupBy(F.lower("name").alias("key")).agg(F.max_by(F.struct("name", "type"), "ord").alias("e"), F.min("ord").alias("at")).select("key", "e.name", "e.type", "at")
@@ -177,10 +196,22 @@ class KeywordRetriever:
             out = frontier if out is None else out.unionByName(frontier).distinct()
         return out if out is not None else frontier.limit(0)
 
-    def mentions(self, names: DataFrame) -> DataFrame:
-        """entity, source, text of the documents (id, content, ord) that hold a name in any case; the names are few."""
-        few = F.broadcast(names.select(F.col("name").alias("entity")).distinct())
-        return self.documents.join(few, F.lower("content").contains(F.lower("entity"))).select("entity", F.col("id").alias("source"), F.col("content").alias("text"), "ord")
+    def mentions(self, names: DataFrame, most: int = MOST_NAMES) -> DataFrame:
+        """entity, source, text of the documents (id, content, ord) that hold a name in any case.
+
+        Up to `most` names, counted first, are compared with every text. Of more,
+        those of three characters or more meet the texts that hold their first three.
+        """
+        few = names.select(F.col("name").alias("entity")).distinct()
+        out = lambda rows: rows.select("entity", F.col("id").alias("source"), F.col("content").alias("text"), "ord")
+        holds = F.lower("content").contains(F.lower("entity"))
+        if few.limit(most + 1).count() <= most:
+            return out(self.documents.join(F.broadcast(few), holds))
+        low = F.lower("content")
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, 3)))
+        held = self.documents.withColumn("gram", F.explode(grams)).join(few.filter(F.length(F.lower("entity")) >= 3).withColumn("gram", F.substring(F.lower("entity"), 1, 3)), "gram").filter(holds)
+        short = self.documents.join(few.filter(F.length(F.lower("entity")) < 3), holds)
+        return out(held).unionByName(out(short))
 
     def context(self, question: str, max_entities: int = 10, hops: int = 2) -> DataFrame:
         """Texts that name what surrounds the question's first five entities; the first max_entities of these by name."""

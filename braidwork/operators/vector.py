@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from braidwork.functions.text import cosine
+from braidwork.functions.text import cosine_to
 
 
 def _literal(vector) -> Column:
@@ -15,7 +17,8 @@ def _literal(vector) -> Column:
 
 def scored(rows: DataFrame, vector, name: str = "similarity") -> DataFrame:
     """rows with the similarity to a query vector, rounded to 6 places so that ties are ties everywhere."""
-    return rows.withColumn(name, F.round(cosine(F.col("embedding"), _literal(vector)), 6))
+    own = [float(x) for x in vector]
+    return rows.withColumn(name, F.round(cosine_to(F.col("embedding"), _literal(own), len(own), math.sqrt(sum(x * x for x in own))), 6))
 
 
 def search_entities(entities: DataFrame, vector, top_k: int = 10, least: float = 0.0) -> DataFrame:

@@ -244,6 +244,14 @@ FROM (SELECT 0 AS part, * FROM ({mr}) WHERE relationship_type = 'R' UNION ALL SE
     )
     out["format_context"] = f"SELECT CASE WHEN length(t) > 1200 THEN concat(substring(t, 1, 1200), '...') ELSE t END AS context FROM (SELECT {whole} AS t)"
 
+    # the whole build, over the chunks' first two words
+    first = "regexp_replace(lower(list_filter(string_split(" + _collapse("text") + ", ' '), lambda w: w <> '')[{k}]), '[^a-z0-9]', '', 'g')"
+    found = f"""SELECT id AS chunk, CAST(regexp_extract(id, 'd([0-9]+)_', 1) AS BIGINT) * 100000 + chunk_index AS spot, coalesce({first.replace('{k}', '1')}, '') AS w1, coalesce({first.replace('{k}', '2')}, '') AS w2 FROM ({out['chunk_documents']})"""
+    words = f"SELECT w1 AS name, 'T' || length(w1) AS type, 'word 0' AS description, chunk, 1.0::DOUBLE AS confidence, spot * 10000 AS ord FROM ({found}) WHERE w1 <> '' UNION ALL SELECT w2, 'T' || length(w2), 'word 1', chunk, 1.0, spot * 10000 + 1 FROM ({found}) WHERE w2 <> ''"
+    pairs = f"SELECT w1, w2 FROM ({found}) WHERE w1 <> '' AND w2 <> ''"
+    out["build_graph"] = greedy.replace(f"({me})", f"({words})") + f""" SELECT (SELECT count(*) FROM ({docs})) AS docs, (SELECT count(*) FROM ({out['chunk_documents']})) AS chunks, (SELECT count(*) FROM e) AS entities_found, (SELECT count(*) FROM ({pairs})) AS relationships_found,
+(SELECT count(DISTINCT leader) FROM c) AS entities, (SELECT count(*) FROM (SELECT DISTINCT {_entity_norm('w1')}, {_entity_norm('w2')} FROM ({pairs}))) AS relationships, 1::BIGINT AS prompts"""
+
     # sources and sinks
     out["graph_json_roundtrip"] = parts + " SELECT 'json' AS kind, f[1] AS name, upper(f[2]) AS type, f[3] AS description, chunk_id AS chunks, 1.0::DOUBLE AS confidence FROM p WHERE len(f) = 3 AND f[1] <> '' AND f[2] <> '' UNION ALL SELECT 'json', concat(f[1], '|', f[3]), upper(f[2]), f[4], chunk_id, 1.0 FROM p WHERE len(f) = 4 AND f[1] <> '' AND f[2] <> '' AND f[3] <> ''"
     out["graph_parquet_roundtrip"] = f"""SELECT 'parquet' AS kind, name, type, description, chunk AS chunks, round(confidence, 6) AS confidence FROM ({me})
