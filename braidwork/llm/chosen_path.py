@@ -140,16 +140,16 @@ def _grouped(batches):
 
 
 def _paths(reps: DataFrame) -> DataFrame:
-    """key, sid, copies, sketch: every record on each of the runs' first paths."""
+    """key, sid: every record on each of the runs' first paths."""
 
     def first(batches):
         for batch in batches:
             rows = np.array([np.frombuffer(s, np.uint32) for s in batch["sketch"].to_pylist()]).reshape(-1, COORDINATES)
             for run, c in FIRST:
                 keys = [_key(run, c, v) for v in rows[:, c].tolist()]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "sid": batch["sid"], "copies": batch["copies"], "tokens": batch["tokens"], "sketch": batch["sketch"]})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "sid": batch["sid"]})
 
-    return reps.select("sid", "copies", "tokens", "sketch").mapInArrow(first, "key long, sid binary, copies long, tokens long, sketch binary")
+    return reps.select("sid", "sketch").mapInArrow(first, "key long, sid binary")
 
 
 def _deeper(rows: DataFrame, level: int) -> DataFrame:
@@ -160,10 +160,10 @@ def _deeper(rows: DataFrame, level: int) -> DataFrame:
                 own = child_keys(path, level, np.frombuffer(sketch, np.uint32))
                 keys += own
                 take += [i] * len(own)
-            part = batch.select(["sid", "copies", "tokens", "sketch", "size"]).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *part.columns], names=["key", "sid", "copies", "tokens", "sketch", "above"])
+            part = batch.select(["sid", "size"]).take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *part.columns], names=["key", "sid", "above"])
 
-    return rows.select("key", "sid", "copies", "tokens", "sketch", "size").mapInArrow(split, "key long, sid binary, copies long, tokens long, sketch binary, above long")
+    return rows.select("key", "sid", "sketch", "size").mapInArrow(split, "key long, sid binary, above long")
 
 
 def buckets(reps: DataFrame, limit: int, depth: int, least: int) -> DataFrame:
@@ -171,27 +171,26 @@ def buckets(reps: DataFrame, limit: int, depth: int, least: int) -> DataFrame:
 
     key names what is brute-forced together: a bucket, or a block of it. part is
     the record's part, as -1 - part in all of the part's blocks but the first.
+    Sketches are joined to the rows that have company; all others go without.
     """
     rows, out = _paths(reps).withColumn("above", F.lit(None).cast("long")), []
+    sketches = reps.select("sid", "sketch")
     for level in range(depth + 1):
         sizes = runtime.written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-        rows = joined_by(rows, sizes, ["key"], "size", least)
-        large = sizes.filter(F.col("size") > limit)
-        n_large = large.count()
-        out.append(rows.filter(F.col("size") <= limit).select("key", F.col("key").alias("bucket"), F.lit(0).alias("part"), "sid", "copies", "tokens", "sketch"))
-        if not n_large:
+        rows = runtime.written(joined_by(rows, sizes, ["key"], "size", least), "company")
+        out.append(rows.filter(F.col("size") <= limit).select("key", F.col("key").alias("bucket"), F.lit(0).alias("part"), "sid"))
+        rows = rows.filter(F.col("size") > limit)
+        if rows.isEmpty():
             break
-        rows = runtime.written(rows.filter(F.col("size") > limit), "large")
         dense = F.coalesce(F.col("size") > DENSE * F.col("above"), F.lit(False)) if level < depth else F.lit(True)
         out.append(_blocks(rows.filter(dense), limit))
         if level == depth:
             break
-        rows = rows.filter(~dense)
-        rows = _deeper(rows, level)
+        rows = _deeper(rows.filter(~dense).join(sketches, "sid"), level)
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
-    return found
+    return found.join(reps.select("sid", "copies", "tokens", "sketch"), "sid")
 
 
 def _blocks(rows: DataFrame, limit: int) -> DataFrame:
@@ -201,7 +200,7 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).filter("own <> other")
     block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     first = F.col("other") == F.when(F.col("own") == 0, 1).otherwise(0)
-    return rows.select(block.alias("key"), F.col("key").alias("bucket"), F.when(first, F.col("own")).otherwise(-1 - F.col("own")).alias("part"), "sid", "copies", "tokens", "sketch")
+    return rows.select(block.alias("key"), F.col("key").alias("bucket"), F.when(first, F.col("own")).otherwise(-1 - F.col("own")).alias("part"), "sid")
 
 
 def lighter(left: DataFrame, tokens: int) -> DataFrame:
