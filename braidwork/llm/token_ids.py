@@ -12,7 +12,9 @@ hold them. They are numbered in doc_id order. A shard holds whole documents and
 about SHARD_IDS ids, more only where one document has more.
 
 Edge cases: null and empty texts have the end id alone; null doc_ids come
-first; repeated rows are all kept, in the order of their texts; an empty table
+first; ties, rows of one doc_id, follow in the order of their texts' hashes, so one
+doc_id of very many rows is many ranges; repeated rows are all kept; texts are encoded
+whole, whatever their length; columns of clashing names are not read; an empty table
 gives an empty table.
 """
 
@@ -186,7 +188,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, vocabulary: str |
     rows = texts(docs)
     _, n_bytes = volume(rows)
     kind = dict(rows.dtypes)["doc_id"]
-    rows = rows.repartitionByRange(blocks_for(n_bytes, PARTITION_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id are dealt by their texts' hash, and equal rows, which may take each other's place, by chance
+    rows = rows.withColumns({"h": F.xxhash64("text"), "r": F.rand(0)})
+    rows = rows.repartitionByRange(blocks_for(n_bytes, PARTITION_BYTES), "doc_id", "h", "r").sortWithinPartitions("doc_id", "h", "r").select("doc_id", "text")
 
     def shards(batches):
         from pyspark import TaskContext
