@@ -382,11 +382,10 @@ def graph_parquet_roundtrip(s, d):
 
 
 def src_dir(s, d):
-    """Text files written by Spark, then loaded and cleaned."""
+    """Text files written by the executors, then loaded and cleaned."""
     base = runtime.table_path(s, "texts")
     files = store.GraphStore(s, base)
-    for r in _docs(s, d).select("id", "content").toLocalIterator():
-        files.write_text(f"sub/{r.id}.txt", r.content)
+    files.write_texts(_docs(s, d).select(F.concat(F.lit("sub/"), "id", F.lit(".txt")).alias("name"), F.col("content").alias("text")))
     files.write_text("sub/skip.csv", "a,b")
     return documents.load_documents(s, base)[0].select("id", "content")
 

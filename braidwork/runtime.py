@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_made: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,8 +60,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/braidwork/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, in a folder of this application that goes when the driver ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/braidwork/{context.applicationId}"
+    if folder not in _made:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _made.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +66,23 @@ class GraphStore:
         finally:
             out.close()
 
+    def write_texts(self, rows: DataFrame) -> int:
+        """Writes each row (name, text) as a file under the base, from the executors; tells how many. A task that runs twice writes the same."""
+        base = self.base
+
+        def write(batches):
+            from pyarrow import fs
+
+            system, top = fs.FileSystem.from_uri(base)
+            for batch in batches:
+                for name, text in zip(batch["name"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                    system.create_dir(f"{top}/{name}".rpartition("/")[0], recursive=True)
+                    with system.open_output_stream(f"{top}/{name}") as out:
+                        out.write((text or "").encode())
+                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+        return rows.select("name", "text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
     def save_parquet(self, entities: DataFrame, relationships: DataFrame, name: str) -> None:
         """An empty side is not written."""
         for rows, part in ((entities, "entities"), (relationships, "relationships")):

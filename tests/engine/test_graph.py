@@ -61,6 +61,23 @@ def test_bfs(spark):
                 assert reached == deepest
 
 
+def test_bfs_compares_whole_relationships(spark):
+    """Two edges that differ in what they cite alone are two; equal ones are one."""
+    e = spark.createDataFrame([("a", "T", 0), ("b", "T", 1)], "name string, type string, ord long")
+    rows = [("a", "b", "R", "d", 0.5, ["c1"], {"k": "1"}, 0), ("a", "b", "R", "d", 0.5, ["c2"], {"k": "1"}, 1), ("a", "b", "R", "d", 0.5, ["c1"], {"k": "1"}, 2)]
+    r = spark.createDataFrame(rows, "source_entity string, target_entity string, relationship_type string, description string, confidence double, source_chunks array<string>, properties map<string,string>, ord long")
+    edges = graph.bfs(e, r, ["a"])[1]
+    assert [(x.ord, x.source_chunks, x.properties) for x in edges.orderBy("ord").collect()] == [(0, ["c1"], {"k": "1"}), (1, ["c2"], {"k": "1"})]
+
+
+def test_mentions_by_shuffle(spark):
+    """Many names meet the texts by three characters; short ones are compared with all."""
+    docs = spark.createDataFrame([("d1", "Ann and BOB met É.T. in ΣΑΣ", 0), ("d2", "", 1), ("d3", None, 2), ("d4", "anna", 3)], "id string, content string, ord long")
+    names = spark.createDataFrame([("ann",), ("Bob",), ("é",), ("x",), ("Anna",), ("nobody",), ("ann",)], "name string")
+    found = lambda most: {(x.entity, x.source) for x in retrieve.KeywordRetriever(None, None, docs).mentions(names, most).collect()}
+    assert found(100) == found(2) == {("ann", "d1"), ("Bob", "d1"), ("é", "d1"), ("ann", "d4"), ("Anna", "d4")}
+
+
 def test_neighbours_and_expansion(spark):
     e, r, known, lists, names, _ = make(spark, 7)
     got = defaultdict(list)
