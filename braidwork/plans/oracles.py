@@ -53,6 +53,13 @@ def _cosine(a: str, b: str) -> str:
     return f"coalesce(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 0)"
 
 
+def _short(x: str, width: int) -> str:
+    """Words up to a width, with a mark if any are left out; for texts without hyphens, at which wrapping may break."""
+    text = _collapse(_strip(f"coalesce({x}, '')"))
+    words = f"string_split({text}, ' ')[1:{width}]"
+    return f"CASE WHEN length({text}) <= {width} THEN {text} ELSE concat(coalesce(list_last(list_filter(list_transform(range(1, len({words}) + 1), lambda k: array_to_string({words}[1:k], ' ')), lambda t: length(t) < {width})), ''), '…') END"
+
+
 def _lit(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -244,6 +251,31 @@ FROM (SELECT 0 AS part, * FROM ({mr}) WHERE relationship_type = 'R' UNION ALL SE
     )
     out["format_context"] = f"SELECT CASE WHEN length(t) > 1200 THEN concat(substring(t, 1, 1200), '...') ELSE t END AS context FROM (SELECT {whole} AS t)"
 
+    batch = f"SELECT id AS chunk_id, CAST(regexp_extract(id, 'd([0-9]+)_', 1) AS BIGINT) * 100000 + chunk_index AS ord, concat('(', string_split({_collapse(_strip('text'))}, ' ')[1], '<|>concept<|>first word)##<|COMPLETE|>') AS response FROM ({out['chunk_documents']})"
+    out["extract_batch"] = parts.replace(f"({rs})", f"({batch})") + " SELECT ord, f[1] AS name, upper(f[2]) AS type FROM p WHERE len(f) = 3 AND f[1] <> '' AND f[2] <> ''"
+
+    # prompts: lines of the first rows, each cut at a word
+    def lines_of(line: str, rows: str, most: int) -> str:
+        return f"(SELECT string_agg(line, chr(10) ORDER BY ord) FROM (SELECT ord, {line} AS line FROM ({rows}) ORDER BY ord LIMIT {most}))"
+
+    entity_line = f"concat('- ', name, ' (', type, '): ', {_short('description', 120)})"
+    edge_line = f"concat('- ', source_entity, ' --[', relationship_type, ']--> ', target_entity, ': ', {_short('description', 100)})"
+    chunk_line = f"concat('[Chunk ', id, '] ', {_short('text', 400)})"
+    twelve = ve.replace("concat('item of label ', CAST(label AS STRING)) AS description", "array_to_string(list_transform(range(12), lambda x: concat('item of label ', CAST(label AS STRING))), ' ') AS description")
+    out["prompt_entities"] = f"SELECT {lines_of(entity_line, twelve, 10)} AS text"
+    out["prompt_relationships"] = f"SELECT {lines_of(edge_line, vr, 15)} AS text"
+    out["prompt_chunks"] = f"SELECT {lines_of(chunk_line, vc, 3)} AS text"
+    cited = f"""{out['hybrid_retrieve'][: out['hybrid_retrieve'].index('SELECT row_number() OVER (ORDER BY score DESC, spot)')]},
+final AS (SELECT row_number() OVER (ORDER BY score DESC, spot) - 1 AS ord, name, score FROM a ORDER BY ord LIMIT 10),
+k AS ({chunks}), own AS (SELECT id, text, ord, 0 AS place FROM k WHERE id IN (SELECT chunk FROM e WHERE name IN (SELECT name FROM final WHERE ord < 5)) ORDER BY ord LIMIT 5),
+near AS (SELECT id, text, ord, 1 AS place FROM k ORDER BY similarity DESC, ord LIMIT (SELECT greatest(0, 5 - count(*)) FROM own)),
+got AS (SELECT * FROM own UNION ALL SELECT * FROM near WHERE id NOT IN (SELECT id FROM own) ORDER BY place, ord LIMIT 5)"""
+    tail = "Use the entities, relationships and passages above to answer the user query comprehensively."
+    heads = ("## Relevant Entities", "## Key Relationships", "## Supporting Passages")
+    bodies = (lines_of(entity_line, "SELECT f.ord, e.name, e.type, e.description FROM final f JOIN e ON e.name = f.name", 10), lines_of(edge_line, "SELECT * FROM edges", 15), lines_of(chunk_line, "SELECT * FROM got", 3))
+    sections = "".join(f", {_lit(h)}, chr(10), {b}, chr(10), chr(10)" for h, b in zip(heads, bodies, strict=True))
+    out["augmented_prompt"] = f"{cited} SELECT concat('## User Query', chr(10), {_lit(X.QUERY)}, chr(10), chr(10){sections}, '## Instruction', chr(10), {_lit(tail)}) AS prompt"
+
     # the whole build, over the chunks' first two words
     first = "regexp_replace(lower(list_filter(string_split(" + _collapse("text") + ", ' '), lambda w: w <> '')[{k}]), '[^a-z0-9]', '', 'g')"
     found = f"""SELECT id AS chunk, CAST(regexp_extract(id, 'd([0-9]+)_', 1) AS BIGINT) * 100000 + chunk_index AS spot, coalesce({first.replace('{k}', '1')}, '') AS w1, coalesce({first.replace('{k}', '2')}, '') AS w2 FROM ({out['chunk_documents']})"""
