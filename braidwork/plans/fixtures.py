@@ -62,6 +62,15 @@ FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL SELECT 'e1', 101, '' UNION ALL SELECT 'e2', 102, '(A<|>T<|>x ## y)##' UNION ALL SELECT 'e3', 103, '(A<|>T<|>d) <|COMPLETE|>'
 UNION ALL SELECT 'e4', 104, '(MIT<|>org<|>)##(A<|>B<|>C<|>D<|>E)##(X<|><|>d)##(p<|>q<|>r<|>s)##()##(' """
 
+#: The same and one for each customer and part.
+MANY_RESPONSES = (
+    RESPONSES
+    + """
+UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), 1000 + c_custkey,
+       concat('(', c_name, '<|>organization<|>customer of ', c_mktsegment, ')##(', c_name, '<|>lives_in<|>', n_name, '<|>', CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'since long' END, ')##', CASE WHEN c_custkey % 5 = 0 THEN '(broken##' ELSE '' END, '<|COMPLETE|>') FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), 100000000 + p_partkey, concat('(', p_name, '<|> product <|> ', p_type, ' )##(', p_name, '<|>made_by<|>', p_brand, '<|>', p_type, ')') FROM {part}"""
+)
+
 QUERY = "which item of label 3 is near vec_0"
 
 

@@ -102,8 +102,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS k FROM t W
 WITH r AS (SELECT chunk_id, ord, unnest(l) AS rec, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT chunk_id, ord, string_split(response, '##') AS l FROM ({rs}))),
 s AS (SELECT chunk_id, ord, pos, {_strip('rec')} AS rec FROM r),
 p AS (SELECT chunk_id, ord, pos, list_transform(string_split(CASE WHEN length(rec) < 2 THEN '' ELSE substring(rec, 2, length(rec) - 2) END, '<|>'), lambda x: {_strip('x')}) AS f FROM s WHERE rec <> '<|COMPLETE|>' AND rec[1] = '(' AND rec[-1] = ')')"""
-    out["parse_entities"] = parts + " SELECT ord, pos::INTEGER AS pos, f[1] AS name, upper(f[2]) AS type, f[3] AS description, chunk_id AS chunks, 1.0::DOUBLE AS confidence FROM p WHERE len(f) = 3 AND f[1] <> '' AND f[2] <> ''"
-    out["parse_relationships"] = parts + " SELECT ord, pos::INTEGER AS pos, f[1] AS source_entity, f[3] AS target_entity, upper(f[2]) AS relationship_type, f[4] AS description, chunk_id AS chunks FROM p WHERE len(f) = 4 AND f[1] <> '' AND f[2] <> '' AND f[3] <> ''"
+    many = parts.replace(f"({rs})", f"({X.duck(X.MANY_RESPONSES)})")
+    out["parse_entities"] = many + " SELECT ord, pos::INTEGER AS pos, f[1] AS name, upper(f[2]) AS type, f[3] AS description, chunk_id AS chunks, 1.0::DOUBLE AS confidence FROM p WHERE len(f) = 3 AND f[1] <> '' AND f[2] <> ''"
+    out["parse_relationships"] = many + " SELECT ord, pos::INTEGER AS pos, f[1] AS source_entity, f[3] AS target_entity, upper(f[2]) AS relationship_type, f[4] AS description, chunk_id AS chunks FROM p WHERE len(f) = 4 AND f[1] <> '' AND f[2] <> '' AND f[3] <> ''"
 
     # resolution
     node = f"e AS ({me}), k AS (SELECT *, upper(type) AS block, {_norm('name')} AS norm FROM e), n AS (SELECT block, norm, min(ord) AS ord FROM k GROUP BY ALL)"
@@ -163,8 +164,7 @@ SELECT name, count(*)::DOUBLE AS score FROM m WHERE name IN (SELECT name FROM e)
     expand = "SELECT 0 AS ord, name FROM e WHERE name = '{0}' UNION ALL SELECT * FROM (SELECT row_number() OVER (ORDER BY rank)::INTEGER, dst FROM ({1}) ORDER BY rank LIMIT 14)"
     out["expand_balanced"] = f"WITH {ranked} " + expand.format("ASIA", "SELECT * FROM nb WHERE src = 'ASIA' AND rank <= 20")
     out["expand_diverse"] = f"WITH {ranked} " + expand.format("NATION_2", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rank) AS k FROM nb WHERE src = 'NATION_2' AND rank <= 20) WHERE k <= 3")
-    cluster = _values([(n, i) for i, n in enumerate(Q.SMALL + ["ATLANTIS", "AMERICA"])], "name, ord")
-    out["entity_clusters"] = f"""WITH RECURSIVE {adj}, s AS (SELECT * FROM {cluster}), l AS (SELECT DISTINCT a.ord AS a, b.ord AS b FROM adj JOIN s a ON a.name = src JOIN s b ON b.name = dst),
+    out["entity_clusters"] = f"""WITH RECURSIVE {adj}, s AS (SELECT name, ord FROM e WHERE ord < 1000000), l AS (SELECT DISTINCT a.ord AS a, b.ord AS b FROM adj JOIN s a ON a.name = src JOIN s b ON b.name = dst),
 reach(a, b) AS (SELECT ord, ord FROM s UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b) SELECT name, min(b)::BIGINT AS cluster FROM reach JOIN s ON s.ord = reach.a GROUP BY name"""
     out["relationship_summary"] = f"SELECT relationship_type, count(*) AS n FROM ({gr}) GROUP BY 1"
 

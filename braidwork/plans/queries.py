@@ -81,12 +81,12 @@ def name_similarity(s, d):
 
 # extraction
 def parse_entities(s, d):
-    rows = extract.parse_entities(X.fixture(s, d, X.RESPONSES))
+    rows = extract.parse_entities(X.fixture(s, d, X.MANY_RESPONSES))
     return rows.select("ord", F.col("pos").cast("int").alias("pos"), "name", "type", "description", F.array_join("source_chunks", ",").alias("chunks"), "confidence")
 
 
 def parse_relationships(s, d):
-    rows = extract.parse_relationships(X.fixture(s, d, X.RESPONSES))
+    rows = extract.parse_relationships(X.fixture(s, d, X.MANY_RESPONSES))
     return rows.select("ord", F.col("pos").cast("int").alias("pos"), "source_entity", "target_entity", "relationship_type", "description", F.array_join("source_chunks", ",").alias("chunks"))
 
 
@@ -220,7 +220,9 @@ def expand_diverse(s, d):
 
 
 def entity_clusters(s, d):
-    return graph.entity_clusters(_graph(s, d)[1], _names(s, [n for n in SMALL + ["ATLANTIS", "AMERICA"]])).select("name", "cluster")
+    """Of all regions, nations and suppliers."""
+    e, r = _graph(s, d)
+    return graph.entity_clusters(r, e.filter("ord < 1000000").select("name", "ord")).select("name", "cluster")
 
 
 def relationship_summary(s, d):
