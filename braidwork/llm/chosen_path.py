@@ -420,3 +420,15 @@ def dedupe(docs: DataFrame, **options) -> DataFrame:
 def op9_chosen_path(spark, sf_dir: str) -> DataFrame:
     """Every document's near-copy class and number of links."""
     return join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+#: The same by comparing all documents that share a shingle.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+k AS (SELECT a, count(*) AS links, count(*) FILTER (same) AS copies FROM l GROUP BY a)
+SELECT r.a AS doc_id, min(r.b) AS class_id, coalesce(min(k.links), 0) AS n_links, 1 + coalesce(min(k.copies), 0) AS n_copies FROM r LEFT JOIN k ON k.a = r.a GROUP BY r.a"""

@@ -23,4 +23,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of those that SQL can express on whole tables in bounded time."""
+    return {"op9_chosen_path": chosen_path.ORACLE_SQL}

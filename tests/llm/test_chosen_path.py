@@ -1,10 +1,14 @@
 import random
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 
 from braidwork.llm import chosen_path
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def shingles(text):
     words = (text or "").split()
@@ -138,6 +142,16 @@ def test_dedupe_goes_by_component(docs):
     assert rest == sorted([("1", first[0]), *(("1", a) for a in apart[1:]), ("None", "lone words"), ("1", ""), ("1", "None")])
 
 
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
+def test_twin(spark, docs):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    columns = ("doc_id", "class_id", "n_links", "n_copies")
+    want = con.sql(chosen_path.ORACLE_SQL).select(*columns).fetchall()
+    got = chosen_path.op9_chosen_path(spark, FOLDER).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_low_similarity_is_refused(docs):
     with pytest.raises(ValueError, match="0.8"):
         chosen_path.join(docs([]), similarity=0.6)
