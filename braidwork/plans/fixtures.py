@@ -53,7 +53,7 @@ FROM (SELECT vec_id AS i, (vec_id * 7 + 3) % n AS j, 'NEXT' AS t, 0 AS k FROM {e
 #: Chunks of all documents, each with the vector of its number modulo the number of vectors.
 VEC_CHUNKS = """
 SELECT concat('d', CAST(doc_id AS STRING), '_chunk_0') AS id, concat(text, ' see vec_', CAST(vec_id + 3 AS STRING), ' and vec_', CAST(vec_id + 4 AS STRING), ' there') AS text, embedding, doc_id AS ord
-FROM {documents} CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) c JOIN {embeddings} ON doc_id % n = vec_id"""
+FROM (SELECT doc_id, text, doc_id % (SELECT count(*) FROM {embeddings}) AS v FROM {documents}) d JOIN {embeddings} ON v = vec_id"""
 
 RESPONSES = """
 SELECT concat('n', CAST(n_nationkey AS STRING)) AS chunk_id, CAST(n_nationkey AS BIGINT) AS ord,
