@@ -35,6 +35,16 @@ def test_load_documents(spark, tmp_path):
     assert "read otherwise" in {r.content for r in custom.collect()}
 
 
+def test_load_empty_files(spark, tmp_path):
+    (tmp_path / "sub dir").mkdir()
+    for name, text in (("a.txt", ""), ("sub dir/1+1 50% ä.txt", ""), ("sub dir/2+1 50%41.txt", "full"), ("skip.csv", ""), ("w.docx", "")):
+        (tmp_path / name).write_text(text)
+    good, bad = documents.load_documents(spark, str(tmp_path))
+    assert sorted((r.id, r.content) for r in good.collect()) == [("1+1 50% ä", ""), ("2+1 50%41", "full"), ("a", "")]
+    assert [r.source_path.rsplit("/", 1)[1] for r in bad.collect()] == ["w.docx"]
+    assert documents.load_document(spark, str(tmp_path / "a.txt")).first().content == ""
+
+
 def test_config(tmp_path):
     assert documents.load_config(str(tmp_path / "none.yaml")) == {}
     (tmp_path / "c.yaml").write_text("processing:\n  chunk_size: 800\n")
