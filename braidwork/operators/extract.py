@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.functions.text import COMPLETION_DELIMITER, ENTITY_TYPES, extraction_prompt, strip
-from braidwork.runtime import ship
+from braidwork.runtime import prepare
 
 
 def stopping(generate: Callable[[list[str]], list[str]], stops: list[str]) -> Callable[[list[str]], list[str]]:
@@ -32,7 +32,7 @@ def respond(chunks: DataFrame, generate: Callable[[list[str]], list[str]], types
 
     Responses may differ from run to run: persist or write them before they are used twice.
     """
-    ship(chunks.sparkSession)
+    prepare(chunks.sparkSession)
 
     def ask(prompts: list[str]) -> list[tuple[str, str | None]]:
         try:
@@ -49,7 +49,7 @@ def respond(chunks: DataFrame, generate: Callable[[list[str]], list[str]], types
 
 def embed(rows: DataFrame, text: str, encode: Callable[[list[str]], list], name: str = "embedding") -> DataFrame:
     """rows with an embedding column; null for blank texts and for those that fail. A failing batch is tried text by text."""
-    ship(rows.sparkSession)
+    prepare(rows.sparkSession)
 
     def ask(texts: list[str]) -> list:
         try:

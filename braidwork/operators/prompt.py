@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from braidwork.runtime import ship
+from braidwork.runtime import prepare
 
 
 def filter_by_type(rows: DataFrame, types: list[str]) -> DataFrame:
@@ -56,19 +56,19 @@ def _first(rows: DataFrame, n: int) -> DataFrame:
 
 
 def prompt_entities(entities: DataFrame, most: int = 10) -> DataFrame:
-    ship(entities.sparkSession)
+    prepare(entities.sparkSession)
     line = F.concat(F.lit("- "), "name", F.lit(" ("), "type", F.lit("): "), _shorten(_given("description"), 120))
     return _joined(_first(entities, most).select("ord", line.alias("line")))
 
 
 def prompt_relationships(edges: DataFrame, most: int = 15) -> DataFrame:
-    ship(edges.sparkSession)
+    prepare(edges.sparkSession)
     line = F.concat(F.lit("- "), "source_entity", F.lit(" --["), "relationship_type", F.lit("]--> "), "target_entity", F.lit(": "), _shorten(F.col("description"), 100))
     return _joined(_first(edges, most).select("ord", line.alias("line")))
 
 
 def prompt_chunks(chunks: DataFrame, most: int = 3, width: int = 400) -> DataFrame:
-    ship(chunks.sparkSession)
+    prepare(chunks.sparkSession)
     line = F.concat(F.lit("[Chunk "), "id", F.lit("] "), _shorten(F.col("text"), width))
     return _joined(_first(chunks, most).select("ord", line.alias("line")))
 

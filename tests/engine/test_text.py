@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as T
@@ -63,6 +64,20 @@ def test_chunks():
         assert [s[1:] for s in chunk.spans(text, size, overlap)] == chunks(text, size, overlap)
 
 
+def test_chunks_come_in_small_batches():
+    texts = [None, "", "x. " * 400_000, *("Some words. " * 300 for _ in range(2000)), " "]
+    batch = pa.RecordBatch.from_pydict({"source_doc_id": [f"d{i}" for i in range(len(texts))], "doc_ord": list(range(len(texts))), "content": texts})
+    got = list(chunk._cut([batch], 800, 150))
+    assert max(sum(map(len, b.column("text").to_pylist())) for b in got[1:]) <= chunk.BATCH_CHARS + 3600 * 2
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(f"d{i}", i, *s) for i, t in enumerate(texts) for s in chunk.spans(t or "", 800, 150)]
+
+
+def test_models_get_small_batches(spark):
+    rows = spark.range(3000).coalesce(1).select(F.col("id").cast("string").alias("id"), F.lit("text").alias("text"), F.col("id").alias("ord"))
+    assert extract.respond(rows, lambda prompts: [str(len(prompts))] * len(prompts)).agg(F.max(F.col("response").cast("int"))).first()[0] <= 1024
+    assert extract.embed(rows, "text", lambda texts: [[float(len(texts))]] * len(texts)).agg(F.max(F.col("embedding")[0])).first()[0] <= 1024
+
+
 def test_chunks_always_end():
     assert len(chunk.spans("a." + "b" * 5000, 800, 150)) < 50
 
