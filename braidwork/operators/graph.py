@@ -34,7 +34,7 @@ def find_neighbors(entities: DataFrame, edges: DataFrame, names: list[str] | Non
     rows = adjacency(edges)
     if names is not None:
         rows = rows.filter(F.col("src").isin(list(names)))
-    rows = rows.join(vertices(entities).select(F.col("name").alias("dst"), F.col("type").alias("dst_type")), "dst")
+    rows = rows.join(vertices(entities.select("name", "type", "ord")).select(F.col("name").alias("dst"), F.col("type").alias("dst_type")), "dst")
     rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("confidence"), "rel_ord", "dir"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= most)
 
@@ -60,7 +60,8 @@ def bfs(entities: DataFrame, edges: DataFrame, seeds: list[str], max_depth: int
     level, depth = [s for _, s in found], 0
     columns = [c for c in edges.columns if c != "ord"]  # relationships are one if they agree in all of them
     while level and len(found) < max_entities and depth < max_depth:
-        near = find_neighbors(entities, edges, list(dict.fromkeys(level)), per_node).select("src", "dst", "rank", "rel_ord").join(edges.withColumnRenamed("ord", "rel_ord"), "rel_ord").collect()
+        near = find_neighbors(entities, edges, list(dict.fromkeys(level)), per_node).select("src", "dst", "rank", "rel_ord")
+        near = edges.withColumnRenamed("ord", "rel_ord").join(F.broadcast(near), "rel_ord").collect()
         lists: dict[str, list] = {}
         for r in sorted(near, key=lambda r: r["rank"]):
             lists.setdefault(r["src"], []).append(r)

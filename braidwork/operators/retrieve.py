@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from braidwork.functions.text import words
 from braidwork.operators import graph, vector
@@ -49,7 +50,7 @@ def rank_combine(hits: DataFrame, found: DataFrame, entities: DataFrame, query:
     met = F.greatest(F.lit(0.1), 0.8 - F.col("j") * 0.05) + 0.3 * (F.col("n") - 1)
     source = F.when(F.col("i").isNotNull() & F.col("j").isNotNull(), "both").when(F.col("i").isNotNull(), "embedding").when(F.col("n") > 1, "both").otherwise("traversal")
     rows = both.select("name", F.when(F.col("i").isNotNull(), own).otherwise(met).alias("score"), source.alias("source"), F.coalesce("at", F.col("j") + 1000).alias("at"))
-    rows = rows.join(graph.vertices(entities).select("name", "type", "description"), "name", "left")
+    rows = rows.join(graph.vertices(entities.select("name", "type", "description", "ord")), "name", "left")
     return rows.withColumn("score", F.round(F.col("score") + relevance(query, F.col("name"), F.col("description")), 6))
 
 
@@ -60,13 +61,19 @@ def induced_relationships(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 def related_chunks(entities: DataFrame, chunks: DataFrame, query_vector, most: int = 5) -> DataFrame:
     """Chunks that the entities cite, in corpus order, then the most similar ones that aren't cited, `most` in all."""
+    keys = ["id", "ord"]  # few chunks are chosen by these; only then are their texts read
     cited = entities.select(F.explode("source_chunks").alias("id")).distinct()
-    own = chunks.join(cited, "id", "left_semi").orderBy("ord").limit(most).withColumn("rank", F.lit(0))
-    n = own.count()
-    if n >= most:
-        return own
-    near = vector.search_chunks(chunks, query_vector, most - n).drop("similarity").withColumn("rank", F.lit(1))
-    return own.unionByName(near.join(F.broadcast(own.select("id")), "id", "left_anti").select(own.columns)).orderBy("rank", "ord").limit(most)
+    own = [tuple(r) for r in chunks.select(keys).join(cited, "id", "left_semi").orderBy("ord").limit(most).collect()]
+    near = []
+    if len(own) < most:
+        names = {r[0] for r in own}
+        near = [(r["id"], r["ord"]) for r in vector.search_chunks(chunks.select(*keys, "embedding"), query_vector, most - len(own)).collect()]
+        near = [r for r in near if r[0] not in names]
+    picks = dict.fromkeys([(*r, 0) for r in own] + [(*r, 1) for r in near])
+    schema = StructType([*(chunks.schema[k] for k in keys), StructField("rank", IntegerType())])
+    chosen = F.broadcast(chunks.sparkSession.createDataFrame(list(picks), schema))
+    rows = chunks.filter(F.col("id").isin([p[0] for p in picks]) & F.col("ord").isin([p[1] for p in picks])).join(chosen, keys)
+    return rows.select(*chunks.columns, "rank").orderBy("rank", "ord").limit(most)
 
 
 def confidence(similarities: list[float], n_entities: int, n_relationships: int) -> float:

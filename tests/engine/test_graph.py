@@ -133,3 +133,12 @@ def test_retrieval_edges(spark):
     assert retrieve.confidence([], 3, 3) == 0.3
     assert vector.entity_context(e, 20).first().context == ""
     assert found.retrieve("x", "unknown method").method == "hybrid"
+
+
+def test_related_chunks_reads_texts_of_the_chosen_alone(spark, tmp_path):
+    rows = [(f"c{i}", f"text {i}", [float(i), 1.0], i) for i in range(20)]
+    spark.createDataFrame(rows, "id string, text string, embedding array<double>, ord long").write.parquet(str(tmp_path / "c"))
+    cites = spark.createDataFrame([(["c9", "c3", "none"],), (["c3"],)], "source_chunks array<string>")
+    got = retrieve.related_chunks(cites, spark.read.parquet(str(tmp_path / "c")), [0.0, 1.0], 4)
+    assert "In(id" in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.id, r.text, r["rank"]) for r in got.collect()] == [("c3", "text 3", 0), ("c9", "text 9", 0), ("c0", "text 0", 1), ("c1", "text 1", 1)]
