@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import LongType, StructField, StructType
 
-from braidwork.runtime import cut
+from braidwork.runtime import cut, partitions
 
 
 def vertices(entities: DataFrame) -> DataFrame:
@@ -25,16 +25,26 @@ def vertices(entities: DataFrame) -> DataFrame:
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """src, dst, relationship_type, confidence, rel_ord, dir: each edge both ways; (rel_ord, dir) is the order of a vertex's list."""
-    one = lambda a, b, d: edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), "relationship_type", "description", "confidence", F.col("ord").alias("rel_ord"), F.lit(d).alias("dir"))
-    return one("source_entity", "target_entity", 0).unionByName(one("target_entity", "source_entity", 1))
+    one = lambda a, b, d: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(d).alias("dir"))
+    rows = edges.select(F.inline(F.array(one("source_entity", "target_entity", 0), one("target_entity", "source_entity", 1))), "relationship_type", "description", "confidence", F.col("ord").alias("rel_ord"))
+    return rows.select("src", "dst", "relationship_type", "description", "confidence", "rel_ord", "dir")
+
+
+def adjacency_of(edges: DataFrame, names: list[str]) -> DataFrame:
+    """The adjacency whose src is one of the names: edges are filtered before they are turned."""
+    names = list(names)
+    return adjacency(edges.filter(F.col("source_entity").isin(names) | F.col("target_entity").isin(names))).filter(F.col("src").isin(names))
 
 
 def find_neighbors(entities: DataFrame, edges: DataFrame, names: list[str] | None = None, most: int = 10) -> DataFrame:
     """src, dst, rank and the edge, for the `most` best neighbours that are entities; an edge that repeats takes a place each time."""
-    rows = adjacency(edges)
+    known = vertices(entities.select("name", "type", "ord")).select(F.col("name").alias("dst"), F.col("type").alias("dst_type"))
     if names is not None:
-        rows = rows.filter(F.col("src").isin(list(names)))
-    rows = rows.join(vertices(entities.select("name", "type", "ord")).select(F.col("name").alias("dst"), F.col("type").alias("dst_type")), "dst")
+        rows = adjacency_of(edges, names)
+    else:  # all edges are sorted here: their tasks' share must not grow with the tables
+        n = partitions(entities, edges)
+        rows, known = adjacency(edges).repartition(n, "dst"), known.repartition(n, "dst")
+    rows = rows.join(known, "dst")
     rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("confidence"), "rel_ord", "dir"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= most)
 

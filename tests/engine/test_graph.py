@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict, deque
 
+from braidwork import runtime
 from braidwork.operators import graph, retrieve, vector
 
 
@@ -142,3 +143,13 @@ def test_related_chunks_reads_texts_of_the_chosen_alone(spark, tmp_path):
     got = retrieve.related_chunks(cites, spark.read.parquet(str(tmp_path / "c")), [0.0, 1.0], 4)
     assert "In(id" in got._jdf.queryExecution().executedPlan().toString()
     assert [(r.id, r.text, r["rank"]) for r in got.collect()] == [("c3", "text 3", 0), ("c9", "text 9", 0), ("c0", "text 0", 1), ("c1", "text 1", 1)]
+
+
+def test_edges_are_read_once_in_tasks_that_grow_with_files(spark, tmp_path):
+    spark.createDataFrame([("a", "b", "R", "d", 1.0, 0), ("b", "a", "R", "d", 0.5, 1), ("b", "x", "R", "d", 0.9, 2)], "source_entity string, target_entity string, relationship_type string, description string, confidence double, ord long").write.parquet(str(tmp_path / "r"))
+    spark.createDataFrame([("a", "T", 0), ("b", "T", 1)], "name string, type string, ord long").write.parquet(str(tmp_path / "e"))
+    e, r = (spark.read.parquet(str(tmp_path / k)) for k in "er")
+    assert runtime.partitions(e, r, each=10) > 50 and runtime.partitions(e, r) == spark.sparkContext.defaultParallelism
+    found = graph.find_neighbors(e, r)
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    assert sorted((x.src, x.dst, x.rel_ord, x["dir"], x["rank"]) for x in found.collect()) == [("a", "b", 0, 0, 1), ("a", "b", 1, 1, 2), ("b", "a", 0, 1, 1), ("b", "a", 1, 0, 2), ("x", "b", 2, 1, 1)]
