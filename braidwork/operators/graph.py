@@ -131,17 +131,20 @@ def degree_centrality(entities: DataFrame, edges: DataFrame, names: DataFrame) -
 
 def betweenness(entities: DataFrame, edges: DataFrame, names: list[str]) -> DataFrame:
     """name, score: for each pair of the first ten names without a direct edge, the first common neighbour of the pair gets one."""
-    first = names[:10]
+    first = list(names[:10])
     spark = entities.sparkSession
-    known = entities.select("name").distinct()
     pairs = [(i * 10 + j, a, b) for i, a in enumerate(first) for j, b in enumerate(first) if i < j and a != b]
+    known = entities.filter(F.col("name").isin(first)).select("name").distinct()
     pairs = spark.createDataFrame(pairs, "pair int, a string, b string").join(known.withColumnRenamed("name", "a"), "a", "left_semi").join(known.withColumnRenamed("name", "b"), "b", "left_semi")
-    step = adjacency(edges).filter(F.col("src").isin(first)).select("src", "dst", "rel_ord", "dir")
-    direct = step.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    left = pairs.join(direct, ["a", "b"], "left_anti").join(step.withColumnRenamed("src", "a"), "a").filter("dst <> a and dst <> b")
-    middle = left.join(step.select(F.col("src").alias("b"), "dst").distinct(), ["b", "dst"], "left_semi")
-    one = middle.groupBy("pair").agg(F.min_by("dst", F.struct("rel_ord", "dir")).alias("name"))
-    return one.join(known, "name", "left_semi").groupBy("name").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    step = adjacency_of(edges, first).select("src", "dst", "rel_ord", "dir")
+    direct = step.filter(F.col("dst").isin(first)).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    pairs = pairs.join(direct, ["a", "b"], "left_anti")  # 45 rows at most
+    # edges meet by their far ends, so that no name's edges have to fit a task
+    ends = step.select(F.col("src").alias("b"), "dst").distinct()
+    met = step.withColumnRenamed("src", "a").join(ends, "dst").filter("a <> b and dst <> a and dst <> b")
+    one = met.join(F.broadcast(pairs), ["a", "b"]).groupBy("pair").agg(F.min_by("dst", F.struct("rel_ord", "dir")).alias("name"))
+    found = entities.select("name").join(F.broadcast(one.select("name").distinct()), "name", "left_semi").distinct()
+    return one.join(found, "name", "left_semi").groupBy("name").agg(F.count(F.lit(1)).cast("double").alias("score"))
 
 
 def expand(entities: DataFrame, edges: DataFrame, name: str, strategy: str = "balanced", max_entities: int = 15) -> tuple[DataFrame, DataFrame]:

@@ -153,3 +153,12 @@ def test_edges_are_read_once_in_tasks_that_grow_with_files(spark, tmp_path):
     found = graph.find_neighbors(e, r)
     assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
     assert sorted((x.src, x.dst, x.rel_ord, x["dir"], x["rank"]) for x in found.collect()) == [("a", "b", 0, 0, 1), ("a", "b", 1, 1, 2), ("b", "a", 0, 1, 1), ("b", "a", 1, 0, 2), ("x", "b", 2, 1, 1)]
+
+
+def test_betweenness_deals_a_hubs_edges(spark):
+    edges = [("hub", f"v{i}", "R", "d", 1.0, i) for i in range(50)] + [("b", "v7", "R", "d", 1.0, 50), ("v9", "b", "R", "d", 1.0, 51), ("hub", "hub", "R", "d", 1.0, 52), ("c", "hub", "R", "d", 1.0, 53), ("b", "c", "R", "d", 1.0, 54)]
+    r = spark.createDataFrame(edges, "source_entity string, target_entity string, relationship_type string, description string, confidence double, ord long")
+    e = spark.createDataFrame([(n, "T", i) for i, n in enumerate(["hub", "b", "c", "v7", "v9"])], "name string, type string, ord long")
+    got = graph.betweenness(e, r, ["hub", "b", "nobody", "hub"])
+    assert "hashpartitioning(dst" in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(x) for x in got.collect()] == [("v7", 2.0)]  # of (hub, b) and of (b, hub)
