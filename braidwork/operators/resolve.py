@@ -126,9 +126,12 @@ def merge_entities(entities: DataFrame, threshold: float = 0.8, embeddings: bool
 def merge_relationships(relationships: DataFrame) -> DataFrame:
     """One row for each (normal source, normal target, type), in order of ord."""
     keys = [normalize_entity_name(F.col("source_entity")).alias("k1"), normalize_entity_name(F.col("target_entity")).alias("k2"), F.col("relationship_type").alias("k3")]
-    merged = relationships.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("size"), F.min_by("source_entity", "ord").alias("source_entity"), F.min_by("target_entity", "ord").alias("target_entity"), F.min_by("relationship_type", "ord").alias("relationship_type"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("description") != "", F.col("description")))), "; ").alias("all"), F.min_by("description", "ord").alias("own"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunks")))).alias("source_chunks"), F.avg("confidence").alias("confidence"), F.min("ord").alias("ord"),
+    # dealt out first: most keys are of few rows, which collecting before the exchange would only sort and copy
+    rows = relationships.select(*keys, "ord", "source_entity", "target_entity", "description", "source_chunks", "confidence").repartition("k1", "k2", "k3")
+    merged = rows.groupBy("k1", "k2", "k3").agg(
+        F.count(F.lit(1)).alias("size"), F.min(F.struct("ord", "source_entity", "target_entity", "description")).alias("first"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("description") != "", F.col("description")))), "; ").alias("all"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunks")))).alias("source_chunks"), F.avg("confidence").alias("confidence"),
     )
-    return merged.select("source_entity", "target_entity", "relationship_type", F.when(F.col("size") == 1, F.col("own")).otherwise(F.col("all")).alias("description"), "source_chunks", "confidence", "ord", "size")
+    description = F.when(F.col("size") == 1, F.col("first.description")).otherwise(F.col("all")).alias("description")
+    return merged.select("first.source_entity", "first.target_entity", F.col("k3").alias("relationship_type"), description, "source_chunks", "confidence", "first.ord", "size")

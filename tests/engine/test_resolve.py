@@ -77,3 +77,12 @@ def test_merge_relationships(spark):
     assert sorted(got) == [0, 3, 4]
     assert (got[0].source_entity, got[0].description, got[0].source_chunks, got[0].confidence) == ("The A", "x; y", ["1", "2"], 0.5)
     assert got[3].description == "" and got[4].description is None
+
+
+def test_merge_relationships_collects_once(spark):
+    rows = [("The A", "b", "R", "y", ["c2"], 1.0, 3), ("a", "B ", "R", "x", ["c1"], 0.0, 5), (" A", "b", "R", "y", ["c2", None], 0.5, 2), ("a", "b", "S", None, [], 0.5, 1)]
+    df = spark.createDataFrame(rows, "source_entity string, target_entity string, relationship_type string, description string, source_chunks array<string>, confidence double, ord long")
+    got = resolve.merge_relationships(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("partial_count") < plan.index("Exchange hashpartitioning")
+    assert {r.ord: tuple(r) for r in got.collect()} == {2: (" A", "b", "R", "x; y", ["c1", "c2", None], 0.5, 2, 3), 1: ("a", "b", "S", None, [], 0.5, 1, 1)}
