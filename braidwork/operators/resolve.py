@@ -96,10 +96,13 @@ def clusters(entities: DataFrame, threshold: float = 0.8, embeddings: bool = Fal
     """ord, leader of every entity: the leader is the ord of its cluster's first entity."""
     if embeddings:
         return leaders(entities.select("ord"), entity_pairs(entities, threshold))
-    led = leaders(nodes(entities).select("ord"), similar_pairs(entities, threshold))
-    key = entities.select("ord", F.upper("type").alias("block"), normalize_name(F.col("name")).alias("norm"))
-    first = nodes(entities).withColumnRenamed("ord", "node")
-    return key.join(first, ["block", "norm"]).join(led.withColumnRenamed("ord", "node"), "node").select("ord", "leader")
+    # each name once, by an exchange that also spreads them: normalising is the dear part
+    names = cut(entities.groupBy("type", "name").agg(F.min("ord").alias("ord")))
+    first = cut(nodes(names))
+    led = leaders(first.select("ord"), similar_pairs(names, threshold))
+    key = names.select("type", "name", F.upper("type").alias("block"), normalize_name(F.col("name")).alias("norm"))
+    found = key.join(first.withColumnRenamed("ord", "node"), ["block", "norm"]).join(led.withColumnRenamed("ord", "node"), "node").select("type", "name", "leader")
+    return entities.select("type", "name", "ord").join(found, ["type", "name"]).select("ord", "leader")
 
 
 def _ordered(value: str, key: str = "ord"):

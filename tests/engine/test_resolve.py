@@ -86,3 +86,12 @@ def test_merge_relationships_collects_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("partial_count") < plan.index("Exchange hashpartitioning")
     assert {r.ord: tuple(r) for r in got.collect()} == {2: (" A", "b", "R", "x; y", ["c1", "c2", None], 0.5, 2, 3), 1: ("a", "b", "S", None, [], 0.5, 1, 1)}
+
+
+def test_clusters_normalise_each_name_once(spark, monkeypatch):
+    rows = [("Acme Inc.", "o", 3), ("Acme Inc.", "o", 1), ("acme", "O", 2), ("Acme Inc.", "p", 4), (None, "o", 5), ("x", None, 6)]
+    seen, own = [], resolve.nodes
+    monkeypatch.setattr(resolve, "nodes", lambda df: seen.append(df.count()) or own(df))
+    got = resolve.clusters(spark.createDataFrame(rows, "name string, type string, ord long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+    assert max(seen) == 5  # of six entities
