@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import prepare, table, trim
-from braidwork.llm.token_ids import vocabulary_path, word_tokenizer
+from braidwork.llm.token_ids import ENCODE_BYTES, vocabulary_path, word_tokenizer
 
 SEQUENCE, SEGMENTS, LOSS = 4096, 256, 4096
 #: Room of fewer tokens than this is left rather than filled with a cut piece.
@@ -186,7 +186,7 @@ def pack_documents(docs: DataFrame, end_id: int = 2, bearing: str | None = None,
             ids = pa.concat_arrays(doc_ids).take(pa.array(out.pop("doc"), pa.int64()))
             return pa.RecordBatch.from_pydict({"doc_id": ids} | {k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-        for batch in gathered_batches(batches):
+        for batch in gathered_batches(batches, most=ENCODE_BYTES):
             flat, at = tokenizer.encode(batch["text"])
             own = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             if answer:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.llm.common import U64, WordHashes, kept, mix, prepare, table, texts, trim, utf8
+from braidwork.llm.common import U64, WordHashes, forget, kept, mix, prepare, table, texts, utf8
 
 BITS = 18
 MAX_TRAIN = 10_000
@@ -175,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
         for batch in batches:
             found = [features(t) for t in utf8(batch["text"])]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].cast(pa.string()), "label": batch["label"], "row": pa.array([f.tobytes() for f in found], pa.binary())})
+        forget()
 
     def learn(group: pa.Table) -> pa.Table:
         own = sorted(zip(group["doc_id"].to_pylist(), group["label"].to_pylist(), group["row"].to_pylist(), strict=True))
@@ -203,6 +204,7 @@ def score(docs: DataFrame, model, *more: str) -> DataFrame:
             z = np.array([margin(features(t), r, v, bias) for t in utf8(batch["text"])])
             p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -60, 60)))
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(p, pa.float64())], names=["row", "score"])
+        forget()
 
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(apply, schema).select("row.*", "score")
@@ -220,7 +222,7 @@ def keep(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
             z = np.array([margin(features(t), r, v, bias) for t in utf8(batch["text"])])
             good = 1 / (1 + np.exp(-np.clip(slope * z + offset, -60, 60))) >= least
             yield pa.RecordBatch.from_arrays([batch["row"].filter(pa.array(good, pa.bool_()))], names=["row"])
-        trim()
+        forget()
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
     return rows.mapInArrow(choose, schema).select("row.*")

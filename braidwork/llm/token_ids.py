@@ -35,6 +35,8 @@ from braidwork.llm.common import blocks_for, kept, offsets, table, texts, volume
 VOCABULARY = "word_bpe_49k.json"
 BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 21
 PARTITION_BYTES = 24_000_000
+#: Bytes of text encoded at a time, which takes some 40 times their memory.
+ENCODE_BYTES = 1_000_000
 MAGIC = b"BPS1"
 HEAD, FOOT, ENTRY = struct.Struct("<4sBIQI"), struct.Struct("<QI4s"), struct.Struct("<QI")
 
@@ -57,16 +59,20 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.words.normalizer = None  # the words are lower case and composed already
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)  # shares the model; no normalizer: the words are lower case and composed already
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _one(self, parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids and lengths of parts, each encoded by itself."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        return [np.array([i for x in ids for i in x], "<u4")], [np.array([len(x) for x in ids], np.int64)]
+        flats, lengths = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for k in range(0, len(parts), 1000):  # the library's encodings are large; ids are kept of them
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts[k : k + 1000], add_special_tokens=False)]
+            flats.append(np.array([i for x in ids for i in x], "<u4"))
+            lengths.append(np.array([len(x) for x in ids], np.int64))
+        return flats, lengths
 
     def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         lines = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
@@ -83,7 +89,8 @@ class WordTokenizer:
         import pyarrow.compute as pc
 
         lists = pc.split_pattern(pc.replace_substring(bodies.cast(pa.large_string()), "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
+        bounds, coded = offsets(lists) - offsets(lists)[0], lists.flatten().dictionary_encode()
+        del lists
         parts = coded.dictionary
         shaped = pc.match_substring_regex(parts, self.SHAPE)
         is_shaped = shaped.to_numpy(zero_copy_only=False)
@@ -103,7 +110,7 @@ class WordTokenizer:
         flat, ends = gathered(pool, size, pieces.reshape(-1))
         size = np.diff(ends[1::2], prepend=0)
         flat, ends = gathered(flat, size, coded.indices.to_numpy())
-        return flat, np.concatenate([[0], ends])[offsets(lists) - offsets(lists)[0]]
+        return flat, np.concatenate([[0], ends])[bounds]
 
 
 def gathered(pool: np.ndarray, size: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +212,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, vocabulary: str |
             content = pack(np.frombuffer(b"".join(bodies), "<u4"), bits=bits)
             return pa.RecordBatch.from_pydict({"shard": pa.array([(part << 24) + number], pa.int64()), "n_ids": pa.array([total], pa.int64()), "doc_ids": pa.array([pa.concat_arrays(doc_ids).to_pylist()], pa.list_(doc_ids[0].type)), "lengths": pa.array([lengths], pa.list_(pa.int64())), "content": pa.array([content], pa.binary())})
 
-        for batch in gathered_batches(batches):
+        for batch in gathered_batches(batches, most=ENCODE_BYTES):
             own_ids = batch["doc_id"]
             flat, at = tokenizer.encode(batch["text"])
             for i in range(batch.num_rows):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from braidwork.llm import packing
+from braidwork.llm import common, packing
 from braidwork.llm.token_ids import vocabulary_path
 
 
@@ -103,3 +103,30 @@ def test_conversations(spark, docs):
 
 def test_empty(docs):
     assert packing.pack_documents(docs([])).count() == 0
+
+
+def test_encodes_little_at_a_time(docs, monkeypatch):
+    """A worker encodes about a million bytes of texts at once, as encoding takes many times their memory."""
+    import pyarrow as pa
+    import pyspark
+
+    class Context:
+        get = classmethod(lambda cls: cls())
+        partitionId = staticmethod(lambda: 0)
+
+    class Spy:
+        largest = 0
+
+        def encode(self, bodies):
+            self.largest = max(self.largest, int(np.diff(common.offsets(bodies)[[0, -1]])[0]))
+            return np.full(len(bodies), 7, "<u4"), np.arange(len(bodies) + 1)
+
+    spy, df = Spy(), docs([])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+    monkeypatch.setattr(packing, "word_tokenizer", lambda path: spy)
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    texts = pa.array(["some words " * 4000] * 240)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(240), pa.int64()), "text": texts, "bearing": pa.nulls(240, pa.int64()), "answer": pa.nulls(240, pa.string())})
+    got = pa.Table.from_batches(packing.pack_documents(df)(iter([batch])))
+    assert got.num_rows == 240 and sum(got["length"].to_pylist()) == 480
+    assert 0 < spy.largest <= 1_000_000

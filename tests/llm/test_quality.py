@@ -122,3 +122,25 @@ def test_training_is_bounded(spark, docs):
     df = docs([(i, t) for i, t, _ in rows])
     pair, *_ = quality.train(df, labels, max_train=20)
     assert pair.shape == (2, 1 << quality.BITS)
+
+
+def test_workers_forget_hashes(spark, docs):
+    """Workers wait beside those of the stages that follow, so they keep no words after a task."""
+    import pyarrow as pa
+
+    rows = docs([(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(40)])
+
+    def words_kept(batches):
+        import sys
+
+        from braidwork.llm.common import WordHashes
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(v) for v in sys.__dict__.get("_braidwork_kept", {}).values() if isinstance(v, WordHashes))], pa.int64())})
+
+    pair = np.zeros((2, 1 << quality.BITS), np.float32)
+    model = pair, 0.0, 1.0, 0.0
+    for made in (quality.keep(rows, model), quality.score(rows, model)):
+        assert made.count() == 40
+        assert sum(r.n for r in spark.range(8).repartition(8).mapInArrow(words_kept, "n long").collect()) == 0
