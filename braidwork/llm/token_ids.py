@@ -50,9 +50,16 @@ class WordTokenizer:
     distinct parts. A part of letters below U+0250 and then of ASCII marks is two
     pre-tokens, its lower-case word and the marks. Words go to the library many
     in one text, whose ids are cut after each id that ends a word; marks and all
-    other parts go to it one by one. Nothing is kept from slice to slice.
+    other parts go to it one by one.
+
+    Ids of parts are kept from slice to slice, as a part has the same ids wherever
+    it stands: of at most PARTS parts of at most LONGEST bytes. When there would be
+    more, half as many are kept, those that were in the most slices, older ones
+    counting less.
     """
 
+    PARTS, LONGEST = 200_000, 48
+
     SHAPE = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[!-/:-@\\[-`{-~]*$"
     MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
@@ -64,6 +71,8 @@ class WordTokenizer:
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.size, self.seen = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def _one(self, parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids and lengths of parts, each encoded by itself."""
@@ -74,15 +83,19 @@ class WordTokenizer:
             lengths.append(np.array([len(x) for x in ids], np.int64))
         return flats, lengths
 
-    def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        lines = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
-        flats = []
+    def _words(self, words: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        import pyarrow.compute as pc
+
+        cuts = pa.array(np.r_[0 : len(words) : 100, len(words)], pa.int32())
+        lines = pc.binary_join(pa.ListArray.from_arrays(cuts, words.cast(pa.string())), " ").to_pylist()
+        flats = [np.empty(0, "<u4")]
         for k in range(0, len(lines), 100):  # the library's encodings are large; ids are kept of them
             flats += [np.array(e.ids, "<u4") for e in self.words.encode_batch_fast(lines[k : k + 100], add_special_tokens=False)]
-        lengths = [np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0) for ids in flats]
-        if sum(map(len, lengths)) != len(words):
-            return self._one(words)
-        return flats, lengths
+        flat = np.concatenate(flats)
+        lengths = np.diff(np.flatnonzero(self.ends[flat]) + 1, prepend=0)
+        if len(lengths) != len(words):
+            return self._one(words.to_pylist())
+        return [flat], [lengths]
 
     def encode(self, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one after the other, and the offset of each text's first and of the end."""
@@ -92,6 +105,22 @@ class WordTokenizer:
         bounds, coded = offsets(lists) - offsets(lists)[0], lists.flatten().dictionary_encode()
         del lists
         parts = coded.dictionary
+        place = pc.fill_null(pc.index_in(parts, value_set=self.known), -1).to_numpy()
+        is_new = place < 0
+        self.seen[place[~is_new]] += 1
+        new = parts.filter(pa.array(is_new))
+        flat, size = self._parts(new)
+        pieces = place.astype(np.int64)
+        pieces[is_new] = len(self.size) + np.arange(len(new))
+        pool, sizes = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        self._keep(new, pool, sizes)
+        flat, ends = gathered(pool, sizes, pieces[coded.indices.to_numpy()])
+        return flat, np.concatenate([[0], ends])[bounds]
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts, one after the other, and their numbers."""
+        import pyarrow.compute as pc
+
         shaped = pc.match_substring_regex(parts, self.SHAPE)
         is_shaped = shaped.to_numpy(zero_copy_only=False)
         some = parts.filter(shaped)
@@ -99,7 +128,7 @@ class WordTokenizer:
         marks = pc.replace_substring_regex(some, "^[^!-/:-@\\[-`{-~]+", "")
         word, marks = pc.utf8_lower(word).dictionary_encode(), marks.dictionary_encode()
         rest = parts.filter(pc.invert(shaped))
-        pools = [self._words(word.dictionary.to_pylist()), self._one(marks.dictionary.to_pylist()), self._one(rest.to_pylist())]
+        pools = [self._words(word.dictionary), self._one(marks.dictionary.to_pylist()), self._one(rest.to_pylist())]
         pool = np.concatenate([x for p in pools for x in p[0]] or [np.empty(0, "<u4")])
         size = np.concatenate([x for p in pools for x in p[1]] + [np.zeros(1, np.int64)])
         n_words, n_marks = len(word.dictionary), len(marks.dictionary)
@@ -108,9 +137,18 @@ class WordTokenizer:
         pieces[is_shaped, 1] = n_words + marks.indices.to_numpy()
         pieces[~is_shaped, 0] = n_words + n_marks + np.arange(len(rest))
         flat, ends = gathered(pool, size, pieces.reshape(-1))
-        size = np.diff(ends[1::2], prepend=0)
-        flat, ends = gathered(flat, size, coded.indices.to_numpy())
-        return flat, np.concatenate([[0], ends])[bounds]
+        return flat, np.diff(ends[1::2], prepend=0)
+
+    def _keep(self, new: pa.Array, pool: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember new parts; pool and sizes hold the ids of those known and then of these."""
+        seen = np.concatenate([self.seen, np.ones(len(new), np.int32)])
+        kept_ = np.r_[np.arange(len(self.known)), len(self.known) + np.flatnonzero(np.diff(offsets(new)) <= self.LONGEST)] if len(new) else np.arange(len(self.known))
+        if len(kept_) > self.PARTS:
+            kept_ = np.sort(kept_[np.argsort(-seen[kept_], kind="stable")[: self.PARTS // 2]])
+            seen = (seen + 1) // 2
+        self.known = pa.concat_arrays([self.known, new]).take(pa.array(kept_))
+        self.flat, _ = gathered(pool, sizes, kept_)
+        self.size, self.seen = sizes[kept_], seen[kept_]
 
 
 def gathered(pool: np.ndarray, size: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

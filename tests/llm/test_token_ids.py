@@ -32,6 +32,33 @@ def test_word_tokenizer_equals_library():
     assert len(flat) == 0 and at.tolist() == [0]
 
 
+def test_ids_are_kept_from_slice_to_slice(monkeypatch):
+    t, sent = token_ids.WordTokenizer(token_ids.vocabulary_path()), []
+    words, one = t._words, t._one
+    monkeypatch.setattr(t, "_words", lambda parts: sent.extend(parts) or words(parts))
+    monkeypatch.setattr(t, "_one", lambda parts: sent.extend(parts) or one(parts))
+    texts = pa.array([x or "" for x in TEXTS])
+    first = t.encode(texts)
+    assert sent
+    sent.clear()
+    again = t.encode(texts)
+    assert [x for x in map(str, sent) if x] == ["x" * 5000]  # too long to be kept
+    assert first[0].tolist() == again[0].tolist() and first[1].tolist() == again[1].tolist()
+
+
+@pytest.mark.parametrize("parts", [0, 1, 40, 200_000])
+def test_kept_ids_are_bounded_and_right(parts):
+    t, rng = token_ids.WordTokenizer(token_ids.vocabulary_path()), random.Random(parts)
+    t.PARTS = parts
+    words = ["".join(rng.choice("abé'sΣ.,漢1") for _ in range(rng.randrange(1, 9))) for _ in range(120)] + ["y" * 60, "ß" * 24, "ß" * 25]
+    for _ in range(30):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(5))]
+        flat, at = t.encode(pa.array(texts, pa.string()))
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain(x) for x in texts]
+        assert len(t.known) == len(t.size) == len(t.seen) <= parts and t.size.sum() == len(t.flat)
+        assert all(len(x.encode()) <= t.LONGEST for x in t.known.to_pylist()) and len(set(t.known.to_pylist())) == len(t.known)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
 def test_round_trip(bits, n):
