@@ -61,6 +61,17 @@ def test_production_parameters(docs):
     check(docs, rows, suffix_dedup.LENGTH, suffix_dedup.GRAM, 10, 100)
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(docs):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    short, long = words(57) + "x", words(57) + "xy"
+    assert (len(short.split()), len(short), len(long)) == (57, 399, 400)
+    rows = [(2 * k + j, f"{words(30)}{'ijklmnop'[2 * k + j]}{passage}{'qrstuvwz'[2 * k + j]}{words(30)}") for k, passage in enumerate((short, long)) for j in range(2)]
+    rows.append((9, words(200)))
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.n_bytes - r.n_kept) for r in suffix_dedup.remove(docs(rows)).collect()}
+    assert got == {0: (0, 0, 0), 1: (0, 0, 0), 2: (400, 1, 400), 3: (400, 1, 400), 9: (0, 0, 0)}
+
+
 def test_long_texts_in_chunks(docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 100)
     rng = random.Random(2)
